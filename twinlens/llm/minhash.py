@@ -30,7 +30,7 @@ SLACK = 0.13
 
 
 def _digest_rows(width: int, bands: int, rows: int):
-    schema = pa.schema([("doc", pa.int64()), ("n", pa.int64()), ("k1", pa.int64()), ("k2", pa.int64()), ("bands", pa.list_(pa.int64())), ("sketch", pa.binary())])
+    schema = pa.schema([("doc", pa.int64()), ("n", pa.int64()), ("k1", pa.int64()), ("k2", pa.int64()), ("bands", pa.list_(pa.int64())), ("sketch", pa.list_(pa.int64()))])
     lanes = np.arange(1, rows + 1, dtype=np.uint64) * np.uint64(0xA24BAED4963EE407)
     band_no = np.arange(1, bands + 1, dtype=np.uint64) * np.uint64(0x9FB21C651E98DF25)
 
@@ -44,7 +44,7 @@ def _digest_rows(width: int, bands: int, rows: int):
                     keys = [int(mix(items + np.uint64(s)).sum(dtype=np.uint64).view(np.int64)) for s in (11, 23)]
                     sketch = similarity_sketch(items, bands * rows)
                     hashed = mix((mix(sketch.reshape(bands, rows) + lanes)).sum(axis=1, dtype=np.uint64) + band_no)
-                    row = (doc, len(items), *keys, hashed.view(np.int64), mix(sketch).astype(np.uint8).tobytes())
+                    row = (doc, len(items), *keys, hashed.view(np.int64), mix(sketch).astype(np.uint8).view(np.int64))
                 for held, value in zip(out, row, strict=True):
                     held.append(value)
             yield pa.record_batch([pa.array(v, type=f.type) for v, f in zip(out, schema, strict=True)], schema=schema)
@@ -74,16 +74,16 @@ def _verify(width: int, num: int, den: int):
     return verify
 
 
-def _close_sketches(least: float):
-    schema = pa.schema([("a", pa.int64()), ("b", pa.int64())])
+def _differing(x: str, y: str, lanes: int) -> str:
+    """SQL for in how many bytes two arrays of ``lanes`` longs differ: each byte's bits are folded into its lowest."""
 
-    def close(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            if batch.num_rows:
-                x, y = (np.frombuffer(b"".join(batch.column(k).to_pylist()), np.uint8).reshape(batch.num_rows, -1) for k in (2, 3))
-                yield pa.RecordBatch.from_arrays(batch.columns[:2], schema=schema).filter(pa.array((x == y).mean(axis=1) >= least))
+    def lane(k: int) -> str:
+        bits = f"({x}[{k}] ^ {y}[{k}])"
+        for shift, mask in ((4, 0x0F0F0F0F0F0F0F0F), (2, 0x0303030303030303), (1, 0x0101010101010101)):
+            bits = f"({bits} | (shiftrightunsigned({bits}, {shift}) & {mask}L))"
+        return f"bit_count({bits} & {0x0101010101010101}L)"
 
-    return close
+    return " + ".join(map(lane, range(lanes)))
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 5, threshold: float = 0.8, bands: int = BANDS, rows: int = ROWS) -> DataFrame:
@@ -104,7 +104,9 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     spark = docs.sparkSession
     source = docs.select(F.col(id_col).cast("long").alias("doc"), F.col(text_col).alias("text"))
     limit = Fraction(str(threshold))
-    digests, _ = materialise(source.mapInArrow(_digest_rows(width, bands, rows), "doc long, n long, k1 long, k2 long, bands array<long>, sketch binary"), "digests")
+    if bands * rows % 8:
+        raise ValueError("bands * rows must be a multiple of 8")
+    digests, _ = materialise(source.mapInArrow(_digest_rows(width, bands, rows), "doc long, n long, k1 long, k2 long, bands array<long>, sketch array<long>"), "digests")
     filled = digests.where("doc is not null and n > 0")
     classes, classes_path = materialise(filled.groupBy("k1", "k2").agg(F.min("doc").alias("rep")), "classes")
 
@@ -119,24 +121,21 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     links, links_path = materialise(first, "links")
     comps, comps_path = materialise(connected_components(links), "components")
 
-    # Buckets that still hold several components: pairs across them that are alike by their sketches.
+    # Buckets that still hold several components: pairs across them whose sizes and sketches allow the threshold.
+    # Sketches are compared within the join, so what it puts out are likely links and not all pairs of a bucket.
     placed = crowd.join(comps.select(F.col("id").alias("doc"), "component"), "doc", "left").select("bucket", "doc", F.coalesce("component", "doc").alias("component"))
     mixed = placed.groupBy("bucket").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo <> hi").select("bucket")
-    left, left_path = materialise(placed.join(mixed, "bucket"), "mixed")
+    sizes = filled.select("doc", "n", "sketch").dropDuplicates(["doc"])
+    left, left_path = materialise(placed.join(mixed, "bucket").join(sizes, "doc"), "mixed")
     x, y = left.alias("x"), left.alias("y")
-    across = (
-        x.join(y, F.expr("x.bucket = y.bucket and x.doc < y.doc and x.component <> y.component"))
-        .select(F.col("x.doc").alias("a"), F.col("y.doc").alias("b"))
-        .distinct()
-        .join(tested.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")), ["a", "b"], "left_anti")
+    lanes = bands * rows // 8
+    likely = (
+        f"x.bucket = y.bucket and x.doc < y.doc and x.component <> y.component and least(x.n, y.n) * {limit.denominator}L >= {limit.numerator}L * greatest(x.n, y.n) "
+        f"and {_differing('x.sketch', 'y.sketch', lanes)} <= {int((1 - float(limit) + SLACK) * lanes * 8) + 1}"
     )
-    sizes = filled.select("doc", "n", "sketch").dropDuplicates(["doc"])
     alike = (
-        across.join(sizes.select(F.col("doc").alias("a"), F.col("n").alias("na"), F.col("sketch").alias("sa")), "a")
-        .join(sizes.select(F.col("doc").alias("b"), F.col("n").alias("nb"), F.col("sketch").alias("sb")), "b")
-        .where(f"least(na, nb) * {limit.denominator}L >= {limit.numerator}L * greatest(na, nb)")
-        .select("a", "b", "sa", "sb")
-        .mapInArrow(_close_sketches(float(limit) - SLACK), "a long, b long")
+        x.join(y, F.expr(likely)).select(F.col("x.doc").alias("a"), F.col("y.doc").alias("b")).distinct()
+        .join(tested.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")), ["a", "b"], "left_anti")
     )
     late, late_path = materialise(alike, "late")
     more = _verified(spark, source, late, width, limit)
