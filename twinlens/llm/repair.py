@@ -34,21 +34,24 @@ class Grammar:
 
     def __init__(self, rules: np.ndarray):
         self.rules = rules
-        n = len(rules)
-        self.lengths = np.ones(n, dtype=np.int64)
-        self._starts = np.zeros(n, dtype=np.int64)
-        parts: list[np.ndarray] = []
+        self.lengths = np.ones(len(rules), dtype=np.int64)
+        self._starts = np.zeros(len(rules), dtype=np.int64)
+        self._flat = np.empty(0, dtype=np.uint32)
+        # The rules of a round refer to earlier rounds only: whole rounds are expanded at once.
+        highest = rules.max(axis=1).astype(np.int64) - FIRST if len(rules) else np.empty(0, np.int64)
         at = 0
-        for k in range(n):
-            body = np.concatenate([self._body(s, parts) for s in rules[k].tolist()])
-            parts.append(body)
-            self.lengths[k], self._starts[k] = len(body), at
-            at += len(body)
-        self._flat = np.concatenate(parts) if parts else np.empty(0, np.uint32)
-
-    @staticmethod
-    def _body(symbol: int, parts: list[np.ndarray]) -> np.ndarray:
-        return parts[symbol - FIRST] if symbol >= FIRST else np.array([symbol], dtype=np.uint32)
+        while at < len(rules):
+            later = np.flatnonzero(highest[at:] >= at)
+            end = at + int(later[0]) if len(later) else len(rules)
+            if end == at:
+                raise ValueError("a rule refers to itself or to a later one")
+            sides = rules[at:end].reshape(-1)
+            sizes = self.expansion_lengths(sides).reshape(-1, 2).sum(axis=1)
+            body = self.expand(sides)
+            self.lengths[at:end] = sizes
+            self._starts[at:end] = len(self._flat) + np.cumsum(sizes) - sizes
+            self._flat = np.concatenate((self._flat, body))
+            at = end
 
     def expansion_lengths(self, symbols: np.ndarray) -> np.ndarray:
         out = np.ones(len(symbols), dtype=np.int64)
