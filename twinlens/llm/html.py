@@ -50,7 +50,7 @@ _WHITE = re.compile(r"\s+")
 @dataclass
 class Line:
     text: str
-    linked: int
+    linked: int  # characters in links, white space apart
     boiler: bool
     article: bool
 
@@ -68,14 +68,14 @@ def lines_of(page: str) -> list[Line]:
         nonlocal buffer, linked
         text = _WHITE.sub(" ", entities.unescape("".join(buffer))).strip()
         if text:
-            out.append(Line(text, min(linked, len(text)), boiler, article))
+            out.append(Line(text, linked, boiler, article))
         buffer, linked = [], 0
 
     def add(text: str) -> None:
         nonlocal linked
         buffer.append(text)
         if links:
-            linked += len(text.strip())
+            linked += len(_WHITE.sub("", text))
 
     at, n = 0, len(page)
     while at < n:
@@ -156,7 +156,7 @@ def main_text(page: str | None, window: int = WINDOW, surge: int = SURGE) -> str
     lines = [x for x in lines_of(page or "") if not x.boiler]
     marked = any(x.article for x in lines)
     # An article element is a surge of its own: its lines weigh a full window at least, those outside nothing.
-    weights = [(max(surge, len(x.text)) if x.article else 0) if marked else len(x.text) - x.linked for x in lines]
+    weights = [(max(surge, len(x.text)) if x.article else 0) if marked else max(0, len(x.text.replace(" ", "")) - x.linked) for x in lines]
     sums = [sum(weights[k : k + window]) for k in range(len(weights))]
     kept: list[str] = []
     k = 0

@@ -66,7 +66,7 @@ class Model:
 
     def __post_init__(self):
         self._gram_no = {g: k for k, g in enumerate(self.grams)}
-        self._gram_scores = np.array([*self.grams.values(), self.unseen], dtype=np.float64).reshape(-1, len(self.languages))
+        self._gram_scores = np.array([*self.grams.values(), self.unseen], dtype=np.float64).reshape(len(self.grams) + 1, len(self.languages))
         self._narrow = {s: np.array([0.0 if ok else -50.0 for ok in v]) for s, v in self.scripts.items() if not all(v)}
 
     def scores(self, words: list[str]) -> np.ndarray:
