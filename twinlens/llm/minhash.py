@@ -11,6 +11,7 @@ on full shingle sets rebuilt from the texts.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 from fractions import Fraction
 
@@ -25,8 +26,14 @@ from twinlens.sources.scratch import drop, materialise
 
 #: 40 bands of 6 coordinates: a pair of similarity 0.85 shares no band with probability 6e-9, one of 0.8 with 3e-6.
 BANDS, ROWS = 40, 6
-#: Pairs across components whose sketches agree in less than this share are not verified: 5 standard deviations below 0.85.
-SLACK = 0.13
+#: Pairs across components are verified if their one-bit sketches differ by no more than this many standard deviations over what the threshold gives.
+SPREAD = 6.0
+
+
+def _one_bit(sketch: np.ndarray) -> np.ndarray:
+    """A bit of each coordinate, packed into longs: coordinates that differ give different bits half the time."""
+    bits = np.packbits((mix(sketch) & np.uint64(1)).astype(np.uint8))
+    return np.concatenate((bits, np.zeros(-len(bits) % 8, np.uint8))).view(np.int64)
 
 
 def _digest_rows(width: int, bands: int, rows: int):
@@ -44,7 +51,7 @@ def _digest_rows(width: int, bands: int, rows: int):
                     keys = [int(mix(items + np.uint64(s)).sum(dtype=np.uint64).view(np.int64)) for s in (11, 23)]
                     sketch = similarity_sketch(items, bands * rows)
                     hashed = mix((mix(sketch.reshape(bands, rows) + lanes)).sum(axis=1, dtype=np.uint64) + band_no)
-                    row = (doc, len(items), *keys, hashed.view(np.int64), mix(sketch).astype(np.uint8).view(np.int64))
+                    row = (doc, len(items), *keys, hashed.view(np.int64), _one_bit(sketch))
                 for held, value in zip(out, row, strict=True):
                     held.append(value)
             yield pa.record_batch([pa.array(v, type=f.type) for v, f in zip(out, schema, strict=True)], schema=schema)
@@ -75,15 +82,8 @@ def _verify(width: int, num: int, den: int):
 
 
 def _differing(x: str, y: str, lanes: int) -> str:
-    """SQL for in how many bytes two arrays of ``lanes`` longs differ: each byte's bits are folded into its lowest."""
-
-    def lane(k: int) -> str:
-        bits = f"({x}[{k}] ^ {y}[{k}])"
-        for shift, mask in ((4, 0x0F0F0F0F0F0F0F0F), (2, 0x0303030303030303), (1, 0x0101010101010101)):
-            bits = f"({bits} | (shiftrightunsigned({bits}, {shift}) & {mask}L))"
-        return f"bit_count({bits} & {0x0101010101010101}L)"
-
-    return " + ".join(map(lane, range(lanes)))
+    """SQL for in how many bits two arrays of ``lanes`` longs differ."""
+    return " + ".join(f"bit_count({x}[{k}] ^ {y}[{k}])" for k in range(lanes))
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 5, threshold: float = 0.8, bands: int = BANDS, rows: int = ROWS) -> DataFrame:
@@ -104,8 +104,6 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     spark = docs.sparkSession
     source = docs.select(F.col(id_col).cast("long").alias("doc"), F.col(text_col).alias("text"))
     limit = Fraction(str(threshold))
-    if bands * rows % 8:
-        raise ValueError("bands * rows must be a multiple of 8")
     digests, _ = materialise(source.mapInArrow(_digest_rows(width, bands, rows), "doc long, n long, k1 long, k2 long, bands array<long>, sketch array<long>"), "digests")
     filled = digests.where("doc is not null and n > 0")
     classes, classes_path = materialise(filled.groupBy("k1", "k2").agg(F.min("doc").alias("rep")), "classes")
@@ -128,10 +126,12 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     sizes = filled.select("doc", "n", "sketch").dropDuplicates(["doc"])
     left, left_path = materialise(placed.join(mixed, "bucket").join(sizes, "doc"), "mixed")
     x, y = left.alias("x"), left.alias("y")
-    lanes = bands * rows // 8
+    lanes = -(-bands * rows // 64)
+    odd = (1 - float(limit)) / 2
+    allowed = math.ceil(bands * rows * odd + SPREAD * math.sqrt(bands * rows * odd * (1 - odd)))
     likely = (
         f"x.bucket = y.bucket and x.doc < y.doc and x.component <> y.component and least(x.n, y.n) * {limit.denominator}L >= {limit.numerator}L * greatest(x.n, y.n) "
-        f"and {_differing('x.sketch', 'y.sketch', lanes)} <= {int((1 - float(limit) + SLACK) * lanes * 8) + 1}"
+        f"and {_differing('x.sketch', 'y.sketch', lanes)} <= {allowed}"
     )
     alike = (
         x.join(y, F.expr(likely)).select(F.col("x.doc").alias("a"), F.col("y.doc").alias("b")).distinct()
