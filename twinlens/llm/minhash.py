@@ -26,17 +26,22 @@ from twinlens.sources.scratch import drop, materialise
 
 #: 40 bands of 6 coordinates: a pair of similarity 0.85 shares no band with probability 6e-9, one of 0.8 with 3e-6.
 BANDS, ROWS = 40, 6
-#: Pairs across components are verified if their one-bit sketches differ by no more than this many standard deviations over what the threshold gives.
+#: Coordinates of a sketch: the first BANDS * ROWS make the bands, two bits of each make the packed sketch.
+BINS = 1024
+#: Pairs across components are verified if their two-bit sketches differ by no more than this many standard deviations over what the threshold gives.
 SPREAD = 6.0
+#: A verifying task holds the shingle sets of so many documents of so many shingles at most (8 MB) for their next pair.
+RECENT, SHORT = 1024, 1024
 
 
-def _one_bit(sketch: np.ndarray) -> np.ndarray:
-    """A bit of each coordinate, packed into longs: coordinates that differ give different bits half the time."""
-    bits = np.packbits((mix(sketch) & np.uint64(1)).astype(np.uint8))
-    return np.concatenate((bits, np.zeros(-len(bits) % 8, np.uint8))).view(np.int64)
+def _two_bits(sketch: np.ndarray) -> np.ndarray:
+    """Two bits of each coordinate, as two planes of packed longs: coordinates that differ give different bits in three of four cases."""
+    mixed = mix(sketch)
+    planes = [np.packbits(((mixed >> np.uint64(k)) & np.uint64(1)).astype(np.uint8)) for k in range(2)]
+    return np.concatenate([np.concatenate((p, np.zeros(-len(p) % 8, np.uint8))).view(np.int64) for p in planes])
 
 
-def _digest_rows(width: int, bands: int, rows: int):
+def _digest_rows(width: int, bands: int, rows: int, bins: int):
     schema = pa.schema([("doc", pa.int64()), ("n", pa.int64()), ("k1", pa.int64()), ("k2", pa.int64()), ("bands", pa.list_(pa.int64())), ("sketch", pa.list_(pa.int64()))])
     lanes = np.arange(1, rows + 1, dtype=np.uint64) * np.uint64(0xA24BAED4963EE407)
     band_no = np.arange(1, bands + 1, dtype=np.uint64) * np.uint64(0x9FB21C651E98DF25)
@@ -49,9 +54,9 @@ def _digest_rows(width: int, bands: int, rows: int):
                 row = (doc, len(items), None, None, None, None)
                 if len(items):
                     keys = [int(mix(items + np.uint64(s)).sum(dtype=np.uint64).view(np.int64)) for s in (11, 23)]
-                    sketch = similarity_sketch(items, bands * rows)
-                    hashed = mix((mix(sketch.reshape(bands, rows) + lanes)).sum(axis=1, dtype=np.uint64) + band_no)
-                    row = (doc, len(items), *keys, hashed.view(np.int64), _one_bit(sketch))
+                    sketch = similarity_sketch(items, bins)
+                    hashed = mix((mix(sketch[: bands * rows].reshape(bands, rows) + lanes)).sum(axis=1, dtype=np.uint64) + band_no)
+                    row = (doc, len(items), *keys, hashed.view(np.int64), _two_bits(sketch))
                 for held, value in zip(out, row, strict=True):
                     held.append(value)
             yield pa.record_batch([pa.array(v, type=f.type) for v, f in zip(out, schema, strict=True)], schema=schema)
@@ -63,7 +68,7 @@ def _verify(width: int, num: int, den: int):
     schema = pa.schema([("a", pa.int64()), ("b", pa.int64())])
 
     def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held, held_set = None, None
+        held, held_set, recent = None, None, {}
         for batch in batches:
             good_a, good_b = [], []
             ids = zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True)
@@ -71,7 +76,13 @@ def _verify(width: int, num: int, den: int):
             for (a, b), (text_a, text_b) in zip(ids, texts, strict=True):
                 if a != held:
                     held, held_set = a, shingle_set(word_hashes(text_a), width)
-                other = shingle_set(word_hashes(text_b), width)
+                other = recent.get(b)
+                if other is None:
+                    other = shingle_set(word_hashes(text_b), width)
+                    if len(other) <= SHORT:
+                        if len(recent) >= RECENT:
+                            recent.clear()
+                        recent[b] = other
                 both = len(np.intersect1d(held_set, other, assume_unique=True))
                 if den * both >= num * (len(held_set) + len(other) - both):
                     good_a.append(a)
@@ -82,8 +93,8 @@ def _verify(width: int, num: int, den: int):
 
 
 def _differing(x: str, y: str, lanes: int) -> str:
-    """SQL for in how many bits two arrays of ``lanes`` longs differ."""
-    return " + ".join(f"bit_count({x}[{k}] ^ {y}[{k}])" for k in range(lanes))
+    """SQL for in how many coordinates two sketches of two planes of ``lanes`` longs differ."""
+    return " + ".join(f"bit_count(({x}[{k}] ^ {y}[{k}]) | ({x}[{k + lanes}] ^ {y}[{k + lanes}]))" for k in range(lanes))
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 5, threshold: float = 0.8, bands: int = BANDS, rows: int = ROWS) -> DataFrame:
@@ -104,7 +115,8 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     spark = docs.sparkSession
     source = docs.select(F.col(id_col).cast("long").alias("doc"), F.col(text_col).alias("text"))
     limit = Fraction(str(threshold))
-    digests, _ = materialise(source.mapInArrow(_digest_rows(width, bands, rows), "doc long, n long, k1 long, k2 long, bands array<long>, sketch array<long>"), "digests")
+    bins = max(BINS, bands * rows)
+    digests, _ = materialise(source.mapInArrow(_digest_rows(width, bands, rows, bins), "doc long, n long, k1 long, k2 long, bands array<long>, sketch array<long>"), "digests")
     filled = digests.where("doc is not null and n > 0")
     classes, classes_path = materialise(filled.groupBy("k1", "k2").agg(F.min("doc").alias("rep")), "classes")
 
@@ -113,8 +125,16 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     members = reps.select("doc", F.explode("bands").alias("bucket"))
     crowd, crowd_path = materialise(_shared_buckets(members), "buckets")
 
+    lanes = -(-bins // 64)
+    odd = 0.75 * (1 - float(limit))
+    allowed = math.ceil(bins * odd + SPREAD * math.sqrt(bins * odd * (1 - odd)))
+    close = f"least(x.n, y.n) * {limit.denominator}L >= {limit.numerator}L * greatest(x.n, y.n) and {_differing('x.sketch', 'y.sketch', lanes)} <= {allowed}"
+    sizes = filled.select("doc", "n", "sketch", "bands").join(crowd.select("doc").distinct(), "doc", "left_semi").dropDuplicates(["doc"])
+
     hub_pairs = crowd.where("doc <> hub").select(F.col("hub").alias("a"), F.col("doc").alias("b")).distinct()
-    tested, tested_path = materialise(hub_pairs, "tested")
+    sized = sizes.select("doc", "n", "sketch")
+    hub_close = hub_pairs.join(sized.alias("x"), F.expr("a = x.doc")).join(sized.alias("y"), F.expr("b = y.doc")).where(close).select("a", "b")
+    tested, tested_path = materialise(hub_close, "tested")
     first = _verified(spark, source, tested, width, limit)
     links, links_path = materialise(first, "links")
     comps, comps_path = materialise(connected_components(links), "components")
@@ -123,18 +143,13 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     # Sketches are compared within the join, so what it puts out are likely links and not all pairs of a bucket.
     placed = crowd.join(comps.select(F.col("id").alias("doc"), "component"), "doc", "left").select("bucket", "doc", F.coalesce("component", "doc").alias("component"))
     mixed = placed.groupBy("bucket").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo <> hi").select("bucket")
-    sizes = filled.select("doc", "n", "sketch").dropDuplicates(["doc"])
     left, left_path = materialise(placed.join(mixed, "bucket").join(sizes, "doc"), "mixed")
     x, y = left.alias("x"), left.alias("y")
-    lanes = -(-bands * rows // 64)
-    odd = (1 - float(limit)) / 2
-    allowed = math.ceil(bands * rows * odd + SPREAD * math.sqrt(bands * rows * odd * (1 - odd)))
-    likely = (
-        f"x.bucket = y.bucket and x.doc < y.doc and x.component <> y.component and least(x.n, y.n) * {limit.denominator}L >= {limit.numerator}L * greatest(x.n, y.n) "
-        f"and {_differing('x.sketch', 'y.sketch', lanes)} <= {allowed}"
-    )
+    # A pair that shares several buckets is put out by the first of its bands only.
+    once = "x.bands[cast(array_position(zip_with(x.bands, y.bands, (p, q) -> p = q), true) as int) - 1] = x.bucket"
+    across = F.expr(f"x.bucket = y.bucket and x.doc < y.doc and x.component <> y.component and {close} and {once}")
     alike = (
-        x.join(y, F.expr(likely)).select(F.col("x.doc").alias("a"), F.col("y.doc").alias("b")).distinct()
+        x.join(y, across).select(F.col("x.doc").alias("a"), F.col("y.doc").alias("b"))
         .join(tested.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")), ["a", "b"], "left_anti")
     )
     late, late_path = materialise(alike, "late")
