@@ -23,8 +23,8 @@ def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of near duplicates the document with the smallest id stays; documents with a null id stay."""
-    found = minhash.near_duplicates(docs, width=3, threshold=0.85)
+    """Of each group of near duplicates (five-word shingles, similarity 0.8 or more) the document with the smallest id stays; documents with a null id stay."""
+    found = minhash.near_duplicates(docs, width=5, threshold=0.8)
     kept = found.where("kept and doc_id is not null").select("doc_id")
     rows = docs.where("doc_id is not null").join(kept, "doc_id", "left_semi").dropDuplicates(["doc_id"])
     return rows.unionByName(docs.where("doc_id is null")).select(*docs.columns)
