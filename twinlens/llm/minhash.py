@@ -116,12 +116,18 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     source = docs.select(F.col(id_col).cast("long").alias("doc"), F.col(text_col).alias("text"))
     limit = Fraction(str(threshold))
     bins = max(BINS, bands * rows)
-    digests, _ = materialise(source.mapInArrow(_digest_rows(width, bands, rows, bins), "doc long, n long, k1 long, k2 long, bands array<long>, sketch array<long>"), "digests")
+    digests, digests_path = materialise(source.mapInArrow(_digest_rows(width, bands, rows, bins), "doc long, n long, k1 long, k2 long, bands array<long>, sketch array<long>"), "digests")
     filled = digests.where("doc is not null and n > 0")
     classes, classes_path = materialise(filled.groupBy("k1", "k2").agg(F.min("doc").alias("rep")), "classes")
 
     # Representatives only: a class of any size is one member of its buckets.
-    reps = filled.join(classes.select(F.col("rep").alias("doc"), "k1", "k2"), ["doc", "k1", "k2"]).select("doc", "bands").dropDuplicates(["doc"])
+    # The wide columns (bands, sketch) are shuffled once for these and once for the few that share a bucket.
+    # An id with several texts stands for one of them here.
+    single = classes.groupBy(F.col("rep").alias("doc")).agg(F.min(F.struct("k1", "k2")).alias("key")).select("doc", "key.k1", "key.k2")
+    chosen = filled.join(single, ["doc", "k1", "k2"]).dropDuplicates(["doc", "k1", "k2"])
+    reps, reps_path = materialise(chosen.select("doc", "n", "bands", "sketch"), "reps")
+    keys, _ = materialise(digests.select("doc", "n", "k1", "k2"), "keys")
+    drop(spark, digests_path)
     members = reps.select("doc", F.explode("bands").alias("bucket"))
     crowd, crowd_path = materialise(_shared_buckets(members), "buckets")
 
@@ -129,14 +135,16 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     odd = 0.75 * (1 - float(limit))
     allowed = math.ceil(bins * odd + SPREAD * math.sqrt(bins * odd * (1 - odd)))
     close = f"least(x.n, y.n) * {limit.denominator}L >= {limit.numerator}L * greatest(x.n, y.n) and {_differing('x.sketch', 'y.sketch', lanes)} <= {allowed}"
-    sizes = filled.select("doc", "n", "sketch", "bands").join(crowd.select("doc").distinct(), "doc", "left_semi").dropDuplicates(["doc"])
+    sizes, sizes_path = materialise(reps.join(crowd.select("doc").distinct(), "doc", "left_semi").dropDuplicates(["doc"]), "sizes")
+    drop(spark, reps_path)
 
     hub_pairs = crowd.where("doc <> hub").select(F.col("hub").alias("a"), F.col("doc").alias("b")).distinct()
     sized = sizes.select("doc", "n", "sketch")
     hub_close = hub_pairs.join(sized.alias("x"), F.expr("a = x.doc")).join(sized.alias("y"), F.expr("b = y.doc")).where(close).select("a", "b")
     tested, tested_path = materialise(hub_close, "tested")
-    first = _verified(spark, source, tested, width, limit)
+    first, texts_path = _verified(spark, source, tested, width, limit)
     links, links_path = materialise(first, "links")
+    drop(spark, texts_path)
     comps, comps_path = materialise(connected_components(links), "components")
 
     # Buckets that still hold several components: pairs across them whose sizes and sketches allow the threshold.
@@ -146,21 +154,20 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     left, left_path = materialise(placed.join(mixed, "bucket").join(sizes, "doc"), "mixed")
     x, y = left.alias("x"), left.alias("y")
     # A pair that shares several buckets is put out by the first of its bands only.
-    once = "x.bands[cast(array_position(zip_with(x.bands, y.bands, (p, q) -> p = q), true) as int) - 1] = x.bucket"
+    once = "coalesce(get(x.bands, cast(array_position(zip_with(x.bands, y.bands, (p, q) -> p = q), true) as int) - 1) = x.bucket, true)"
     across = F.expr(f"x.bucket = y.bucket and x.doc < y.doc and x.component <> y.component and {close} and {once}")
     alike = (
         x.join(y, across).select(F.col("x.doc").alias("a"), F.col("y.doc").alias("b"))
         .join(tested.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")), ["a", "b"], "left_anti")
     )
     late, late_path = materialise(alike, "late")
-    more = _verified(spark, source, late, width, limit)
+    more, texts_path = _verified(spark, source, late, width, limit)
     whole, _ = materialise(connected_components(comps.select(F.col("id").alias("a"), F.col("component").alias("b")).unionByName(more)), "components")
-    drop(spark, crowd_path, tested_path, links_path, left_path, late_path, comps_path)
+    drop(spark, texts_path, sizes_path, crowd_path, tested_path, links_path, left_path, late_path, comps_path)
 
     roots = classes.join(whole.withColumnRenamed("id", "rep"), "rep", "left").select("k1", "k2", F.coalesce("component", "rep").alias("root"))
     return (
-        digests.select("doc", "n", "k1", "k2")
-        .join(roots, ["k1", "k2"], "left")
+        keys.join(roots, ["k1", "k2"], "left")
         .select(
             F.col("doc").alias("doc_id"),
             F.col("n").alias("n_shingles"),
@@ -176,13 +183,14 @@ def _shared_buckets(members: DataFrame) -> DataFrame:
     return members.join(hubs, "bucket")
 
 
-def _verified(spark: SparkSession, source: DataFrame, pairs: DataFrame, width: int, limit: Fraction) -> DataFrame:
-    """The pairs whose full shingle sets are as similar as asked."""
+def _verified(spark: SparkSession, source: DataFrame, pairs: DataFrame, width: int, limit: Fraction) -> tuple[DataFrame, str]:
+    """The pairs whose full shingle sets are as similar as asked, and the path of the texts they are read from."""
     ids = pairs.select(F.col("a").alias("doc")).unionByName(pairs.select(F.col("b").alias("doc"))).distinct()
-    texts, _ = materialise(source.where("doc is not null").join(ids, "doc", "left_semi").dropDuplicates(["doc"]), "texts")
-    return (
+    texts, path = materialise(source.where("doc is not null").join(ids, "doc", "left_semi").dropDuplicates(["doc"]), "texts")
+    found = (
         pairs.join(texts.select(F.col("doc").alias("b"), F.col("text").alias("tb")), "b")
         .join(texts.select(F.col("doc").alias("a"), F.col("text").alias("ta")), "a")
         .select("a", "b", "ta", "tb")
         .mapInArrow(_verify(width, limit.numerator, limit.denominator), "a long, b long")
     )
+    return found, path
