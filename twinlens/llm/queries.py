@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from twinlens.llm import chat, decontam, embeddings, html, langid, minhash, mixing, repair, tokens, warc
 
 #: Documents whose crc32 of the id as text leaves this remainder by 4 are held out of the language model's fit.
-HELD_OUT = F.expr("crc32(cast(doc_id as string)) % 4 = 2")
+HELD_OUT = "crc32(cast(doc_id as string)) % 4 = 2"
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -22,13 +22,13 @@ def op1_embedding_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def language_model(docs: DataFrame) -> langid.Model:
-    return langid.fit(docs.where(F.coalesce(~HELD_OUT, F.lit(False))))
+    return langid.fit(docs.where(F.coalesce(~F.expr(HELD_OUT), F.lit(False))))
 
 
 def op2_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _table(spark, sf_dir, "documents")
     found = langid.identify(docs, language_model(docs))
-    return found.select("doc_id", F.coalesce(HELD_OUT, F.lit(False)).alias("held_out"), "lang_pred", "score", "spans")
+    return found.select("doc_id", F.coalesce(F.expr(HELD_OUT), F.lit(False)).alias("held_out"), "lang_pred", "score", "spans")
 
 
 def op3_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
