@@ -188,6 +188,16 @@ def test_html():
     assert html.main_text(plain) == ("text " * 40).strip() + "\n" + ("more " * 40).strip()
 
 
+def test_html_weighs_text_outside_articles():
+    body, more, lead, reader = (" ".join([w] * 40) for w in ("body", "more", "lead", "reader"))
+    cards = f"<div class=post><p>{body}<p>{more}</div><article><a href=x>Card one</a></article><article><a href=y>Card two</a></article>"
+    assert html.main_text(cards) == f"{body}\n{more}"
+    comments = f"<div class=post><p>{body}</div><section><article class='comment'><p>{reader}</article><article role=complementary>{reader}</article></section>"
+    assert html.main_text(comments) == body
+    assert html.main_text(f"<p>{lead}</p><article><h1>Head</h1><p>{body}</p></article><div>&copy; x</div>") == f"{lead}\nHead\n{body}"
+    assert html.main_text(f"<article class='category-social tag-search'><p>{body}</article>") == body
+
+
 def test_warc_round_trip(spark):
     rows = [(1, "u", "same"), (2, "u\r\nX: y", "same"), (3, "v", None), (4, "v", ""), (5, "w", "z\r\n\r\nWARC/1.1\r\n" * 9000), (None, None, "é")]
     got = {r["page_id"]: r for r in warc.archive_and_read(spark.createDataFrame(rows, "page_id long, url string, html string"), segment_bytes=1000).collect()}

@@ -2,9 +2,10 @@
 
 Markup is stripped into lines, one for each block; what stands in elements that
 never hold the article (menus, forms, scripts and the like, told by element or
-by class, id or role) weighs nothing. The weights (characters outside links) are
-summed over sliding windows of lines; the text starts where the sums surge and
-ends where they dive, and the lines between are kept.
+by class, id or role) weighs nothing. The weights (characters outside links, and a bonus in an article
+or main element that is mostly unlinked text) are summed over sliding windows of
+lines; the text starts where the sums surge and ends where they dive, and the
+lines between are kept.
 """
 
 from __future__ import annotations
@@ -35,11 +36,16 @@ _CLOSES_P = {
     "address", "article", "aside", "blockquote", "div", "dl", "fieldset", "footer", "form", "h1", "h2", "h3", "h4", "h5", "h6",
     "header", "hr", "main", "nav", "ol", "p", "pre", "section", "table", "ul",
 }
-_NAMES = re.compile(
-    r"(?:^|[\s_-])(?:ads?|advert\w*|banner|sponsor\w*|promo\w*|cookies?|consent|gdpr|notices?|newsletter|subscribe|signup|popup|modal|overlay|"
-    r"nav|navbar|navigation|menu|breadcrumbs?|sidebar|side-bar|aside|widget|footer|foot|masthead|site-header|header|topbar|toolbar|"
-    r"comments?|comment-list|respond|disqus|reply|replies|related|recommend\w*|share|sharing|social|pagination|pager|skip|search|login)(?:$|[\s_-])"
+_INSERTS = (
+    r"(?:ads?|advert\w*|sponsor\w*|promo\w*|cookies?|consent|gdpr|notices?|newsletter|subscribe|signup|popup|modal|overlay|"
+    r"comments?|comment-list|respond|disqus|reply|replies|related|recommend\w*|share|sharing|social|login)"
 )
+_PARTS = (
+    r"(?:banner|nav|navbar|navigation|menu|breadcrumbs?|sidebar|side-bar|aside|widget|footer|foot|masthead|site-header|header|topbar|toolbar|"
+    r"pagination|pager|skip|search)"
+)
+_INSERT_NAMES, _PART_NAMES = (re.compile(rf"(?:^|[\s_-]){x}(?:$|[\s_-])") for x in (_INSERTS, _PARTS))
+_OWN_INSERT = re.compile(rf"(?:^|\s){_INSERTS}(?:$|\s)")
 _ROLES = {"navigation", "banner", "contentinfo", "complementary", "search", "alert", "dialog", "form", "menu", "menubar"}
 
 _TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[(.*?)(?:\]\]>|\Z)|<[!?][^>]*>?|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>?", re.S)
@@ -51,24 +57,37 @@ _WHITE = re.compile(r"\s+")
 class Line:
     text: str
     linked: int  # characters in links, white space apart
-    boiler: bool
-    article: bool
+    boiler: bool  # by element or role
+    article: int  # number of the innermost article or main, 0 outside
+    name: int  # the innermost element around it that is named like boilerplate, -1 if none
+
+
+@dataclass
+class Named:
+    insert: bool  # named like an advertisement, a notice or comments, not like a part of the layout
+    article: int  # the innermost article around it, or itself; 0 outside
+    before: int  # articles up to it, itself included
+    parent: int  # the next named element around it, -1 if none
+    main: bool = False  # holds a main element
 
 
-def lines_of(page: str) -> list[Line]:
-    """The blocks of a page in order, markup stripped and references decoded."""
+def lines_of(page: str) -> tuple[list[Line], list[Named]]:
+    """The blocks of a page in order, markup stripped and references decoded, and the elements named like boilerplate."""
     out: list[Line] = []
+    named: list[Named] = []
+    articles = 0
     buffer: list[str] = []
     linked = 0
-    stack: list[tuple[str, bool, bool]] = []  # element, boilerplate, in an article
-    boiler = article = False
+    stack: list[tuple[str, bool, int, int]] = []  # element, boilerplate, article, named element
+    outside = (False, 0, -1)
+    boiler, article, inside = outside
     links = 0
 
     def close() -> None:
         nonlocal buffer, linked
         text = _WHITE.sub(" ", entities.unescape("".join(buffer))).strip()
         if text:
-            out.append(Line(text, linked, boiler, article))
+            out.append(Line(text, linked, boiler, article, inside))
         buffer, linked = [], 0
 
     def add(text: str) -> None:
@@ -96,14 +115,14 @@ def lines_of(page: str) -> list[Line]:
         if token[2]:
             if name == "a":
                 links = max(0, links - 1)
-            if name == "p" and not any(e == "p" for e, _, _ in stack):
+            if name == "p" and not any(e[0] == "p" for e in stack):
                 close()
             depth = next((k for k in range(len(stack) - 1, -1, -1) if stack[k][0] == name), None)
             if depth is not None:
                 if name not in _INLINE:
                     close()
                 del stack[depth:]
-                boiler, article = (stack[-1][1], stack[-1][2]) if stack else (False, False)
+                boiler, article, inside = stack[-1][1:] if stack else outside
             continue
         if name in _RAW:
             end = re.compile(rf"</{re.escape(name)}\s*>|\Z", re.I).search(page, at)
@@ -120,44 +139,82 @@ def lines_of(page: str) -> list[Line]:
                 open_p = next((k for k in range(len(stack) - 1, -1, -1) if stack[k][0] == "p"), None)
                 if open_p is not None:
                     del stack[open_p:]
-                    boiler, article = (stack[-1][1], stack[-1][2]) if stack else (False, False)
+                    boiler, article, inside = stack[-1][1:] if stack else outside
                     links = 0
             if name == "li":
                 same = next((k for k in range(len(stack) - 1, -1, -1) if stack[k][0] in ("li", "ul", "ol")), None)
                 if same is not None and stack[same][0] == "li":
                     del stack[same:]
-                    boiler, article = (stack[-1][1], stack[-1][2]) if stack else (False, False)
+                    boiler, article, inside = stack[-1][1:] if stack else outside
         if name in _VOID or token[4].rstrip().endswith("/"):
             continue
         if name == "a":
             links += 1
-        boiler = boiler or name in _SKIPPED or (name == "header" and not article) or _named_boiler(name, token[4])
-        article = article or (name in _ARTICLE and not boiler)
-        stack.append((name, boiler, article))
+        strong, weak = _boiler_names(name, token[4])
+        boiler = boiler or name in _SKIPPED or (name == "header" and not article) or strong
+        if name in _ARTICLE and not boiler:
+            articles += 1
+            article = articles
+            k = inside if name == "main" and not weak else -1
+            while k >= 0:
+                named[k].main, k = True, named[k].parent
+        if weak and not boiler:
+            named.append(Named(weak == "insert", article, articles, inside))
+            inside = len(named) - 1
+        stack.append((name, boiler, article, inside))
     close()
-    return out
+    return out, named
 
 
-def _named_boiler(name: str, attributes: str) -> bool:
-    if not attributes or name in ("body", "html", "article", "main"):
-        return False
+def _boiler_names(name: str, attributes: str) -> tuple[bool, str]:
+    """Whether an element is boilerplate by role or hidden; and "insert", "part" or nothing by class and id."""
+    weak = ""
+    if not attributes or name in ("body", "html"):
+        return False, weak
+    article = name in _ARTICLE
     for kind, *values in _ATTRIBUTE.findall(attributes):
         value = next((v for v in values if v), "").lower()
         kind = kind.lower()
-        if kind == "hidden" or (kind == "aria-hidden" and value == "true") or (kind == "role" and value in _ROLES):
-            return True
-        if kind in ("class", "id") and _NAMES.search(value):
-            return True
-    return False
+        if kind == "role" and value in _ROLES:
+            return True, weak
+        if not article and (kind == "hidden" or (kind == "aria-hidden" and value == "true")):
+            return True, weak
+        if kind in ("class", "id"):
+            if article:  # posts carry the names of their categories and tags: whole names only
+                weak = weak or ("insert" if _OWN_INSERT.search(value) else "")
+                continue
+            if _INSERT_NAMES.search(value):
+                weak = "insert"
+            elif _PART_NAMES.search(value):
+                weak = weak or "part"
+    return False, weak
+
+
+def _unlinked(line: Line) -> int:
+    return max(0, len(line.text.replace(" ", "")) - line.linked)
+
+
+def _content(lines: list[Line], named: list[Named]) -> list[Line]:
+    """The lines outside boilerplate."""
+    return [x for x in lines if not x.boiler and x.name < 0]
 
 
 def main_text(page: str | None, window: int = WINDOW, surge: int = SURGE) -> str:
     """The kept lines of a page, joined by line feeds; empty for null, empty and textless pages."""
-    lines = [x for x in lines_of(page or "") if not x.boiler]
-    marked = any(x.article for x in lines)
-    # An article element is a surge of its own: its lines weigh a full window at least, those outside nothing.
-    weights = [(max(surge, len(x.text)) if x.article else 0) if marked else max(0, len(x.text.replace(" ", "")) - x.linked) for x in lines]
-    sums = [sum(weights[k : k + window]) for k in range(len(weights))]
+    lines = _content(*lines_of(page or ""))
+    own = [_unlinked(x) for x in lines]
+    balance: dict[int, int] = {}  # unlinked less linked characters of each article
+    for x, w in zip(lines, own, strict=True):
+        if x.article:
+            balance[x.article] = balance.get(x.article, 0) + w - x.linked
+    marked = [balance.get(x.article, 0) > 0 for x in lines]
+    bonus = -(-surge // window)  # a window of lines in an article surges
+    weights = [w + bonus if m else w for w, m in zip(own, marked, strict=True)]
+    # Windows end where an article begins or ends: neither side lifts the other.
+    sums = []
+    for k in range(len(lines)):
+        end = next((j for j in range(k, min(k + window, len(lines))) if marked[j] != marked[k]), k + window)
+        sums.append(sum(weights[k:end]))
     kept: list[str] = []
     k = 0
     while k < len(lines):
@@ -165,10 +222,10 @@ def main_text(page: str | None, window: int = WINDOW, surge: int = SURGE) -> str
             k += 1
             continue
         start = k  # surge: the window that opens here is full of text
-        while k < len(lines) and weights[k]:
+        while k < len(lines) and weights[k] and marked[k] == marked[start]:
             k += 1  # dive: a line without text of its own
         kept.extend(x.text for x in lines[start:k])
-    if not kept and not marked:
+    if not kept:
         kept = [x.text for x, w in zip(lines, weights, strict=True) if w]
     return "\n".join(kept)
 
