@@ -198,6 +198,18 @@ def test_html_weighs_text_outside_articles():
     assert html.main_text(f"<article class='category-social tag-search'><p>{body}</article>") == body
 
 
+def test_html_ignores_names_of_wrappers():
+    body, side, reader = (" ".join([w] * n) for w, n in (("body", 90), ("side", 30), ("reader", 400)))
+    for name in ("layout-with-sidebar", "has-sidebar", "page no-ads", "content-header", "nav"):
+        for inner in (f"<article>{body}</article>", f"<main>{body}</main>", f"<p>{body}</p>", f"<div class=header><p>{body}</p></div>"):
+            assert html.main_text(f"<p><a href=x>Slogan</a></p><div class='{name}'>{inner}<div class=sidebar>{side}</div></div>") == body
+    assert html.main_text(f"<article><p>{body}</article><div id=comments><article>{reader}</article></div>") == body
+    assert html.main_text(f"<p>{body}</p><div id=comments><p>{reader}</div>") == body
+    parts = f"<div class=header><p>{body}</div><div class=widget><p>{body}</div>"
+    assert html.main_text(parts) == f"{body}\n{body}"
+    assert html.main_text(f"<p>Short.</p><div class=cookie-notice>{side}</div>") == "Short."
+
+
 def test_warc_round_trip(spark):
     rows = [(1, "u", "same"), (2, "u\r\nX: y", "same"), (3, "v", None), (4, "v", ""), (5, "w", "z\r\n\r\nWARC/1.1\r\n" * 9000), (None, None, "é")]
     got = {r["page_id"]: r for r in warc.archive_and_read(spark.createDataFrame(rows, "page_id long, url string, html string"), segment_bytes=1000).collect()}

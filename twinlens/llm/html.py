@@ -2,7 +2,8 @@
 
 Markup is stripped into lines, one for each block; what stands in elements that
 never hold the article (menus, forms, scripts and the like, told by element or
-by class, id or role) weighs nothing. The weights (characters outside links, and a bonus in an article
+role, or by a class or id unless the element turns out to wrap the content)
+weighs nothing. The weights (characters outside links, and a bonus in an article
 or main element that is mostly unlinked text) are summed over sliding windows of
 lines; the text starts where the sums surge and ends where they dive, and the
 lines between are kept.
@@ -46,6 +47,8 @@ _PARTS = (
 )
 _INSERT_NAMES, _PART_NAMES = (re.compile(rf"(?:^|[\s_-]){x}(?:$|[\s_-])") for x in (_INSERTS, _PARTS))
 _OWN_INSERT = re.compile(rf"(?:^|\s){_INSERTS}(?:$|\s)")
+#: Names that tell what a page has or lacks, not what the element is.
+_SAYS = re.compile(r"(?<!\S)(?:\S*[_-])?(?:no|has|with|without)[_-]\S*|\S*[_-](?:free|open|closed|enabled|disabled)(?!\S)")
 _ROLES = {"navigation", "banner", "contentinfo", "complementary", "search", "alert", "dialog", "form", "menu", "menubar"}
 
 _TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[(.*?)(?:\]\]>|\Z)|<[!?][^>]*>?|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>?", re.S)
@@ -183,6 +186,7 @@ def _boiler_names(name: str, attributes: str) -> tuple[bool, str]:
             if article:  # posts carry the names of their categories and tags: whole names only
                 weak = weak or ("insert" if _OWN_INSERT.search(value) else "")
                 continue
+            value = _SAYS.sub(" ", value)
             if _INSERT_NAMES.search(value):
                 weak = "insert"
             elif _PART_NAMES.search(value):
@@ -194,14 +198,52 @@ def _unlinked(line: Line) -> int:
     return max(0, len(line.text.replace(" ", "")) - line.linked)
 
 
-def _content(lines: list[Line], named: list[Named]) -> list[Line]:
-    """The lines outside boilerplate."""
-    return [x for x in lines if not x.boiler and x.name < 0]
+def _content(lines: list[Line], named: list[Named], surge: int) -> list[Line]:
+    """The lines outside boilerplate. A name is ignored where its element wraps the content.
+
+    That is where it holds a main element, or the most of the text, characters of
+    its articles counted twice, or articles that outweigh the text under no name
+    while no other article stands there. An advertisement, a notice or comments
+    must hold the only articles and the most of the text, or all of it. Where no
+    part does and little else is left, names of parts of the layout are ignored.
+    """
+    lines = [x for x in lines if not x.boiler]
+    if not named:
+        return lines
+    inserted: list[bool] = []  # whether an element is an insert or in one
+    for e in named:
+        inserted.append(e.insert or (e.parent >= 0 and inserted[e.parent]))
+    rest = sum(_unlinked(x) for x in lines if x.name < 0)
+    total = sum(_unlinked(x) for x in lines if x.name < 0 or not inserted[x.name])
+    bare = any(x.article for x in lines if x.name < 0)
+    # Characters in each named element, outside those in it that stay boilerplate: in no article that begins in it, and in one.
+    plain, marked = [0] * len(named), [0] * len(named)
+    for x in lines:
+        if x.name >= 0:
+            (marked if x.article > named[x.name].before else plain)[x.name] += _unlinked(x)
+    ignored = [False] * len(named)
+    for k in range(len(named) - 1, -1, -1):  # inner elements first
+        e, text = named[k], plain[k] + marked[k]
+        others = total if inserted[k] else total - text
+        most, sole = text + marked[k] > others, marked[k] > 0 and not bare
+        if e.insert:
+            ignored[k] = most and (sole or (others == 0 and text >= surge))
+        else:
+            ignored[k] = (most and (marked[k] > 0 or text >= surge)) or (sole and text + marked[k] > rest)
+        ignored[k] = ignored[k] or (e.main and text > 0)
+        if ignored[k] and e.parent >= 0:
+            marked[e.parent] += marked[k]
+            (marked if e.article > named[e.parent].before else plain)[e.parent] += plain[k]
+    for k, e in enumerate(named):  # outer elements first
+        ignored[k] = ignored[k] and (e.parent < 0 or ignored[e.parent])
+    if rest < surge <= total - rest and not bare and not any(ignored):
+        ignored = [not x for x in inserted]
+    return [x for x in lines if x.name < 0 or ignored[x.name]]
 
 
 def main_text(page: str | None, window: int = WINDOW, surge: int = SURGE) -> str:
     """The kept lines of a page, joined by line feeds; empty for null, empty and textless pages."""
-    lines = _content(*lines_of(page or ""))
+    lines = _content(*lines_of(page or ""), surge)
     own = [_unlinked(x) for x in lines]
     balance: dict[int, int] = {}  # unlinked less linked characters of each article
     for x, w in zip(lines, own, strict=True):
