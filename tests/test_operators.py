@@ -1,5 +1,6 @@
 import random
 from itertools import combinations
+from pathlib import Path
 
 import pytest
 from pyspark.sql import functions as F
@@ -177,3 +178,25 @@ def test_entry_imports_without_optional_parts():
     import __spark_entry__
 
     assert set(__spark_entry__.oracle_sql()) <= set(__spark_entry__.queries())
+
+
+@pytest.mark.parametrize("name", ["neighbors_customer_all"])
+def test_whole_queries_against_sql(spark, name):
+    import __spark_entry__
+
+    duckdb = pytest.importorskip("duckdb")
+    folder = "/root/testdata/sf0.001"
+    with duckdb.connect() as db:
+        for path in Path(folder).glob("*.parquet"):
+            db.execute(f"create view {path.stem} as select * from '{path}'")
+        expected = db.execute(__spark_entry__.oracle_sql()[name]).fetchall()
+    got = [tuple(r) for r in __spark_entry__.queries()[name](spark, folder).collect()]
+    assert sorted(got) == sorted(expected) and got
+
+
+def test_neighbours_of_every_customer(spark):
+    import __spark_entry__
+
+    folder = "/root/testdata/sf0.001"
+    got = __spark_entry__.queries()["neighbors_customer_all"](spark, folder)
+    assert got.select("id").distinct().count() == spark.read.parquet(f"{folder}/customer.parquet").count()

@@ -400,13 +400,22 @@ def audit_groups_part(spark, sf_dir):
     return found.select("survivor_id", F.array_join("absorbed_ids", ",").alias("absorbed"), F.col("decided_by.human").alias("human"), F.col("decided_by.ai").alias("ai"))
 
 
-@_query("select 'c' || o_custkey::VARCHAR as id, 'out' as direction, 'PLACED' as rel_type, 'o' || o_orderkey::VARCHAR as neighbour, 'o' || o_orderkey::VARCHAR as display from orders where o_custkey < 20 union all select 'c' || c_custkey::VARCHAR, 'out', 'IN', 'n' || c_nationkey::VARCHAR, n_name from customer join nation on c_nationkey = n_nationkey where c_custkey < 20")
-def neighbors_customer(spark, sf_dir):
+def _customer_neighbours(spark, sf_dir, asked: Callable[[DataFrame], DataFrame]) -> DataFrame:
     orders, customers, nations = (_t(spark, sf_dir, n) for n in ("orders", "customer", "nation"))
     name = lambda letter, c: F.concat(F.lit(letter), F.col(c).cast("string"))
     edges = orders.select(name("c", "o_custkey").alias("src"), name("o", "o_orderkey").alias("dst"), F.lit("PLACED").alias("rel_type")).unionByName(customers.select(name("c", "c_custkey").alias("src"), name("n", "c_nationkey").alias("dst"), F.lit("IN").alias("rel_type")))
     nodes = orders.select(name("o", "o_orderkey").alias("id"), F.lit(None).cast("string").alias("display")).unionByName(nations.select(name("n", "n_nationkey").alias("id"), F.col("n_name").alias("display")))
-    return review.neighbours(nodes, edges, customers.where("c_custkey < 20").select(name("c", "c_custkey").alias("id")))
+    return review.neighbours(nodes, edges, asked(customers).select(name("c", "c_custkey").alias("id")))
+
+
+@_query("select 'c' || o_custkey::VARCHAR as id, 'out' as direction, 'PLACED' as rel_type, 'o' || o_orderkey::VARCHAR as neighbour, 'o' || o_orderkey::VARCHAR as display from orders where o_custkey < 20 union all select 'c' || c_custkey::VARCHAR, 'out', 'IN', 'n' || c_nationkey::VARCHAR, n_name from customer join nation on c_nationkey = n_nationkey where c_custkey < 20")
+def neighbors_customer(spark, sf_dir):
+    return _customer_neighbours(spark, sf_dir, lambda customers: customers.where("c_custkey < 20"))
+
+
+@_query("select 'c' || o_custkey::VARCHAR as id, 'out' as direction, 'PLACED' as rel_type, 'o' || o_orderkey::VARCHAR as neighbour, 'o' || o_orderkey::VARCHAR as display from orders where o_custkey in (select c_custkey from customer) union all select 'c' || c_custkey::VARCHAR, 'out', 'IN', 'n' || c_nationkey::VARCHAR, n_name from customer join nation on c_nationkey = n_nationkey")
+def neighbors_customer_all(spark, sf_dir):
+    return _customer_neighbours(spark, sf_dir, lambda customers: customers)
 
 
 @_query("select conv_id as id, conv_id::VARCHAR || '-' || turn::VARCHAR as chunk_id, turn as index, text from conversations where text is not null")
