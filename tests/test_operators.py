@@ -180,7 +180,7 @@ def test_entry_imports_without_optional_parts():
     assert set(__spark_entry__.oracle_sql()) <= set(__spark_entry__.queries())
 
 
-@pytest.mark.parametrize("name", ["neighbors_customer_all"])
+@pytest.mark.parametrize("name", ["neighbors_customer_all", "queue_pending_first_all_part", "queue_score_desc_all_part"])
 def test_whole_queries_against_sql(spark, name):
     import __spark_entry__
 
@@ -200,3 +200,13 @@ def test_neighbours_of_every_customer(spark):
     folder = "/root/testdata/sf0.001"
     got = __spark_entry__.queries()["neighbors_customer_all"](spark, folder)
     assert got.select("id").distinct().count() == spark.read.parquet(f"{folder}/customer.parquet").count()
+
+
+def test_queue_positions_are_those_of_one_sort(spark):
+    rng = random.Random(3)
+    rows = [(f"p{k:04d}", rng.choice(["pending", "distinct"]), rng.random() < 0.8) for k in range(1000)]
+    rng.shuffle(rows)
+    pairs = spark.createDataFrame(rows, "pair_id string, verdict string, surfaced boolean").repartition(7)
+    expected = sorted((v != "pending", p) for p, v, s in rows if s)
+    got = {r["pair_id"]: r["position"] for r in review.queue_positions(pairs).collect()}
+    assert got == {p: n for n, (_, p) in enumerate(expected, 1)} and len(got) > 50

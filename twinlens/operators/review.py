@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from twinlens.sources.scratch import materialise
+
 
 def upsert_pairs(old: DataFrame, new: DataFrame, strict: bool = False) -> DataFrame:
     """Old pairs joined with a rerun's: verdict, decision and note stay; a surfaced or decided pair stays surfaced.
@@ -40,7 +42,7 @@ def backfill_decided_by(pairs: DataFrame) -> DataFrame:
 
 
 def queue(pairs: DataFrame, order: str = "pending-first", verdict: str | None = None) -> DataFrame:
-    """Surfaced pairs in review order, with their position."""
+    """Surfaced pairs in review order."""
     shown = pairs.where("surfaced")
     if verdict:
         shown = shown.where(F.col("verdict") == verdict)
@@ -53,6 +55,17 @@ def queue(pairs: DataFrame, order: str = "pending-first", verdict: str | None =
     return shown.orderBy(*orders[order])
 
 
+def queue_positions(pairs: DataFrame, order: str = "pending-first", verdict: str | None = None) -> DataFrame:
+    """The whole queue with each pair's ``position`` in it, counted from 1."""
+    # Numbers grow from row to row of the sorted table: its partition in the high bits, the row within it below.
+    held, _ = materialise(queue(pairs, order, verdict).withColumn("_row", F.monotonically_increasing_id()), "queue")
+    held = held.withColumn("_part", F.shiftright("_row", 33))
+    before = F.coalesce(F.sum("_n").over(Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    counts = held.groupBy("_part").agg(F.count(F.lit(1)).alias("_n")).select("_part", before.alias("_before"))
+    within = F.col("_row") - F.shiftleft("_part", 33)
+    return held.join(counts, "_part").withColumn("position", F.col("_before") + within + 1).drop("_part", "_row", "_before")
+
+
 def verdict_counts(pairs: DataFrame) -> DataFrame:
     return pairs.groupBy("verdict").agg(F.count(F.lit(1)).alias("n"))
 

@@ -278,6 +278,17 @@ def queue_score_desc_part(spark, sf_dir):
     return review.queue(held, "score-desc").limit(50).select("pair_id", _r("max_score").alias("max_score"))
 
 
+@_query(_PAIRS_SQL + "select pair_id, verdict, row_number() over (order by verdict <> 'pending', pair_id) as position from pairs where surfaced")
+def queue_pending_first_all_part(spark, sf_dir):
+    return review.queue_positions(_stored(spark, sf_dir)[0]).select("pair_id", "verdict", "position")
+
+
+@_query(_PAIRS_SQL + "select pair_id, round(max_score, 6) as max_score, row_number() over (order by round(max_score, 9) desc, pair_id) as position from pairs where surfaced")
+def queue_score_desc_all_part(spark, sf_dir):
+    held = _stored(spark, sf_dir)[0].withColumn("max_score", F.round("max_score", 9))
+    return review.queue_positions(held, "score-desc").select("pair_id", _r("max_score").alias("max_score"), "position")
+
+
 _EVENTS_SQL = "with e as (select event_id, user_id::VARCHAR as pair_id, ts, case event_id % 3 when 0 then 'pending' when 1 then 'duplicate' else 'distinct' end as verdict, case when event_id % 2 = 0 then 'human' else 'ai' end as decided_by from events)"
 
 
