@@ -180,7 +180,7 @@ def test_entry_imports_without_optional_parts():
     assert set(__spark_entry__.oracle_sql()) <= set(__spark_entry__.queries())
 
 
-@pytest.mark.parametrize("name", ["neighbors_customer_all", "queue_pending_first_all_part", "queue_score_desc_all_part"])
+@pytest.mark.parametrize("name", ["neighbors_customer_all", "queue_pending_first_all_part", "queue_score_desc_all_part", "block_numeric_default_part", "block_vector_all_embeddings"])
 def test_whole_queries_against_sql(spark, name):
     import __spark_entry__
 

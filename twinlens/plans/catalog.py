@@ -149,6 +149,16 @@ def block_vector_embeddings(spark, sf_dir):
     return blocking.vector_pairs(nodes, "v").withColumn("score", F.round("score", 4)).where("score >= 0.3")
 
 
+@_query(f"select a.p_partkey::VARCHAR as id_a, b.p_partkey::VARCHAR as id_b, round({_NUM_SQL.format(v='p_retailprice')}, 6) as score from part a join part b on a.p_partkey::VARCHAR < b.p_partkey::VARCHAR where {_NUM_SQL.format(v='p_retailprice')} >= 0.95")
+def block_numeric_default_part(spark, sf_dir):
+    return blocking.numeric_pairs(_nodes(spark, sf_dir, "part", "p_partkey", v="p_retailprice"), "v", 0.95).withColumn("score", _r("score"))
+
+
+@_query("select a.vec_id::VARCHAR as id_a, b.vec_id::VARCHAR as id_b, round(least(1, greatest(0, list_dot_product(a.embedding::DOUBLE[], b.embedding::DOUBLE[]))), 4) as score from embeddings a join embeddings b on a.vec_id::VARCHAR < b.vec_id::VARCHAR")
+def block_vector_all_embeddings(spark, sf_dir):
+    return blocking.vector_pairs(_nodes(spark, sf_dir, "embeddings", "vec_id", v="embedding"), "v").withColumn("score", F.round("score", 4))
+
+
 def _nation_pairs(spark, sf_dir) -> DataFrame:
     n = _nodes(spark, sf_dir, "nation", "n_nationkey", name="n_name")
     a, b = n.select(F.col("id").alias("id_a"), F.col("name").alias("x")), n.select(F.col("id").alias("id_b"), F.col("name").alias("y"))
