@@ -248,6 +248,14 @@ def test_vectors_against_brute_force(spark):
     assert {i: (got[i]["n_links"], got[i]["component_id"]) for i, _ in rows} == {i: (sum(i in p for p in links), root[i]) for i, _ in rows}
 
 
+def test_near_vectors_gives_a_row_per_input_row(spark):
+    x, y = [1.0, 0.0, 0.0, 0.0], [0.99, 0.1, 0.0, 0.0]
+    rows = [(1, x), (1, x), (1, [2.0, 0.0, 0.0, 0.0]), (2, y), (3, None), (3, None), (None, x), (None, x), (None, None), (None, None)]
+    got = embeddings.near_vectors(spark.createDataFrame(rows, "vec_id long, embedding array<double>"), block_dims=2).collect()
+    expected = [(1, 1, 1, True)] * 3 + [(2, 1, 1, False)] + [(3, 0, 3, True)] * 2 + [(None, 0, None, True)] * 4
+    assert sorted(map(repr, (tuple(r) for r in got))) == sorted(map(repr, expected))
+
+
 def test_pipeline_on_a_small_corpus(spark, tmp_path):
     import corpus_pipeline
 

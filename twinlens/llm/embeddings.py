@@ -187,17 +187,19 @@ def near_vectors(vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "
     Null and zero vectors, those with a null or non-finite component and rows
     with a null id link with nothing (component_id is the id itself). Vectors
     link only with vectors of their own length. Equal vectors form one class of
-    a weight, so copies aren't multiplied into pairs. Ids are taken to be
-    distinct; a row repeated whole counts once. Labels and other columns are not
-    read. An empty table gives an empty result.
+    a weight, so copies aren't multiplied into pairs. Every input row comes out;
+    rows of one id and one direction count once in links, and each has the same
+    result. Labels and other columns are not read. An empty table gives an empty
+    result.
     """
     spark = vectors.sparkSession
     budget = 2.0 - 2.0 * cosine
-    rows = vectors.select(F.col(id_col).cast("long").alias("id"), F.col(vector_col).alias("v")).mapInArrow(_normalise, "id long, unit binary, dims int").distinct()
+    rows = vectors.select(F.col(id_col).cast("long").alias("id"), F.col(vector_col).alias("v")).mapInArrow(_normalise, "id long, unit binary, dims int")
     held, _ = materialise(rows.withColumn("key", F.sha2("unit", 256)), "units")
     sound = held.where("id is not null and unit is not null")
-    classes, _ = materialise(sound.groupBy("key").agg(F.min("id").alias("id"), F.count(F.lit(1)).alias("weight")), "vector-classes")
-    reps, _ = materialise(sound.join(classes, ["key", "id"]).select("id", "weight", "unit", "dims"), "representatives")
+    # Repeated rows count once in classes and links, and come back when the result is joined to every row.
+    classes, _ = materialise(sound.select("key", "id").distinct().groupBy("key").agg(F.min("id").alias("id"), F.count(F.lit(1)).alias("weight")), "vector-classes")
+    reps, _ = materialise(sound.join(classes, ["key", "id"]).dropDuplicates(["key", "id"]).select("id", "weight", "unit", "dims"), "representatives")
 
     # The rotation is fitted on a bounded sample by hash; any orthogonal basis gives the same links.
     rotations: dict[int, Rotation] = {}
