@@ -4,7 +4,7 @@ Writing is JVM work: a record is a row, and the blank lines that end a WARC
 record are the writer's line separator, so files are committed whole by Spark's
 protocol in any store. Large payloads are cut into continuation records.
 Reading parses whole files of bounded size by Content-Length, groups
-continuation records by origin identifier, orders them by segment number,
+continuation records by origin identifier (within a file first), orders them by segment number,
 verifies the total length and decodes chunked transfer framing.
 """
 
@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from twinlens.sources.scratch import materialise, scratch_path
+from twinlens.sources.scratch import drop, materialise, scratch_path
 
 #: Bytes of a record's block before it is continued, and of a file (about).
 SEGMENT_BYTES, FILE_BYTES = 32_768, 8 << 20
@@ -47,69 +47,76 @@ def _clean(text: Column) -> Column:
 
 
 def write_archives(pages: DataFrame, out: str, id_col: str = "page_id", url_col: str = "url", body_col: str = "html", least_revisit: int = 0, segment_bytes: int = SEGMENT_BYTES, file_bytes: int = FILE_BYTES) -> None:
-    """Write a response or revisit record per row to WARC files in the folder ``out``.
+    """Write a response or revisit record per row to gzipped WARC files in the folder ``out``.
 
     Of rows with equal payloads of at least ``least_revisit`` bytes that with the
     largest id is the response; the others revisit it. A null payload is empty.
     A row with a null id is always a response. Rows repeated under one id with
-    one payload are responses each if theirs is the largest id. The payload
-    itself isn't shuffled to find equals: the largest id of a digest is an
-    aggregate with map-side combine, joined back on (digest, length).
+    one payload are responses each if theirs is the largest id. An empty table
+    gives a folder without records; other columns are not read.
+
+    Equal payloads are found on digests alone. Those that occur more than once
+    are then joined to the rows: broadcast where Spark knows them to be small,
+    else each payload is shuffled once. The rows of a task go to files of about
+    ``file_bytes`` without a further shuffle. A payload may have up to 1 GB: its
+    hex digits pass through one string.
     """
     body = F.coalesce(F.col(body_col).cast("binary"), F.lit(b""))
-    sha = F.sha1(F.coalesce(F.col(body_col), F.lit("")))
+    sha = F.unhex(F.sha1(F.coalesce(F.col(body_col), F.lit(""))))
     rows = pages.select(F.col(id_col).cast("long").alias("id"), F.col(url_col).alias("url"), body.alias("body"), sha.alias("sha"), F.octet_length(F.coalesce(F.col(body_col), F.lit(""))).cast("long").alias("n"))
-    keys = rows.where(f"id is not null and n >= {least_revisit}")
-    leaders, _ = materialise(keys.groupBy("sha", "n").agg(F.max("id").alias("leader")), "leaders")
-    led = rows.join(leaders, ["sha", "n"], "left")
-    revisit = F.col("id").isNotNull() & F.col("leader").isNotNull() & (F.col("id") < F.col("leader"))
-    named = led.select(
-        "id", "url", "body", "n", "sha", F.when(revisit, F.col("leader")).alias("refers"),
-        _record_id(F.concat(F.lit("page:"), F.coalesce(F.col("id").cast("string"), F.concat(F.lit("null:"), "sha", F.coalesce("url", F.lit("")))))).alias("rid"),
+    digests, digests_path = materialise(rows.select("id", "sha", "n"), "digests")
+    shared = digests.where(f"id is not null and n >= {least_revisit}").groupBy("sha", "n").agg(F.max("id").alias("leader"), F.min("id").alias("other"))
+    leaders, leaders_path = materialise(shared.where("other < leader").select("sha", "n", "leader"), "leaders")
+    named = rows.join(leaders, ["sha", "n"], "left").withColumn("refers", F.expr("if(id < leader, leader, null)"))
+    hex_sha = F.hex("sha")
+    rid = _record_id(F.concat(F.lit("page:"), F.coalesce(F.col("id").cast("string"), F.concat(F.lit("null:"), F.coalesce("url", F.lit("")))), F.lit(":"), hex_sha))
+    revisit = F.col("refers").isNotNull()
+    nothing = F.lit("")
+    page_headers = F.concat(
+        F.lit("WARC-Target-URI: "), _clean(F.col("url")), F.lit(f"{_CRLF}WARC-Payload-Digest: sha1:"), _base32(hex_sha), F.lit(_CRLF),
+        F.when(F.col("id").isNotNull(), F.concat(F.lit("X-Page-Id: "), F.col("id").cast("string"), F.lit(_CRLF))).otherwise(nothing),
+        F.when(revisit, F.concat(
+            F.lit(f"WARC-Profile: http://netpreserve.org/warc/1.1/revisit/identical-payload-digest{_CRLF}WARC-Refers-To: "), _record_id(F.concat(F.lit("page:"), F.col("refers").cast("string"), F.lit(":"), hex_sha)),
+            F.lit(f"{_CRLF}X-Refers-To-Page-Id: "), F.col("refers").cast("string"), F.lit(_CRLF),
+        )).otherwise(nothing),
     )
-    digest = F.concat(F.lit("sha1:"), _base32(F.col("sha")))
-    page_headers = F.concat(F.lit("WARC-Target-URI: "), _clean(F.col("url")), F.lit(_CRLF), F.lit("WARC-Payload-Digest: "), digest, F.lit(_CRLF), F.when(F.col("id").isNotNull(), F.concat(F.lit("X-Page-Id: "), F.col("id").cast("string"), F.lit(_CRLF))).otherwise(F.lit("")))
     # A revisit's block is the header of the response, with the length of the payload that it stands for.
-    revisit_block = F.concat(F.lit(f"HTTP/1.1 200 OK{_CRLF}Content-Type: text/html; charset=utf-8{_CRLF}Content-Length: "), F.col("n").cast("string"), F.lit(_CRLF * 2))
-    revisits = named.where("refers is not null").select(
-        F.concat(
-            F.lit(f"WARC/1.1{_CRLF}WARC-Type: revisit{_CRLF}WARC-Record-ID: "), "rid", F.lit(f"{_CRLF}WARC-Date: 2000-01-01T00:00:00Z{_CRLF}"), page_headers,
-            F.lit(f"WARC-Profile: http://netpreserve.org/warc/1.1/revisit/identical-payload-digest{_CRLF}WARC-Refers-To: "), _record_id(F.concat(F.lit("page:"), F.col("refers").cast("string"))),
-            F.lit(f"{_CRLF}X-Refers-To-Page-Id: "), F.col("refers").cast("string"),
-            F.lit(f"{_CRLF}Content-Type: application/http; msgtype=response{_CRLF}Content-Length: "), F.octet_length(revisit_block).cast("string"), F.lit(_CRLF * 2), revisit_block,
-        ).cast("binary").alias("record")
-    )
-    head = F.lit(f"HTTP/1.1 200 OK{_CRLF}Content-Type: text/html; charset=utf-8{_CRLF}Transfer-Encoding: chunked{_CRLF * 2}".encode())
+    http = f"HTTP/1.1 200 OK{_CRLF}Content-Type: text/html; charset=utf-8{_CRLF}"
+    revisit_block = F.encode(F.concat(F.lit(f"{http}Content-Length: "), F.col("n").cast("string"), F.lit(_CRLF * 2)), "UTF-8")
     n_chunks = F.ceil(F.col("n") / F.lit(CHUNK_BYTES)).cast("int")
     chunk = lambda k: F.substring(F.col("body"), k * CHUNK_BYTES + 1, F.lit(CHUNK_BYTES))
     framed = F.transform(F.when(n_chunks > 0, F.sequence(F.lit(0), n_chunks - 1)).otherwise(F.array().cast("array<int>")), lambda k: F.concat(F.encode(F.concat(F.lower(F.hex(F.octet_length(chunk(k)).cast("long"))), F.lit(_CRLF)), "UTF-8"), chunk(k), F.lit(_CRLF.encode())))
     # Joined through hex digits: one pass over the payload, however many chunks it has.
     joined = F.unhex(F.array_join(F.transform(framed, lambda b: F.hex(b)), ""))
-    block = F.concat(head, joined, F.lit(f"0{_CRLF * 2}".encode()))
-    responses = named.where("refers is null").select("rid", page_headers.cast("binary").alias("headers"), block.alias("block")).withColumn("total", F.octet_length("block"))
-    segments = responses.withColumn("seg", F.explode(F.sequence(F.lit(1), F.greatest(F.lit(1), F.ceil(F.col("total") / F.lit(segment_bytes)).cast("int")))))
-    pieces = segments.withColumn("piece", F.substring(F.col("block"), (F.col("seg") - 1) * segment_bytes + 1, F.lit(segment_bytes))).withColumn("several", F.col("total") > segment_bytes).withColumn("last", F.col("seg") * segment_bytes >= F.col("total"))
-    first = F.col("seg") == 1
-    own = F.when(first, F.col("rid")).otherwise(_record_id(F.concat(F.col("rid"), F.lit("#"), F.col("seg").cast("string"))))
-    encoded = lambda c: F.encode(c, "UTF-8")
-    response_rows = pieces.select(
+    block = F.concat(F.lit(f"{http}Transfer-Encoding: chunked{_CRLF * 2}".encode()), joined, F.lit(f"0{_CRLF * 2}".encode()))
+    whole = named.select("url", "refers", rid.alias("rid"), F.encode(page_headers, "UTF-8").alias("headers"), F.when(revisit, revisit_block).otherwise(block).alias("block")).withColumn("total", F.octet_length("block"))
+    cuts = F.sequence(F.lit(0), F.greatest(F.lit(0), F.ceil(F.col("total") / F.lit(segment_bytes)).cast("int") - 1))
+    pieces = whole.select("refers", "rid", "headers", "total", F.posexplode(F.transform(cuts, lambda k: F.substring(F.col("block"), k * segment_bytes + 1, F.lit(segment_bytes)))).alias("at", "piece"))
+    several, first, last = F.col("total") > segment_bytes, F.col("at") == 0, (F.col("at") + 1) * segment_bytes >= F.col("total")
+    number = (F.col("at") + 1).cast("string")
+    own = F.when(first, F.col("rid")).otherwise(_record_id(F.concat(F.col("rid"), F.lit("#"), number)))
+    kind = F.when(revisit, "revisit").when(first, "response").otherwise("continuation")
+    records = pieces.select(
         F.concat(
-            encoded(F.concat(F.lit(f"WARC/1.1{_CRLF}WARC-Type: "), F.when(first, F.lit("response")).otherwise(F.lit("continuation")), F.lit(f"{_CRLF}WARC-Record-ID: "), own, F.lit(f"{_CRLF}WARC-Date: 2000-01-01T00:00:00Z{_CRLF}"))),
+            F.encode(F.concat(F.lit(f"WARC/1.1{_CRLF}WARC-Type: "), kind, F.lit(f"{_CRLF}WARC-Record-ID: "), own, F.lit(f"{_CRLF}WARC-Date: 2000-01-01T00:00:00Z{_CRLF}")), "UTF-8"),
             "headers",
-            encoded(F.concat(
-                F.when(F.col("several"), F.concat(F.lit("WARC-Segment-Number: "), F.col("seg").cast("string"), F.lit(_CRLF))).otherwise(F.lit("")),
-                F.when(~first, F.concat(F.lit("WARC-Segment-Origin-ID: "), F.col("rid"), F.lit(_CRLF))).otherwise(F.lit("")),
-                F.when(F.col("several") & F.col("last"), F.concat(F.lit("WARC-Segment-Total-Length: "), F.col("total").cast("string"), F.lit(_CRLF))).otherwise(F.lit("")),
+            F.encode(F.concat(
+                F.when(several, F.concat(F.lit("WARC-Segment-Number: "), number, F.lit(_CRLF))).otherwise(nothing),
+                F.when(~first, F.concat(F.lit("WARC-Segment-Origin-ID: "), F.col("rid"), F.lit(_CRLF))).otherwise(nothing),
+                F.when(several & last, F.concat(F.lit("WARC-Segment-Total-Length: "), F.col("total").cast("string"), F.lit(_CRLF))).otherwise(nothing),
                 F.lit("Content-Type: application/http; msgtype=response" + _CRLF + "Content-Length: "), F.octet_length("piece").cast("string"), F.lit(_CRLF * 2),
-            )),
+            ), "UTF-8"),
             "piece",
         ).alias("record")
     )
-    total = pages.agg(F.sum(F.octet_length(body_col))).first()[0] or 0
-    files = max(1, -(-total * 5 // (4 * file_bytes)))
-    records = response_rows.unionByName(revisits).repartition(int(files))
+    sizes = digests.agg(F.count(F.lit(1)), F.sum("n"), F.sum(F.floor(F.col("n") / segment_bytes))).first()
+    n_records = max(1, (sizes[0] or 0) + (sizes[2] or 0))
+    mean = 700 + (sizes[1] or 0) / n_records
+    # A record has a segment at most, so a file of long records only stays below 2,048 segments.
+    per_file = int(min(2048, max(64, file_bytes // mean)))
     # The text writer puts out a string's bytes as they are.
-    records.select(F.col("record").cast("string").alias("value")).write.option("lineSep", _CRLF * 2).text(out)
+    records.select(F.col("record").cast("string").alias("value")).write.option("lineSep", _CRLF * 2).option("compression", "gzip").option("maxRecordsPerFile", per_file).text(out)
+    drop(pages.sparkSession, digests_path, leaders_path)
 
 
 _HEADER = re.compile(rb"([^:\r\n]+):[ \t]*([^\r\n]*)\r\n")
@@ -159,17 +166,40 @@ _TYPES = [pa.string(), pa.string(), pa.string(), pa.int64(), pa.int64(), pa.stri
 _RECORD_DDL = "record_type string, record_id string, origin_id string, segment long, total_length long, url string, payload_digest string, refers_to_id string, page_id long, refers_to long, block binary"
 
 
-def _parse(segmented: bool):
+def _row_of(h: dict[str, str], block: bytes) -> tuple:
+    number = lambda x: int(x) if x is not None else None
+    rid = h["warc-record-id"]
+    return (h["warc-type"], rid, h.get("warc-segment-origin-id", rid), number(h.get("warc-segment-number")), number(h.get("warc-segment-total-length")), h.get("warc-target-uri"), h.get("warc-payload-digest"), h.get("warc-refers-to"), number(h.get("x-page-id")), number(h.get("x-refers-to-page-id")), block)
+
+
+def _assembled(segments: list[tuple]) -> tuple | None:
+    """The whole record of a file's segments of one origin, or None if some stand elsewhere or are here twice."""
+    ordered = sorted(segments, key=lambda r: r[3])
+    block = b"".join(r[-1] for r in ordered)
+    if [r[3] for r in ordered] != list(range(1, len(ordered) + 1)) or ordered[-1][4] != len(block):
+        return None
+    return (*ordered[0][:3], None, None, *ordered[0][5:10], block)
+
+
+def _parse(whole: bool):
+    """Records of files: the whole ones and those whose segments stand in one file, or the other segments."""
+
     def parse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        number = lambda x: int(x) if x is not None else None
         for batch in batches:
             for k in range(batch.num_rows):
-                rows = []
+                rows, segments = [], {}
                 for h, block in parse_records(batch.column(0)[k].as_py()):
-                    if ("warc-segment-number" in h) != segmented:
-                        continue
-                    rid, kind = h["warc-record-id"], h["warc-type"]
-                    rows.append((kind, rid, h.get("warc-segment-origin-id", rid), number(h.get("warc-segment-number")), number(h.get("warc-segment-total-length")), h.get("warc-target-uri"), h.get("warc-payload-digest"), h.get("warc-refers-to"), number(h.get("x-page-id")), number(h.get("x-refers-to-page-id")), block))
+                    row = _row_of(h, block) if whole or "warc-segment-number" in h else None
+                    if "warc-segment-number" in h:
+                        segments.setdefault(row[2], []).append(row)
+                    elif whole:
+                        rows.append(row)
+                for held in segments.values():
+                    one = _assembled(held)
+                    if whole and one is not None:
+                        rows.append(one)
+                    elif not whole and one is None:
+                        rows.extend(held)
                 columns = list(zip(*rows, strict=True)) if rows else [[]] * len(_FIELDS)
                 yield pa.record_batch([pa.array(c, t) for c, t in zip(columns, _TYPES, strict=True)], names=_FIELDS)
 
@@ -201,21 +231,34 @@ def read_archives(spark: SparkSession, out: str) -> DataFrame:
     Raises an error for cut-off records, missing segments, a wrong total length,
     broken chunk framing and payloads that don't have their digest. A revisit
     has no payload of its own; its length and digest are those it stands for.
+    Records without a page id have null there; repeated records come out as often
+    as they were written. A folder without records gives an empty result. A task
+    holds one file at a time, and a record's segments.
     """
     files = spark.read.format("binaryFile").load(out).select("content")
-    whole = files.mapInArrow(_parse(False), _RECORD_DDL).where("record_type in ('response', 'revisit')")
-    parts = files.mapInArrow(_parse(True), _RECORD_DDL)
-    one = F.expr("filter(segs, s -> s.segment = 1)[0]")
-    joined = parts.groupBy("origin_id").agg(F.sort_array(F.collect_list(F.struct("segment", "record_type", "url", "payload_digest", "page_id", "total_length", "block"))).alias("segs")).withColumn("block", F.unhex(F.array_join(F.transform("segs", lambda s: F.hex(s["block"])), ""))).withColumn("first", one)
-    fault = F.expr("transform(segs, s -> s.segment) <> sequence(1L, cast(size(segs) as bigint)) or element_at(segs, -1).total_length is null or element_at(segs, -1).total_length <> octet_length(block)")
+    whole = files.mapInArrow(_parse(True), _RECORD_DDL).where("record_type in ('response', 'revisit')")
+    # Segments of one origin in several files. Equal ones of repeated records are held once and counted.
+    parts = files.mapInArrow(_parse(False), _RECORD_DDL)
+    segment = F.struct("segment", "record_type", "url", "payload_digest", "page_id", "total_length", "block")
+    joined = (
+        parts.groupBy("origin_id").agg(F.sort_array(F.collect_set(segment)).alias("segs"), F.count(F.lit(1)).alias("n"))
+        .withColumn("block", F.unhex(F.array_join(F.transform("segs", lambda s: F.hex(s["block"])), ""))).withColumn("first", F.expr("filter(segs, s -> s.segment = 1)[0]"))
+    )
+    fault = F.expr("transform(segs, s -> s.segment) <> sequence(1L, cast(size(segs) as bigint)) or n % size(segs) <> 0 or element_at(segs, -1).total_length is null or element_at(segs, -1).total_length <> octet_length(block)")
     sound = F.when(fault, F.raise_error(F.concat(F.lit("segments missing or of a wrong total length: "), "origin_id"))).otherwise(F.col("block"))
-    reassembled = joined.select(F.col("first.record_type").alias("record_type"), F.col("first.page_id").alias("page_id"), F.col("first.url").alias("url"), F.col("first.payload_digest").alias("payload_digest"), F.lit(None).cast("long").alias("refers_to"), sound.alias("block"))
+    reassembled = joined.select(
+        F.col("first.record_type").alias("record_type"), F.col("first.page_id").alias("page_id"), F.col("first.url").alias("url"), F.col("first.payload_digest").alias("payload_digest"), F.lit(None).cast("long").alias("refers_to"), sound.alias("block"),
+        F.explode(F.expr("sequence(1L, greatest(1L, n div size(segs)))")).alias("copy"),
+    ).drop("copy")
     records = whole.select("record_type", "page_id", "url", "payload_digest", "refers_to", "block").unionByName(reassembled)
     return records.mapInArrow(_payloads, "record_type string, page_id long, url string, payload_bytes long, payload_digest string, refers_to long, payload binary")
 
 
 def archive_and_read(pages: DataFrame, out: str | None = None, **options) -> DataFrame:
-    """Write the archives, read them back: the rows of :func:`read_archives`."""
+    """Write the archives, read them back: the rows of :func:`read_archives`, one for each row of ``pages``.
+
+    Nulls, repeated rows, ties and empty tables as in :func:`write_archives`.
+    """
     out = out or scratch_path(pages.sparkSession, "warc")
     write_archives(pages, out, **options)
     return read_archives(pages.sparkSession, out)
