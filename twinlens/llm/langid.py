@@ -14,21 +14,24 @@ import re
 from bisect import bisect_right
 from collections.abc import Iterator
 from dataclasses import dataclass
-from itertools import chain
+from itertools import chain, groupby
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-#: The classifier is fitted on the whole texts of at most this many labelled rows, those of least hash of text and language.
+from twinlens.sources.scratch import drop, materialise
+
+#: The classifier is fitted on the whole texts of about this many labelled rows at most, chosen by hash of text and language.
 FIT_ROWS = 20_000
-#: Words and trigrams that the model keeps, the most frequent ones: bounds what is sent to the workers.
-MAX_WORDS, MAX_GRAMS = 40_000, 20_000
+#: Repeats in the sample from which a word has scores of its own, and the counts added to all.
+LEAST, SMOOTH = 10, 0.5
 #: Log-score cost of changing the language between neighbouring words.
 SWITCH = 6.0
 UNDETERMINED = "und"
 
+#: Runs of letters and of numbers that aren't decimal digits; see :func:`letters_of`.
 _WORD = re.compile(r"[^\W\d_]+")
 
 # First code points of Unicode script ranges, and the script from there on.
@@ -51,9 +54,12 @@ def script_of(word: str) -> str:
     return _SCRIPT_RANGES[bisect_right(_SCRIPT_FROM, ord(word[0])) - 1][1]
 
 
-def grams_of(word: str) -> list[str]:
-    padded = f"^{word}$"
-    return [padded[k : k + 3] for k in range(len(padded) - 2)]
+def letters_of(text: str) -> list[str]:
+    """Runs of letters, lower-cased."""
+    words = _WORD.findall(text.lower())
+    if words and not "".join(words).isalpha():  # such as a superscript or a Roman numeral
+        words = ["".join(run) for w in words for letter, run in groupby(w, str.isalpha) if letter]
+    return words
 
 
 @dataclass
@@ -91,41 +97,63 @@ class Model:
         return out
 
 
+def sample_of(labelled: DataFrame, text_col: str = "text", lang_col: str = "lang", max_rows: int = FIT_ROWS) -> DataFrame:
+    """(lang, words) of about ``max_rows`` distinct labelled texts at most, an equal quota for each language.
+
+    A language with no more texts than its quota gives all of them, so rare ones
+    are learned too. Of another, the texts whose hash lies in the share of the
+    hash space that the quota is of its (sketched) number of distinct texts.
+    Which texts these are depends neither on order nor on ids. Texts outside
+    the sample are hashed where they are read and never moved.
+    """
+    hashed = labelled.where(F.col(text_col).isNotNull() & F.col(lang_col).isNotNull()).select(F.col(lang_col).alias("lang"), F.col(text_col).alias("text"), F.xxhash64(text_col, lang_col).alias("h"))
+    sizes = hashed.groupBy("lang").agg(F.approx_count_distinct("h", 0.01).alias("n")).collect()  # a row per language
+    quota = max(1, max_rows // max(1, len(sizes)))
+    shares = [x for r in sizes for x in (F.lit(r["lang"]), F.lit(1.0 if r["n"] <= quota else 0.95 * quota / r["n"]))]
+    place = F.shiftright(F.col("h"), 11).cast("double") / F.lit(float(1 << 53)) + F.lit(0.5)
+    chosen = hashed.where(place < F.create_map(*shares)[F.col("lang")]) if shares else hashed.limit(0)
+    return chosen.groupBy("lang", "h").agg(F.first("text").alias("text")).select("lang", F.split(F.lower("text"), r"[^\p{L}]+").alias("words"))
+
+
 def fit(labelled: DataFrame, text_col: str = "text", lang_col: str = "lang", max_rows: int = FIT_ROWS) -> Model:
-    """Learn from at most ``max_rows`` rows with text and language.
+    """Learn from the whole texts of :func:`sample_of`.
 
-    The rows are those of least hash, so which ones they are depends neither on
-    their order nor on ids. The driver receives the counts of at most
-    4 * MAX_WORDS words.
+    The driver receives the counts of the sample's trigrams and of its words that
+    occur ``LEAST`` times; rarer words are scored by their trigrams. Both are
+    bounded by the sample, whatever the size of the table.
     """
-    sample = (
-        labelled.where(F.col(text_col).isNotNull() & F.col(lang_col).isNotNull())
-        .select(F.col(lang_col).alias("lang"), F.split(F.lower(F.col(text_col)), r"[^\p{L}]+").alias("words"), F.xxhash64(text_col, lang_col).alias("h"))
-        .orderBy("h").limit(max_rows)
-    )
-    counts = sample.select("lang", F.explode("words").alias("word")).where("word <> ''").groupBy("lang", "word").count()
-    rows = counts.orderBy(F.col("count").desc(), "word", "lang").limit(4 * MAX_WORDS).collect()
-    languages = sorted({r["lang"] for r in rows})
+    words_of = sample_of(labelled, text_col, lang_col, max_rows).select("lang", F.explode("words").alias("word")).where("word <> ''")
+    counts, counts_path = materialise(words_of.groupBy("lang", "word").agg(F.count(F.lit(1)).alias("n")), "word-counts")
+    all_words = counts.groupBy("word").agg(F.sum("n").alias("every"))
+    padded = F.concat(F.lit("^"), F.col("word"), F.lit("$"))
+    grams = counts.select("lang", "n", F.explode(F.transform(F.sequence(F.lit(1), F.length("word")), lambda k: F.substring(padded, k, F.lit(3)))).alias("gram")).groupBy("lang", "gram").agg(F.sum("n").alias("n"))
+    heads = counts.groupBy("lang", F.substring("word", 1, 1).alias("head")).agg(F.sum("n").alias("n"))
+    word_rows = counts.join(all_words.where(f"every >= {LEAST}").select("word"), "word").collect()
+    gram_rows, head_rows, vocabulary = grams.collect(), heads.collect(), all_words.count()
+    drop(labelled.sparkSession, counts_path)
+    languages = sorted({r["lang"] for r in head_rows})
     at = {x: k for k, x in enumerate(languages)}
-    n = len(languages)
-    words: dict[str, list[float]] = {}
-    grams: dict[str, list[float]] = {}
+
+    def table(rows: list, column: str) -> dict[str, list[float]]:
+        out: dict[str, list[float]] = {}
+        for r in sorted(rows, key=lambda r: (r[column], r["lang"])):
+            out.setdefault(r[column], [0.0] * len(languages))[at[r["lang"]]] += r["n"]
+        return out
+
+    def logs(counted: dict[str, list[float]], totals: list[float], kinds: int) -> tuple[dict[str, list[float]], list[float]]:
+        sums = [t + SMOOTH * (kinds + 1) for t in totals]
+        return {w: [math.log((c + SMOOTH) / t) for c, t in zip(v, sums, strict=True)] for w, v in counted.items()}, [math.log(SMOOTH / t) for t in sums]
+
+    total = lambda counted: [sum(v[k] for v in counted.values()) for k in range(len(languages))]
+    of_head, of_gram = table(head_rows, "head"), table(gram_rows, "gram")
+    word_logs, _ = logs(table(word_rows, "word"), total(of_head), vocabulary)
+    gram_logs, unseen = logs(of_gram, total(of_gram), len(of_gram))
     scripts: dict[str, list[float]] = {}
-    for r in rows:
-        k, c = at[r["lang"]], r["count"]
-        words.setdefault(r["word"], [0.0] * n)[k] += c
-        scripts.setdefault(script_of(r["word"]), [0.0] * n)[k] += c
-        for g in grams_of(r["word"]):
-            grams.setdefault(g, [0.0] * n)[k] += c
-    def logs(table: dict[str, list[float]], most: int, smooth: float) -> tuple[dict[str, list[float]], list[float]]:
-        total = [sum(v[k] for v in table.values()) + smooth * (len(table) + 1) for k in range(n)]
-        best = sorted(table.items(), key=lambda kv: (-sum(kv[1]), kv[0]))[:most]
-        return {w: [math.log((c + smooth) / t) for c, t in zip(v, total, strict=True)] for w, v in best}, [math.log(smooth / t) for t in total]
-
-    word_logs, _ = logs({w: v for w, v in words.items() if sum(v) >= 3}, MAX_WORDS, 0.5)
-    gram_logs, unseen = logs(grams, MAX_GRAMS, 0.5)
-    of_language = [sum(v[k] for v in scripts.values()) for k in range(n)]
-    allowed = {s: [c >= 0.01 * t for c, t in zip(v, of_language, strict=True)] for s, v in scripts.items()}
+    for head, v in of_head.items():
+        held = scripts.setdefault(script_of(head), [0.0] * len(languages))
+        for k, c in enumerate(v):
+            held[k] += c
+    allowed = {s: [c >= 0.01 * t for c, t in zip(v, total(of_head), strict=True)] for s, v in scripts.items()}
     return Model(languages, word_logs, gram_logs, unseen, {s: v for s, v in allowed.items() if any(v)})
 
 
@@ -152,7 +180,7 @@ def best_paths(scores: list[np.ndarray], switch: float) -> list[np.ndarray]:
     laid = np.empty_like(flat)
     laid[place] = flat
     stay = np.empty((len(flat), width), dtype=bool)
-    came = np.empty(len(flat), dtype=np.int8)
+    came = np.empty(len(flat), dtype=np.int16)
     value = laid[: alive_at[0]].copy()
     for t in range(1, longest):
         a, b = step_start[t], step_start[t + 1]
@@ -163,17 +191,17 @@ def best_paths(scores: list[np.ndarray], switch: float) -> list[np.ndarray]:
         np.greater_equal(value, moved, out=stay[a:b])
         value = np.maximum(value, moved) + laid[a:b]
         laid[a:b] = value
-    path = np.empty(len(flat), dtype=np.int8)
-    now = np.empty(0, dtype=np.int8)
+    path = np.empty(len(flat), dtype=np.int16)
+    now = np.empty(0, dtype=np.int16)
     for t in range(longest - 1, -1, -1):
         a, b = step_start[t], step_start[t + 1]
-        ended = laid[a + len(now) : b].argmax(axis=1).astype(np.int8)
+        ended = laid[a + len(now) : b].argmax(axis=1).astype(np.int16)
         now = np.concatenate((now, ended))
         path[a:b] = now
         if t:
             now = np.where(stay[a:b][np.arange(b - a), now], now, came[a:b])
     back = path[place]
-    out: list[np.ndarray] = [np.empty(0, np.int8)] * len(scores)
+    out: list[np.ndarray] = [np.empty(0, np.int16)] * len(scores)
     for k, piece in zip(order, np.split(back, np.cumsum(lengths)[:-1]), strict=True):
         out[k] = piece
     return out
@@ -226,7 +254,7 @@ class Labeller:
             words: list[list[str]] = []
             total = 0
             while at < len(texts) and (not words or total < _TOGETHER):
-                words.append(_WORD.findall(texts[at].lower()) if texts[at] else [])
+                words.append(letters_of(texts[at]) if texts[at] else [])
                 total += len(words[-1])
                 at += 1
             every = np.array(self._rows(list(chain.from_iterable(words))), dtype=np.int64)
