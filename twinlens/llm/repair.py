@@ -18,12 +18,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from twinlens.llm.tokens import default_vocabulary, vocabulary
+from twinlens.llm.tokens import default_vocabulary, together, vocabulary
 from twinlens.sources.scratch import scratch_path
 
 END_ID = 0
-#: Ids of a shard; pairs replaced at once and how often; least repeats of a pair that is replaced.
-SHARD_IDS, PAIRS, ROUNDS, LEAST = 262_144, 4096, 3, 16
+#: Ids of a shard; least repeats of a pair that is replaced: a rule is stored as two symbols and a length, so fewer don't pay.
+SHARD_IDS, LEAST = 262_144, 4
 #: First nonterminal: above every id of the supported vocabularies.
 FIRST = 1 << 17
 _SLOTS = 1 << 17
@@ -81,55 +81,74 @@ class Grammar:
         return self.expand(symbols[a:b])[start - before : stop - before]
 
 
-def compress(ids: np.ndarray, doc_starts: np.ndarray, pairs: int = PAIRS, rounds: int = ROUNDS, least: int = LEAST) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def _slots(keys: np.ndarray) -> np.ndarray:
+    return ((keys * np.int64(0x5851F42D4C957F2D)) >> np.int64(40)) & (_SLOTS - 1)
+
+
+def compress(ids: np.ndarray, doc_starts: np.ndarray, least: int = LEAST) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(rules, symbols, symbol starts of the documents).
 
-    Each round counts all neighbouring pairs within documents and replaces the
-    most frequent ones together, left to right where occurrences overlap.
+    Rounds go on until no pair of neighbours within documents occurs ``least``
+    times without overlap. A round ranks all such pairs by how often they occur
+    and replaces those occurrences that no better pair overlaps; a pair with
+    fewer than ``least`` of them waits. The best pair of a round is always
+    replaced wherever it occurs, as in the one-by-one method.
     """
     symbols = ids.astype(np.int64)
     first = np.zeros(len(symbols), dtype=bool)
     first[doc_starts[doc_starts < len(symbols)]] = True
+    # Pairs of two old symbols only grow rarer: places of rare ones are looked at again only beside a new symbol.
+    live = np.ones(len(symbols), dtype=bool)
     rules: list[np.ndarray] = []
     made = 0
-    for _ in range(rounds):
-        if len(symbols) < 2:
-            break
-        keys = (symbols[:-1] << 32) | symbols[1:]
-        where = ((keys * np.int64(0x5851F42D4C957F2D)) >> np.int64(40)) & (_SLOTS - 1)
-        where[first[1:]] = _SLOTS  # across documents
-        # Pairs are counted by hash slot. Of the fullest slots one pair each is taken and counted exactly.
-        heavy = np.bincount(where, minlength=_SLOTS + 1)[:_SLOTS]
-        fullest = np.flatnonzero(heavy >= least)
-        if not len(fullest):
-            break
-        if len(fullest) > pairs:
-            fullest = np.sort(fullest[np.argpartition(-heavy[fullest], pairs)[:pairs]])
-        table_id = np.full(_SLOTS + 1, -1, dtype=np.int32)
-        table_id[fullest] = np.arange(len(fullest), dtype=np.int32)
-        slot_no = table_id[where]
-        at = np.flatnonzero(slot_no >= 0)
-        slot_no, own = slot_no[at], keys[at]
-        table_key = np.empty(len(fullest), dtype=np.int64)
-        table_key[slot_no[::-1]] = own[::-1]
-        same = table_key[slot_no] == own
-        at, slot_no = at[same], slot_no[same]
-        often = np.bincount(slot_no, minlength=len(fullest)) >= least
-        chosen = table_key[often]
-        if not len(chosen):
+    while len(symbols) > 1:
+        at = np.flatnonzero(live[:-1] & ~first[1:])
+        left, right = symbols[at], symbols[at + 1]
+        # Of a run of one symbol every second pair counts.
+        again = np.flatnonzero(left == right)
+        if len(again):
+            new_run = np.concatenate(([True], np.diff(at[again]) != 1))
+            run_start = np.maximum.accumulate(np.where(new_run, np.arange(len(again)), 0))
+            usable = np.ones(len(at), dtype=bool)
+            usable[again[(np.arange(len(again)) - run_start) % 2 == 1]] = False
+            at, left, right = at[usable], left[usable], right[usable]
+        keys = (left << 32) | right
+        slots = _slots(keys)
+        # A slot holds several pairs at times: it only tells which of them can't occur often.
+        likely = (np.bincount(slots, minlength=_SLOTS) >= least)[slots]
+        live[at[~likely]] = False
+        at, keys, slots = at[likely], keys[likely], slots[likely]
+        ordered = np.sort(keys)
+        edge = np.flatnonzero(np.concatenate(([True], ordered[1:] != ordered[:-1], [True]))) if len(ordered) else np.zeros(1, np.int64)
+        counts = np.diff(edge)
+        often = counts >= least
+        if not often.any():
             break
-        number = np.cumsum(often) - 1
-        same = often[slot_no]
-        at, slot_no = at[same], number[slot_no[same]]
-        # Of a run of overlapping matches every second one is taken.
-        new_run = np.concatenate(([True], np.diff(at) != 1))
-        run_start = np.maximum.accumulate(np.where(new_run, np.arange(len(at)), 0))
-        taken = (np.arange(len(at)) - run_start) % 2 == 0
-        at = at[taken]
-        symbols[at] = FIRST + made + slot_no[taken]
+        pairs, counts = ordered[edge[:-1][often]], counts[often]
+        best_first = np.argsort(-counts, kind="stable")
+        rank = np.empty(len(pairs), dtype=np.int64)
+        rank[best_first] = np.arange(len(pairs))
+        # Of the pairs of a slot the best one is looked up; the others wait for a round in which it is gone.
+        table = np.zeros(_SLOTS, dtype=np.int64)
+        table[_slots(pairs[best_first[::-1]])] = best_first[::-1]
+        number = table[slots]
+        known = pairs[number] == keys
+        at, held = at[known], rank[number[known]]
+        ranks = np.full(len(symbols) + 1, len(pairs), dtype=np.int64)  # by place, with one more at both ends
+        ranks[at + 1] = held
+        wins = (held < ranks[at]) & (held < ranks[at + 2])
+        at, held = at[wins], held[wins]
+        enough = np.bincount(held, minlength=len(pairs)) >= least
+        serial = np.cumsum(enough) - 1
+        kept = enough[held]
+        at, held = at[kept], serial[held[kept]]
+        symbols[at] = FIRST + made + held
+        live[at] = True
+        live[at[at > 0] - 1] = True
         alive = np.ones(len(symbols), dtype=bool)
         alive[at + 1] = False
-        symbols, first = symbols[alive], first[alive]
+        symbols, first, live = symbols[alive], first[alive], live[alive]
+        chosen = pairs[best_first][enough]
         rules.append(np.stack([chosen >> 32, chosen & 0xFFFFFFFF], axis=1))
         made += len(chosen)
     return (np.concatenate(rules) if rules else np.empty((0, 2), np.int64)).astype(np.uint32), symbols.astype(np.uint32), np.flatnonzero(first)
@@ -170,13 +189,14 @@ def _shard_rows(path: str, end_id: int, shard_ids: int):
             )
 
         for batch in batches:
-            for doc, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                docs.append(doc)
-                bodies.append((known.encoded_short(text) if text else b"") + end)
-                total += len(bodies[-1]) // 4
-                if total >= shard_ids:
-                    yield flush()
-                    docs, bodies, total, serial = [], [], 0, serial + 1
+            for slice_, texts in together(batch, 1):
+                for doc, ids in zip(slice_.column(0).to_pylist(), known.encoded_together(texts), strict=True):
+                    docs.append(doc)
+                    bodies.append(ids + end)
+                    total += len(bodies[-1]) // 4
+                    if total >= shard_ids:
+                        yield flush()
+                        docs, bodies, total, serial = [], [], 0, serial + 1
         if docs:
             yield flush()
 
@@ -250,8 +270,11 @@ def encode_and_read(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
             yield pa.record_batch([pa.array(shards, pa.int64()), pa.array(docs_, pa.int64()), pa.array(offsets, pa.int64()), pa.array(sizes, pa.int64()), pa.array([zlib.crc32(b) for b in blobs], pa.int64())], names=["shard", "doc", "within", "n_tokens", "ids_crc32"])
 
     stored = spark.read.schema(_DDL).parquet(out)
-    totals = stored.groupBy("shard").agg(F.sum("n_ids").alias("n"))
-    before = totals.select("shard", F.coalesce(F.sum("n").over(Window.orderBy("shard").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("before"))
+    # Totals of the partitions are summed over the partitions, those of shards within each partition: no window holds all shards.
+    totals = stored.groupBy("shard").agg(F.sum("n_ids").alias("n")).withColumn("part", F.shiftright("shard", 32))
+    earlier = lambda w: F.coalesce(F.sum("n").over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    parts = totals.groupBy("part").agg(F.sum("n").alias("n")).select("part", earlier(Window.orderBy("part")).alias("before_part"))
+    before = totals.select("shard", "part", earlier(Window.partitionBy("part").orderBy("shard")).alias("within_part")).join(parts, "part").select("shard", (F.col("before_part") + F.col("within_part")).alias("before"))
     decoded = (
         stored.select("shard", "doc", "ordinal", "rules", "symbols").repartition("shard").sortWithinPartitions("shard", "ordinal")
         .mapInArrow(digests, "shard long, doc long, within long, n_tokens long, ids_crc32 long")

@@ -11,6 +11,7 @@ from __future__ import annotations
 
 import os
 import re
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
@@ -25,6 +26,15 @@ CACHE = 350_000
 #: Unseen pieces encoded as one string.
 _JOINED = 500
 
+#: First pieces and runs of punctuation held, and the longest first piece that is.
+_HEADS, _LONG_PIECE = 50_000, 200
+#: Punctuation that the byte-level pre-tokenizer parts from the word before it, and the end of the letters that all versions of Unicode agree on.
+_PUNCTUATION, _PLAIN_LETTERS = ".,;:!?)]}\"", "\u0530"
+
+# Bytes that byte-level vocabularies write as another character than their own.
+_OTHERS = [*range(0, 33), *range(127, 161), 173]
+_BYTE_NAMES = {byte: chr(256 + k) for k, byte in enumerate(_OTHERS)}
+
 #: A place before which every supported vocabulary may be cut: a space between a non-space and a non-space.
 _CUT = re.compile(r"(?<=\S) (?=\S)")
 _SPLIT = re.compile(r" (?=\S)")
@@ -57,6 +67,9 @@ class Vocabulary:
                     self._token_bytes[i] = len(word)
                 for i, added in self._t.get_added_tokens_decoder().items():
                     self._token_bytes[i] = len(added.content.encode())
+                # Added tokens with a letter at either end could lie within a word or its punctuation.
+                self.plain_words = not any(a.content.isalpha() or a.content[:1].isalpha() or a.content[:1] in _PUNCTUATION for a in self._t.get_added_tokens_decoder().values())
+                self._tails: dict[str, bytes] = {}
         elif path.endswith(".model"):
             import sentencepiece
 
@@ -66,6 +79,7 @@ class Vocabulary:
             raise ValueError(f"not a .json or .model vocabulary: {path}")
         self._young: dict[str, bytes] = {}
         self._old: dict[str, bytes] = {}
+        self._first: dict[str, bytes] = {}
 
     def ids(self, text: str) -> list[int]:
         if self.path.endswith(".json"):
@@ -86,41 +100,72 @@ class Vocabulary:
 
     def encoded_short(self, text: str) -> bytes:
         """Little-endian unsigned 32-bit ids of a text, by pieces where the vocabulary allows."""
+        return self.encoded_together([text])[0]
+
+    def encoded_together(self, texts: list[str]) -> list[bytes]:
+        """The ids of each text; the unseen pieces of all of them are encoded together."""
         if not self.byte_level:
-            return np.array(self.ids(text), dtype="<u4").tobytes()
-        pieces = text.split(" ") if _RUN.search(text) is None else _SPLIT.split(text)
-        # The first piece has no space before it; it is told apart by a mark that can't begin another piece.
-        pieces[0] = "\0 " + pieces[0]
-        young = self._young
-        try:
-            return b"".join(map(young.__getitem__, pieces))
-        except KeyError:
-            self._learn(set(pieces))
-            return b"".join(map(self._young.__getitem__, pieces))
+            return [np.array(self.ids(x), dtype="<u4").tobytes() for x in texts]
+        cut = [x.split(" ") if _RUN.search(x) is None else _SPLIT.split(x) for x in texts]
+        heads = [pieces.pop(0) for pieces in cut]  # no space stands before a text's first piece
+        self._learn(set().union(*cut))
+        get = self._young.__getitem__
+        return [b"".join((self._head(head), *map(get, pieces))) for head, pieces in zip(heads, cut, strict=True)]
+
+    def _head(self, head: str) -> bytes:
+        held = self._first.get(head)
+        if held is None:
+            if len(self._first) > _HEADS:
+                self._first.clear()
+            held = np.array(self._t.encode(head, add_special_tokens=False).ids, dtype="<u4").tobytes()
+            if len(head) <= _LONG_PIECE:
+                self._first[head] = held
+        return held
 
     def _learn(self, pieces: set[str]) -> None:
         if len(self._young) > CACHE:
             self._young, self._old = {}, self._young
         young, old = self._young, self._old
-        new = []
-        for p in pieces:
-            if p in young:
-                continue
-            held = old.get(p)
-            if held is None:
-                new.append(p)
-            else:
-                young[p] = held
+        new = pieces.difference(young)
+        if old:
+            known = new.intersection(old)
+            young.update(zip(known, map(old.__getitem__, known), strict=True))
+            new -= known
         self._encode_pieces(new)
 
-    def _encode_pieces(self, new: list[str]) -> None:
-        """Encode unseen pieces, many to a string: a cut stands between any two that begin with a space and a non-space."""
-        young = self._young
-        joinable = [p for p in new if p and not p[0].isspace() and not p.startswith("\0 ")]
+    def _word(self, word: str) -> bytes:
+        """Ids of a space and a word of plain letters: one pre-token, which goes to the model as it is."""
+        word = word if word.isascii() else word.encode().decode("latin-1").translate(_BYTE_NAMES)
+        return array("I", [t.id for t in self._t.model.tokenize("\u0120" + word)]).tobytes()
+
+    def _encode_pieces(self, new: set[str]) -> None:
+        """Encode unseen pieces: plain words by the model alone, with the punctuation behind them; others many to a string.
+
+        A cut stands between any two of the others that begin with a space and a non-space.
+        """
+        young, tails, rest, tokenize = self._young, self._tails, [], self._t.model.tokenize
+        if self.plain_words:
+            plain = [p for p in new if p.isalpha() and p.isascii()]
+            young.update((p, array("I", [t.id for t in tokenize("\u0120" + p)]).tobytes()) for p in plain)
+            new = new.difference(plain)
         for p in new:
-            if not p or p[0].isspace() or p.startswith("\0 "):
-                young[p] = np.array(self._t.encode(p[2:] if p.startswith("\0 ") else " " + p, add_special_tokens=False).ids, dtype="<u4").tobytes()
-        groups = [joinable[k : k + _JOINED] for k in range(0, len(joinable), _JOINED)]
+            word = p.rstrip(_PUNCTUATION)
+            if self.plain_words and word.isalpha() and max(word) < _PLAIN_LETTERS:
+                if len(word) == len(p):
+                    young[p] = self._word(p)
+                    continue
+                tail = p[len(word) :]
+                ends = tails.get(tail)
+                if ends is None:
+                    ends = tails[tail] = np.array(self._t.encode(tail, add_special_tokens=False).ids, dtype="<u4").tobytes()
+                    if len(tails) > _HEADS:
+                        tails.clear()
+                young[p] = (young.get(word) or self._word(word)) + ends
+            elif p and not p[0].isspace():
+                rest.append(p)
+            else:
+                young[p] = np.array(self._t.encode(" " + p, add_special_tokens=False).ids, dtype="<u4").tobytes()
+        groups = [rest[k : k + _JOINED] for k in range(0, len(rest), _JOINED)]
         encodings = self._t.encode_batch_fast([" " + " ".join(g) for g in groups], add_special_tokens=False)
         for group, encoding in zip(groups, encodings, strict=True):
             ids = np.array(encoding.ids, dtype="<u4")
@@ -132,9 +177,27 @@ class Vocabulary:
                 at = end
 
     def encoded(self, text: str) -> bytes:
-        if len(text) <= CHUNK:
-            return self.encoded_short(text)
-        return np.array(resynchronised(text, self), dtype="<u4").tobytes()
+        return self.encoded_all([text])[0]
+
+    def encoded_all(self, texts: list[str]) -> list[bytes]:
+        """The ids of each text; those above a chunk are spliced from overlapping chunks."""
+        short = iter(self.encoded_together([x for x in texts if len(x) <= CHUNK]))
+        return [next(short) if len(x) <= CHUNK else np.array(resynchronised(x, self), dtype="<u4").tobytes() for x in texts]
+
+
+#: Characters of texts whose pieces are encoded together.
+_TOGETHER = 1 << 20
+
+
+def together(batch: pa.RecordBatch, column: int) -> Iterator[tuple[pa.RecordBatch, list[str]]]:
+    """Slices of a batch with their texts (null: empty), cut after every ``_TOGETHER`` characters: one text at least."""
+    texts, size = [], 0
+    for k in range(batch.num_rows):
+        texts.append(batch.column(column)[k].as_py() or "")
+        size += len(texts[-1])
+        if size >= _TOGETHER or k == batch.num_rows - 1:
+            yield batch.slice(k + 1 - len(texts), len(texts)), texts
+            texts, size = [], 0
 
 
 def resynchronised(text: str, vocabulary: Vocabulary, chunk: int = CHUNK, overlap: int = OVERLAP) -> list[int]:
@@ -207,9 +270,9 @@ def token_counts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known = vocabulary(path)
         for batch in batches:
-            sizes = [len(known.encoded(t)) // 4 if t else 0 for t in batch.column(1).to_pylist()]
-            n_bytes = batch.column(2)
-            yield pa.record_batch([batch.column(0), n_bytes, pa.array(sizes, pa.int64()), pa.array([s > limit for s in sizes])], names=["_id", "n_bytes", "n_tokens", "over_limit"])
+            for part, texts in together(batch, 1):
+                sizes = [len(ids) // 4 for ids in known.encoded_all(texts)]
+                yield pa.record_batch([part.column(0), part.column(2), pa.array(sizes, pa.int64()), pa.array([s > limit for s in sizes], pa.bool_())], names=["_id", "n_bytes", "n_tokens", "over_limit"])
 
     source = docs.select(F.col(id_col).cast("long").alias("_id"), F.col(text_col).alias("text"), F.coalesce(F.octet_length(text_col).cast("long"), F.lit(0).cast("long")).alias("n_bytes"))
     return source.mapInArrow(count, "_id long, n_bytes long, n_tokens long, over_limit boolean").withColumnRenamed("_id", id_col)
