@@ -1,3 +1,4 @@
+import base64
 import hashlib
 import itertools
 import json
@@ -65,10 +66,23 @@ def test_near_duplicates_against_brute_force(spark):
             root = [min(a, b) if r in (a, b) else r for r in root]
     assert {k: got[k]["component_id"] for k in range(len(texts))} == dict(enumerate(root))
     assert all(got[k]["n_shingles"] == len(sets[k]) for k in range(len(texts)))
-    assert got[None]["component_id"] is None and got[None]["kept"]
+    assert (got[None]["component_id"], got[None]["kept"]) == (0, False)
     assert minhash.near_duplicates(docs_of(spark, []).limit(0)).count() == 0
 
 
+def test_near_duplicates_under_one_id_and_without_ids(spark):
+    x, y = prose(1, 50), prose(2, 50)
+    rows = [(1, x, None, None), (1, y, None, None), (1, y, None, None), (2, edited(y, 3, 0.02), None, None), (None, x.replace("a", "A"), None, None), (None, prose(3, 50), None, None), (None, prose(3, 50), None, None), (None, None, None, None), (4, "", None, None), (4, "", None, None)]
+    got = minhash.near_duplicates(docs_of(spark, rows), width=3, threshold=0.7).collect()
+    assert sorted((r["doc_id"] or 0, r["n_shingles"] > 0, r["component_id"] or 0, r["kept"]) for r in got) == [
+        (0, False, 0, True), (0, True, 0, True), (0, True, 0, True), (0, True, 1, False), (1, True, 1, True), (1, True, 1, True), (1, True, 1, True), (2, True, 1, False), (4, False, 4, True), (4, False, 4, True),
+    ]
+    kept = minhash.one_of_each(docs_of(spark, rows), width=3, threshold=0.7)
+    assert kept.columns == docs_of(spark, rows).columns
+    assert sorted(map(repr, ((r["doc_id"], r["text"]) for r in kept.collect()))) == sorted(map(repr, [(1, x), (1, y), (None, prose(3, 50)), (None, None), (4, ""), (4, "")]))
+    assert minhash.one_of_each(docs_of(spark, rows).limit(0)).count() == 0
+
+
 def test_decontamination_against_brute_force(spark):
     rng = random.Random(4)
     words = [f"w{k}" for k in range(40)]
@@ -120,7 +134,7 @@ def test_language_of_mixed_and_scripted_texts(spark):
     rows = [(k, t, lang, None) for k, (t, lang) in enumerate([("the house of the river and the sea", "en"), ("das haus und der fluss ist ein see", "de"), ("дом и река и море", "ru")] * 30)]
     labelled = docs_of(spark, rows)
     model = langid.fit(labelled)
-    asked = docs_of(spark, [(1, "the river and the sea das haus und der fluss ist ein see", None, None), (2, None, None, None), (3, "12 ?!", None, None), (4, "море дом", None, None), (5, "", None, None), (None, "the sea " * 20_000, None, None)])
+    asked = docs_of(spark, [(1, "the river and the sea das haus und der fluss ist ein see", None, None), (2, None, None, None), (3, "12 ?! ²½ ①", None, None), (4, "море дом", None, None), (5, "", None, None), (None, "the sea " * 20_000, None, None)])
     got = {r["doc_id"]: r for r in langid.identify(asked, model).collect()}
     assert [x[0] for x in json.loads(got[1]["spans"])] == ["en", "de"] and got[1]["lang_pred"] == "de"
     assert [got[k]["lang_pred"] for k in (2, 3, 4, 5, None)] == ["und", "und", "ru", "und", "en"]
@@ -138,11 +152,13 @@ def test_language_held_out_accuracy(spark):
 
 def test_pieces_and_chunks_equal_the_library():
     rng = random.Random(3)
-    parts = ["a", "the", " ", "  ", "\n", "\t", " <|endoftext|>", "<|endoftext|>", "é", "1", "'s", " word", "日本", "\x1c", "\r\n", "x" * 50]
+    parts = ["a", "the", " ", "  ", "\n", "\t", " <|endoftext|>", "<|endoftext|>", "é", "1", "'s", " word", "日本", "\x1c", "\x1f", "\r\n", "x" * 50, "\0", "\0 ", ".", ",", '"', "²", "Ж", " don't.", "!?"]
     import public_tokenizers
 
     for name in ("byte_bpe_50k.json", "word_bpe_49k.json", "piece_bpe_32k.model"):
         known = tokens.Vocabulary(public_tokenizers.path(name))
+        for text in ("a \0  b", "\0", "\0 ", " \0  ", "\x1c a\x1f", "\x1d", "a " * 20_000 + "b,"):
+            assert np.frombuffer(known.encoded(text), "<u4").tolist() == known.ids(text)
         for _ in range(150):
             text = "".join(rng.choice(parts) for _ in range(rng.randint(0, 60)))
             assert np.frombuffer(known.encoded(text), "<u4").tolist() == known.ids(text)
@@ -154,13 +170,24 @@ def test_token_counts_edges(spark):
     assert got[1] == got[2] == (0, 0, False) and got[3][0] == 5 and got[4][2]
 
 
+def most_repeats(symbols, starts):
+    """How often the most frequent pair of neighbours stands in a document, overlaps apart."""
+    seen = {}
+    for k, pair in enumerate(itertools.pairwise(symbols)):
+        n, last = seen.get(pair, (0, -2))
+        if k + 1 not in starts and not (pair[0] == pair[1] and last == k - 1):
+            seen[pair] = (n + 1, k)
+    return max((n for n, _ in seen.values()), default=0)
+
+
 def test_grammar_round_trip():
     rng = random.Random(8)
     for _ in range(100):
         ids = np.array([rng.randint(0, 3) for _ in range(rng.randint(0, 80))], dtype=np.uint32)
         starts = np.unique([0] + [rng.randint(0, len(ids) - 1) for _ in range(3)]) if len(ids) else np.array([], int)
-        rules, symbols, at = repair.compress(ids, starts, 4, 4, 2)
+        rules, symbols, at = repair.compress(ids, starts, 2)
         grammar = repair.Grammar(rules)
+        assert most_repeats(symbols.tolist(), set(at.tolist())) < 2
         assert (grammar.expand(symbols) == ids).all() and len(at) == len(starts)
         for k, (a, b) in enumerate(zip(at, [*at[1:], len(symbols)][: len(at)], strict=True)):
             own = ids[starts[k] : np.append(starts[1:], len(ids))[k]]
@@ -220,6 +247,22 @@ def test_warc_round_trip(spark):
         list(warc.parse_records(b"WARC/1.1\r\nContent-Length: 9\r\n\r\nabc"))
 
 
+def test_warc_of_every_page_against_hashlib(spark):
+    rows = [(r["page_id"], r["url"], r["html"]) for r in spark.read.parquet("/root/testdata/sf0.001/pages.parquet").collect()]
+    rows += [(900 + k, "u", rows[k % 3][2]) for k in range(9)] + [(950, "v", "long " * 30_000)] * 2 + [(951, "v", "long " * 30_000), (950, "w", "other " * 30_000), (952, None, ""), (953, None, None)]
+    table = spark.createDataFrame([(*r, 1, "x") for r in rows], "page_id long, url string, html string, id long, sha string")
+    largest = {}
+    for i, _, h in rows:
+        largest[h or ""] = max(i, largest.get(h or "", i))
+    want = []
+    for i, _, h in rows:
+        raw, leader = (h or "").encode(), largest[h or ""]
+        want.append((i, len(raw), base64.b32encode(hashlib.sha1(raw).digest()).decode(), "response" if i == leader else "revisit", None if i == leader else leader))
+    for size in (1000, 32_768):
+        got = warc.archive_and_read(table, segment_bytes=size, file_bytes=100_000).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to").collect()
+        assert sorted(map(repr, map(tuple, got))) == sorted(map(repr, want))
+
+
 def test_tool_calls(spark):
     schema = {"f": {"properties": {"x": "integer", "s": "string"}, "required": ["x"]}}
     calls = spark.createDataFrame(

@@ -112,12 +112,12 @@ def similarity_sketch(items: np.ndarray, bins: int) -> np.ndarray:
     if not n:
         return sketch
     step = max(1, math.ceil(bins * (math.log(bins) + 4) / n))
-    low = np.uint64((1 << 54) - 1)
+    low = np.uint64((1 << 52) - 1)
     while at < bins:
         rounds = np.arange(at, min(bins, at + step), dtype=np.uint64)[:, None]
         drawn = mix(items[None, :] + (rounds + np.uint64(1)) * np.uint64(0x9E3779B97F4A7C15))
         where = ((drawn >> np.uint64(32)) * np.uint64(bins)) >> np.uint64(32)
-        np.minimum.at(sketch, where.ravel(), ((rounds << np.uint64(54)) | (drawn & low)).ravel())
+        np.minimum.at(sketch, where.ravel(), ((rounds << np.uint64(52)) | (drawn & low)).ravel())
         at += len(rounds)
         if (sketch != empty).all():
             return sketch
@@ -129,4 +129,4 @@ def similarity_sketch(items: np.ndarray, bins: int) -> np.ndarray:
 def _fill_bins(sketch: np.ndarray, items: np.ndarray, bins: int, low: np.uint64, empty: np.uint64) -> None:
     for k in np.flatnonzero(sketch == empty):
         i = np.uint64(bins + int(k))
-        sketch[k] = (i << np.uint64(54)) | (mix(items + (i + np.uint64(1)) * np.uint64(0x9E3779B97F4A7C15)) & low).min()
+        sketch[k] = (i << np.uint64(52)) | (mix(items + (i + np.uint64(1)) * np.uint64(0x9E3779B97F4A7C15)) & low).min()
