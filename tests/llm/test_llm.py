@@ -94,15 +94,23 @@ def test_decontamination_against_brute_force(spark):
     split = lambda t: re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", "".join(c.lower() if "A" <= c <= "Z" else c for c in t or ""))
     windows = {(tuple(w[k : k + min(10, len(w))]), str(i)) for i, t in items for w in [split(t)] if w for k in range(len(w) - min(10, len(w)) + 1)}
     for i, t, _, _ in docs:
-        if i is None:
-            assert got[i][1:3] == (0, 0)
-            continue
         w = split(t)
         hits = {(k, k + len(g), item) for g, item in windows for k in range(len(w) - len(g) + 1) if tuple(w[k : k + len(g)]) == g}
         ids = sorted({x[2] for x in hits})
         want = (len(w), len({p for a, b, _ in hits for p in range(a, b)}), len(ids), hashlib.sha256(",".join(ids).encode()).hexdigest(), bool(hits))
         assert got[i] == want
     assert decontam.decontaminate(docs_of(spark, docs), bench.limit(0)).where("contaminated").count() == 0
+    assert decontam.decontaminate(docs_of(spark, docs).limit(0), bench).count() == 0
+
+
+def test_decontamination_of_repeated_ids(spark):
+    item = [f"w{k}" for k in range(10)]
+    bench = spark.createDataFrame([(1, " ".join(item))], "item_id long, text string")
+    rows = [(5, " ".join(item[:5]), None, None), (5, "x x x x x " + " ".join(item[5:]), None, None), (6, " ".join(item), None, None), (6, " ".join(item), None, None), (None, " ".join(item), None, None), (None, None, None, None)]
+    got = decontam.decontaminate(docs_of(spark, rows), bench).collect()
+    assert sorted((r["doc_id"] or 0, r["n_hit"]) for r in got) == [(0, 0), (0, 10), (5, 0), (5, 0), (6, 10), (6, 10)]
+    kept = decontam.without_contaminated(docs_of(spark, rows), bench)
+    assert kept.columns == docs_of(spark, rows).columns and sorted(r["doc_id"] or 0 for r in kept.collect()) == [0, 5, 5]
 
 
 def test_mixing_reaches_targets(spark):
@@ -305,17 +313,21 @@ def test_pipeline_on_a_small_corpus(spark, tmp_path):
     item = prose(50, 12)
     en, de = "the house of the river ", "das haus und der fluss "
     rows = [(k, (en if k % 2 else de) * 3 + prose(k, 60), "en" if k % 2 else "de", f"s{k % 2}") for k in range(20)]
+    rows += [(None, rows[5][1], "en", "s1"), (6, prose(90, 60), "de", "s0"), (None, prose(91, 20) + " " + item, "en", "s0")]
     rows += [(100, rows[3][1], "en", "s1"), (101, edited(rows[4][1], 1, 0.01), "de", "s0"), (102, prose(77, 30) + " " + item, "en", "s0"), (103, "?!", "en", "s0"), (104, None, None, None)]
     docs_of(spark, rows).select(*corpus_pipeline.COLUMNS).write.parquet(str(tmp_path / "documents.parquet"))
     spark.createDataFrame([(1, item)], "item_id long, text string").write.parquet(str(tmp_path / "benchmark.parquet"))
     docs = spark.read.parquet(str(tmp_path / "documents.parquet"))
-    ids = lambda d: sorted(r["doc_id"] for r in d.select("doc_id").distinct().collect())
+    ids = lambda d: sorted(-1 if r["doc_id"] is None else r["doc_id"] for r in d.select("doc_id").collect())
     for name, stage in corpus_pipeline.STAGES[:3]:
         docs = stage(spark, docs, str(tmp_path))
         docs.write.parquet(str(tmp_path / name))
         docs = spark.read.parquet(str(tmp_path / name))
         assert docs.columns == corpus_pipeline.COLUMNS
-    assert ids(docs) == list(range(20))
+    assert ids(docs) == sorted([*range(20), 6])
+    empty = docs_of(spark, []).select(*corpus_pipeline.COLUMNS)
+    for _, stage in corpus_pipeline.STAGES:
+        assert stage(spark, empty, str(tmp_path)).count() == 0
     out = corpus_pipeline.run(spark, str(tmp_path)).collect()
     at = 0
     for r in sorted(out, key=lambda r: r["start"]):
