@@ -11,39 +11,43 @@ from pyspark.sql import functions as F
 
 from twinlens.llm import decontam, langid, minhash, mixing, repair
 from twinlens.llm.queries import language_model
-from twinlens.sources.scratch import materialise
+from twinlens.sources.scratch import drop, materialise
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 
 
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without a language go: null texts and texts without a letter."""
+    """Documents without a language go: null texts and texts without a letter.
+
+    Each row is judged by its own text, so null and repeated ids are like others.
+    Whole texts are read; an empty table gives an empty result.
+    """
     found = langid.identify(docs, language_model(docs), keep=tuple(docs.columns))
     return found.where(f"lang_pred <> '{langid.UNDETERMINED}'").select(*[F.col(f"kept_{c}").alias(c) for c in docs.columns])
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of near duplicates (five-word shingles, similarity 0.8 or more) the document with the smallest id stays; documents with a null id stay."""
-    found = minhash.near_duplicates(docs, width=5, threshold=0.8)
-    kept = found.where("kept and doc_id is not null").select("doc_id")
-    rows = docs.where("doc_id is not null").join(kept, "doc_id", "left_semi").dropDuplicates(["doc_id"])
-    return rows.unionByName(docs.where("doc_id is null")).select(*docs.columns)
+    """Of each group of near duplicates (five-word shingles, similarity 0.8 or more) the document of the smallest id stays.
+
+    Null ids come last in that order and are deduplicated like others; different
+    texts under one id are judged by themselves; documents without words stay. An
+    empty table gives an empty result.
+    """
+    return minhash.one_of_each(docs, width=5, threshold=0.8)
 
 
 def remove_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that hold a window of a benchmark item go."""
-    items = spark.read.parquet(f"{sf_dir}/benchmark.parquet")
-    hits, _ = materialise(decontam.decontaminate(docs, items).where("contaminated and doc_id is not null").select("doc_id").distinct(), "contaminated")
-    return docs.join(hits, "doc_id", "left_anti").select(*docs.columns)
+    """Documents that hold a window of a benchmark item go, whatever their ids; null texts stay. An empty table gives an empty result."""
+    return decontam.without_contaminated(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Each document as often as its source's rate and its coin say."""
+    """Each document as often as its source's rate and its coin say; null sources are one source, null texts go, repeated ids toss alike."""
     return mixing.mix(docs)
 
 
 def encode_shards(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Token-id shards, and what reading them back gives per document."""
+    """Token-id shards, and what reading them back gives per document; null texts are empty, null ids first, repeats each written."""
     return repair.encode_and_read(docs)
 
 
@@ -61,6 +65,10 @@ ORACLE_SQL = None
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    before = None
     for name, stage in STAGES:
-        docs, _ = materialise(stage(spark, docs, sf_dir), f"stage-{name}")
+        docs, path = materialise(stage(spark, docs, sf_dir), f"stage-{name}")
+        if before is not None:
+            drop(spark, before)
+        before = path
     return docs
