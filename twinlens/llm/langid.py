@@ -21,6 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from twinlens.llm.tokens import together
 from twinlens.sources.scratch import drop, materialise
 
 #: The classifier is fitted on the whole texts of about this many labelled rows at most, chosen by hash of text and language.
@@ -70,7 +71,15 @@ class Model:
     unseen: list[float]
     scripts: dict[str, list[bool]]
 
+    def __getstate__(self):
+        return self.languages, self._word_no, self._word_scores, self._gram_no, self._gram_scores, self._narrow  # what a worker needs
+
+    def __setstate__(self, state):
+        self.languages, self._word_no, self._word_scores, self._gram_no, self._gram_scores, self._narrow = state
+
     def __post_init__(self):
+        self._word_no = {w: k for k, w in enumerate(self.words)}
+        self._word_scores = np.array([*self.words.values()], dtype=np.float32).reshape(len(self.words), len(self.languages))
         self._gram_no = {g: k for k, g in enumerate(self.grams)}
         self._gram_scores = np.array([*self.grams.values(), self.unseen], dtype=np.float64).reshape(len(self.grams) + 1, len(self.languages))
         self._narrow = {s: np.array([0.0 if ok else -50.0 for ok in v]) for s, v in self.scripts.items() if not all(v)}
@@ -78,11 +87,9 @@ class Model:
     def scores(self, words: list[str]) -> np.ndarray:
         """Log scores of words in each language; a language never seen in a word's script is out."""
         out = np.empty((len(words), len(self.languages)))
-        unknown = [k for k, w in enumerate(words) if w not in self.words]
-        for k, w in enumerate(words):
-            known = self.words.get(w)
-            if known is not None:
-                out[k] = known
+        at = np.fromiter((self._word_no.get(w, -1) for w in words), np.int64, len(words))
+        out[at >= 0] = self._word_scores[at[at >= 0]]
+        unknown = np.flatnonzero(at < 0).tolist()
         if unknown:
             missing, number = len(self._gram_no), self._gram_no.get
             ids = [[number(w[j : j + 3], missing) for j in range(len(w) - 2)] for w in (f"^{words[k]}$" for k in unknown)]
@@ -223,7 +230,7 @@ def one_language(scores: np.ndarray, switch: float) -> int | None:
 
 
 #: Words worked through together, and distinct words whose scores a worker holds.
-_TOGETHER, _HELD = 400_000, 400_000
+_TOGETHER, _HELD = 100_000, 150_000
 
 
 class Labeller:
@@ -292,10 +299,10 @@ def identify(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: st
     def label(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         labeller = Labeller(model, switch)
         for batch in batches:
-            texts = batch.column(1).to_pylist()
-            got = list(labeller.label(texts)) if model.languages else [(UNDETERMINED, 0.0, [])] * len(texts)
-            columns = [batch.column(0), *batch.columns[2:], pa.array([g[0] for g in got], pa.string()), pa.array([g[1] for g in got], pa.float64()), pa.array([json.dumps(g[2]) for g in got], pa.string())]
-            yield pa.RecordBatch.from_arrays(columns, names=[f"c{k}" for k in range(len(columns))])
+            for part, texts in together(batch, 1):
+                got = list(labeller.label(texts)) if model.languages else [(UNDETERMINED, 0.0, [])] * len(texts)
+                columns = [part.column(0), *part.columns[2:], pa.array([g[0] for g in got], pa.string()), pa.array([g[1] for g in got], pa.float64()), pa.array([json.dumps(g[2]) for g in got], pa.string())]
+                yield pa.RecordBatch.from_arrays(columns, names=[f"c{k}" for k in range(len(columns))])
 
     source = docs.select(F.col(id_col).alias("_id"), F.col(text_col).alias("_text"), *[F.col(c).alias(f"_keep{k}") for k, c in enumerate(keep)])
     types = [f.dataType.simpleString() for f in source.schema.fields]
