@@ -279,11 +279,32 @@ def test_tool_calls(spark):
     )
     results = spark.createDataFrame([(1, "a", "late", 3), (1, "a", "first", 1), (2, "q", "before", 1)], "conv long, call string, content string, position long")
     got = {r["call"]: r for r in chat.link_tool_calls(calls, results, schema).collect()}
-    assert {k: (r["linked"], r["valid"], r["level"]) for k, r in got.items()} == {"a": (True, True, 0), "b": (False, False, 0), "c": (False, False, 0), "p": (False, True, 1), "q": (False, True, 0), "r": (False, False, None), "s": (False, False, None), None: (False, False, 0)}
+    assert {k: (r["linked"], r["valid"], r["level"]) for k, r in got.items()} == {"a": (True, True, 0), "b": (False, False, 1), "c": (False, False, 0), "p": (False, True, 1), "q": (False, True, 0), "r": (False, False, None), "s": (False, False, None), None: (False, False, 0)}
     assert got["a"]["record"] == '{"arguments":{"s":"t","x":1},"call_id":"a","depends_on":[],"name":"f","result":"first"}'
     assert chat.link_tool_calls(calls.limit(0), results, schema).count() == 0
 
 
+def test_levels_of_random_graphs(spark):
+    rng = random.Random(12)
+    rows, want = [], {}
+    for conv in range(12):
+        n = 40 if conv else 200
+        order = rng.sample(range(n), n)
+        deps = {c: ([order[k - 1]] if conv == 0 else rng.sample(order[:k], min(k, rng.choice([0, 1, 1, 2])))) if k else [] for k, c in enumerate(order)}
+        level = {}
+        for c in order:
+            level[c] = 1 + max((level[d] for d in deps[c]), default=-1)
+        if conv == 5:  # a cycle of three, and one behind it
+            deps |= {100: [101], 101: [102], 102: [100], 103: [102, order[0]]}
+            level |= dict.fromkeys((100, 101, 102, 103))
+        rows += [(conv, str(c), "f", "{}", c, [str(d) for d in ds]) for c, ds in deps.items()]
+        want |= {(conv, str(c)): x for c, x in level.items()}
+    calls = spark.createDataFrame(rows, "conv long, call string, name string, arguments string, position long, depends_on array<string>")
+    results = spark.createDataFrame([], "conv long, call string, content string, position long")
+    got = chat.link_tool_calls(calls, results, {"f": {}}).collect()
+    assert {(r["conv"], r["call"]): r["level"] for r in got} == want
+
+
 def test_vectors_against_brute_force(spark):
     rng = np.random.default_rng(6)
     base = rng.normal(size=(6, 16))

@@ -9,10 +9,10 @@ of any length is never gathered in one place.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from twinlens.sources.scratch import materialise
+from twinlens.sources.scratch import drop, materialise
 
 #: Schema types and the variant types that they admit.
 _KINDS = {"string": "STRING", "integer": "BIGINT", "number": "BIGINT|DOUBLE|FLOAT|DECIMAL.*", "boolean": "BOOLEAN", "array": "ARRAY.*", "object": "OBJECT.*"}
@@ -41,31 +41,50 @@ def arguments_valid(name: Column, arguments: Column, schemas: dict[str, dict]) -
     return out
 
 
-def _levels(forward: DataFrame, edges: DataFrame) -> DataFrame:
-    """Levels by peeling: in each round go the calls whose dependencies have all gone. Ends when a round takes none."""
-    left, _ = materialise(forward.select("conv", "call"), "peel")
-    edges, _ = materialise(edges.select("conv", "call", "dep"), "peel-edges")
-    gone = None
-    level = 0
+def _levels(calls: DataFrame, edges: DataFrame) -> DataFrame:
+    """(conv, call, level): the longest chain of dependencies below each call; calls on and behind cycles are left out.
+
+    A round gives a level to every call whose dependencies all have one. Before
+    that, a dependency on a call that itself waits for one call only is passed on
+    to that call (pointer jumping), so a chain of n calls takes log(n) rounds
+    and not n. Calls that wait for several calls at each of n levels take up to n.
+    Ends when a round gives no level, which on acyclic rest never happens.
+    """
+    spark = calls.sparkSession
+    key = ["conv", "call"]
+    known = calls.select(*key).distinct()
+    links, links_path = materialise(edges.groupBy(*key, "dep").agg(F.lit(1).cast("long").alias("steps")), "level-links")
+    # base: the least level that what is known so far allows; open: the number of dependencies without a level.
+    nodes, nodes_path = materialise(known.withColumn("base", F.lit(0).cast("long")), "level-nodes")
+    settled = -1
     while True:
-        waiting = edges.join(left.select("conv", F.col("call").alias("dep")), ["conv", "dep"], "left_semi").select("conv", "call").distinct()
-        free, _ = materialise(left.join(waiting, ["conv", "call"], "left_anti").withColumn("level", F.lit(level)), "peeled")
-        if not free.limit(1).count():
-            break
-        gone = free if gone is None else gone.unionByName(free)
-        left, _ = materialise(left.join(free.select("conv", "call"), ["conv", "call"], "left_anti"), "peel")
-        level += 1
-    return gone if gone is not None else left.withColumn("level", F.lit(0)).limit(0)
+        waits = links.groupBy(*key).agg(F.count(F.lit(1)).alias("open"), F.max(F.struct("steps", "dep")).alias("only"))
+        state, state_path = materialise(nodes.join(waits, key, "left").select(*key, "base", F.coalesce("open", F.lit(0)).alias("open"), "only"), "level-state")
+        done = state.where("open = 0").count()
+        if done == settled or not links.limit(1).count():
+            drop(spark, links_path, nodes_path)
+            return state.where("open = 0").select(*key, F.col("base").alias("level"))
+        settled = done
+        of_dep = state.select("conv", F.col("call").alias("dep"), F.col("base").alias("dep_base"), F.col("open").alias("dep_open"), F.col("only").alias("dep_only"))
+        seen, seen_path = materialise(links.join(of_dep, ["conv", "dep"]), "level-seen")
+        # What a dependency's base asks for holds at once, and is all that a dependency with a level or with one link asks for besides.
+        bounds = seen.where("dep_open <= 1").groupBy(*key).agg(F.max(F.col("steps") + F.col("dep_base")).alias("bound"))
+        after_nodes, after_nodes_path = materialise(state.select(*key, "base").join(bounds, key, "left").select(*key, F.greatest("base", F.coalesce("bound", F.lit(0))).alias("base")), "level-nodes")
+        one = F.col("dep_open") == 1
+        passed = seen.where("dep_open > 0").select(*key, F.when(one, F.col("dep_only.dep")).otherwise(F.col("dep")).alias("dep"), F.when(one, F.least(F.col("steps") + F.col("dep_only.steps"), F.lit(1 << 40))).otherwise(F.col("steps")).alias("steps"))
+        after_links, after_links_path = materialise(passed.groupBy(*key, "dep").agg(F.max("steps").alias("steps")), "level-links")
+        drop(spark, links_path, nodes_path, state_path, seen_path)
+        links, links_path, nodes, nodes_path = after_links, after_links_path, after_nodes, after_nodes_path
 
 
 def link_tool_calls(calls: DataFrame, results: DataFrame, schemas: dict[str, dict]) -> DataFrame:
     """A row per call: conv, call, position, level, linked, valid, record.
 
     ``calls``: conv, call, name, arguments (JSON text), position, depends_on
-    (array of identifiers). ``results``: conv, call, content, position. Sorting a
-    conversation by (level, position) is a topological order: level is 0 where
-    all dependencies stand earlier anyway, else counted by peeling, and null on
-    and behind cycles. A call is linked if a result with its identifier stands
+    (array of identifiers). ``results``: conv, call, content, position. Level is
+    the longest chain of known dependencies below a call, null on and behind
+    cycles; sorting a conversation by (level, position) is a topological order.
+    A call is linked if a result with its identifier stands
     after it; of several the earliest counts. It is valid if its arguments fit
     the schema, its identifier is its own, its dependencies exist and it is on
     no cycle. Null identifiers link with nothing and are not valid. Empty tables
@@ -75,25 +94,18 @@ def link_tool_calls(calls: DataFrame, results: DataFrame, schemas: dict[str, dic
         calls.select("conv", "call", "name", "arguments", "position", F.coalesce("depends_on", F.array().cast("array<string>")).alias("depends_on")), "calls"
     )
     known = base.where("conv is not null and call is not null").groupBy("conv", "call").agg(F.count(F.lit(1)).alias("uses"), F.min("position").alias("at"))
-    edges = base.where("conv is not null and call is not null").select("conv", "call", "position", F.explode(F.array_distinct("depends_on")).alias("dep"))
-    placed, _ = materialise(edges.join(known.select("conv", F.col("call").alias("dep"), F.col("at").alias("dep_at")), ["conv", "dep"], "left"), "edges")
+    edges = base.where("conv is not null and call is not null").select("conv", "call", F.explode(F.array_distinct("depends_on")).alias("dep"))
+    placed, _ = materialise(edges.where("dep is not null").join(known.select("conv", F.col("call").alias("dep"), F.col("at").alias("dep_at")), ["conv", "dep"], "left"), "edges")
     of_call = placed.groupBy("conv", "call").agg(F.bool_or(F.col("dep_at").isNull()).alias("missing"))
-    turned = placed.where("dep_at >= position").select("conv").distinct()
-    turned, _ = materialise(turned, "out-of-order")
-    out_of_order = bool(turned.limit(1).count())
-    answers = (
-        base.select("conv", "call", F.col("position").alias("asked"))
-        .join(results.select("conv", "call", F.col("content"), F.col("position").alias("answered")), ["conv", "call"])
-        .where("answered > asked").groupBy("conv", "call").agg(F.min(F.struct("answered", "content")).alias("answer"))
+    levels = _levels(known, placed.where("dep_at is not null"))
+    # The first result after a call: both are put in order of position and each call takes the least that comes later.
+    timeline = base.where("conv is not null and call is not null").select("conv", "call", "position", F.lit(1).alias("side"), F.lit(None).cast("string").alias("content")).distinct().unionByName(
+        results.select("conv", "call", "position", F.lit(0).alias("side"), F.col("content").cast("string").alias("content")).groupBy("conv", "call", "position", "side").agg(F.min("content").alias("content"))
     )
-    row = base.join(known.select("conv", "call", "uses"), ["conv", "call"], "left").join(of_call, ["conv", "call"], "left").join(answers, ["conv", "call"], "left")
-    if out_of_order:
-        forward = known.join(turned, "conv", "left_semi")
-        levels = _levels(forward, placed.where("dep_at is not null").join(turned, "conv", "left_semi"))
-        row = row.join(levels, ["conv", "call"], "left").join(turned.withColumn("turned", F.lit(True)), "conv", "left")
-        level = F.when(F.col("turned"), F.col("level")).otherwise(F.lit(0))
-    else:
-        level = F.lit(0)
+    behind = Window.partitionBy("conv", "call").orderBy("position").rangeBetween(1, Window.unboundedFollowing)
+    answers = timeline.withColumn("answer", F.first(F.when(F.col("side") == 0, F.struct(F.col("position").alias("answered"), "content")), ignorenulls=True).over(behind)).where("side = 1").select("conv", "call", "position", "answer")
+    row = base.join(known.select("conv", "call", "uses"), ["conv", "call"], "left").join(of_call, ["conv", "call"], "left").join(answers, ["conv", "call", "position"], "left").join(levels, ["conv", "call"], "left")
+    level = F.when(F.col("call").isNull() | F.col("conv").isNull(), F.lit(0)).otherwise(F.col("level"))
     canonical = F.to_json(F.try_parse_json("arguments"))
     record = F.concat(
         F.lit('{"arguments":'), F.coalesce(canonical, F.lit("null")),
@@ -119,13 +131,24 @@ TURN_SCHEMAS = {"reply": {"properties": {"text": "string", "turn": "integer"}, "
 
 
 def conversation_calls(turns: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Turns as calls and results: each user turn asks for a reply, and depends on the user turn two before; the assistant's next turn answers."""
+    """Turns as calls and results: each user turn asks for a reply, and the assistant's next turn answers it.
+
+    In conversations of even number a call depends on the user turn before; in
+    those of odd number on the user turn after, if there is one, so that the
+    order of the turns isn't the order of the calls. Null conversations and turns
+    give calls without an identifier. Rows repeated under one conversation and
+    turn give calls of one identifier. An empty table gives empty tables.
+    """
     name = lambda turn: F.concat_ws("-", F.col("conv_id").cast("string"), turn.cast("string"))
     asked = turns.where("role = 'user'")
-    calls = asked.select(
+    last = asked.groupBy("conv_id").agg(F.max("turn").alias("last"))
+    none = F.array().cast("array<string>")
+    before = F.when(F.col("turn") >= 2, F.array(name(F.col("turn") - 2))).otherwise(none)
+    after = F.when(F.col("turn") + 2 <= F.col("last"), F.array(name(F.col("turn") + 2))).otherwise(none)
+    calls = asked.join(last, "conv_id", "left").select(
         F.col("conv_id").alias("conv"), F.when(F.col("conv_id").isNotNull() & F.col("turn").isNotNull(), name(F.col("turn"))).alias("call"), F.lit("reply").alias("name"),
         F.to_json(F.struct("turn", "text")).alias("arguments"), F.col("turn").alias("position"),
-        F.when(F.col("turn") >= 2, F.array(name(F.col("turn") - 2))).otherwise(F.array().cast("array<string>")).alias("depends_on"),
+        F.when(F.col("conv_id").isNull(), none).when(F.col("conv_id") % 2 == 0, before).otherwise(after).alias("depends_on"),
     )
     results = turns.where("role = 'assistant'").select(F.col("conv_id").alias("conv"), name(F.col("turn") - 1).alias("call"), F.col("text").alias("content"), F.col("turn").alias("position"))
     return calls, results

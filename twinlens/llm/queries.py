@@ -66,19 +66,26 @@ def op10_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 OP4_SQL = r"""
-with calls as (
-  select conv_id, turn, conv_id::VARCHAR || '-' || turn::VARCHAR as call_id, text, conv_id::VARCHAR || '-' || (turn - 2)::VARCHAR as dep
+with recursive asked as (
+  select conv_id, turn, text, conv_id::VARCHAR || '-' || turn::VARCHAR as call_id, max(turn) over (partition by conv_id) as last
   from conversations where role = 'user'
+), calls as (
+  select *, case when conv_id % 2 = 0 and turn >= 2 then conv_id::VARCHAR || '-' || (turn - 2)::VARCHAR when conv_id % 2 = 1 and turn + 2 <= last then conv_id::VARCHAR || '-' || (turn + 2)::VARCHAR end as dep
+  from asked
 ), uses as (
   select call_id, count(*) as uses from calls group by 1
+), below(call_id, level) as (
+  select call_id, 0 from uses union select c.call_id, b.level + 1 from below b join calls c on c.dep = b.call_id
+), levels as (
+  select call_id, max(level)::BIGINT as level from below group by 1
 ), answers as (
   select conv_id::VARCHAR || '-' || (turn - 1)::VARCHAR as call_id, min(text) as content from conversations where role = 'assistant' group by 1
 )
-select c.conv_id, c.call_id, c.turn as position, 0 as level, a.call_id is not null as linked,
-  u.uses = 1 and c.text is not null and (c.turn < 2 or d.call_id is not null) as valid,
+select c.conv_id, c.call_id, c.turn as position, l.level, a.call_id is not null as linked,
+  u.uses = 1 and c.text is not null and (c.dep is null or d.call_id is not null) as valid,
   '{"arguments":{' || case when c.text is null then '' else '"text":' || to_json(c.text)::VARCHAR || ',' end || '"turn":' || c.turn::VARCHAR || '},"call_id":"' || c.call_id || '","depends_on":['
-    || case when c.turn >= 2 then '"' || c.dep || '"' else '' end || '],"name":"reply","result":' || coalesce(to_json(a.content)::VARCHAR, 'null') || '}' as record
-from calls c join uses u on c.call_id = u.call_id left join answers a on c.call_id = a.call_id left join uses d on c.dep = d.call_id
+    || case when c.dep is not null then '"' || c.dep || '"' else '' end || '],"name":"reply","result":' || coalesce(to_json(a.content)::VARCHAR, 'null') || '}' as record
+from calls c join uses u on c.call_id = u.call_id join levels l on c.call_id = l.call_id left join answers a on c.call_id = a.call_id left join uses d on c.dep = d.call_id
 """
 
 
