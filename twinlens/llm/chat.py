@@ -12,7 +12,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from twinlens.sources.scratch import drop, materialise
+from twinlens.sources.scratch import drop, materialise, scratch_path
 
 #: Schema types and the variant types that they admit.
 _KINDS = {"string": "STRING", "integer": "BIGINT", "number": "BIGINT|DOUBLE|FLOAT|DECIMAL.*", "boolean": "BOOLEAN", "array": "ARRAY.*", "object": "OBJECT.*"}
@@ -56,21 +56,26 @@ def _levels(calls: DataFrame, edges: DataFrame) -> DataFrame:
     links, links_path = materialise(edges.groupBy(*key, "dep").agg(F.lit(1).cast("long").alias("steps")), "level-links")
     # base: the least level that what is known so far allows; open: the number of dependencies without a level.
     nodes, nodes_path = materialise(known.withColumn("base", F.lit(0).cast("long")), "level-nodes")
-    settled = -1
+    found, serial = scratch_path(spark, "levels"), 0
     while True:
         waits = links.groupBy(*key).agg(F.count(F.lit(1)).alias("open"), F.max(F.struct("steps", "dep")).alias("only"))
         state, state_path = materialise(nodes.join(waits, key, "left").select(*key, "base", F.coalesce("open", F.lit(0)).alias("open"), "only"), "level-state")
-        done = state.where("open = 0").count()
-        if done == settled or not links.limit(1).count():
-            drop(spark, links_path, nodes_path)
-            return state.where("open = 0").select(*key, F.col("base").alias("level"))
-        settled = done
+        # Calls with a level leave: what depends on them takes it over in this round.
+        state.where("open = 0").select(*key, F.col("base").alias("level")).write.parquet(f"{found}/round={serial}")
+        counts = state.agg(F.count_if(F.col("open") == 0), F.count_if(F.col("open") > 0)).first()
+        if not counts[0] or not counts[1]:
+            drop(spark, links_path, nodes_path, state_path)
+            types = {f.name: f.dataType.simpleString() for f in known.schema.fields}
+            return spark.read.schema(f"conv {types['conv']}, call {types['call']}, level long, round int").parquet(found).select(*key, "level")
+        serial += 1
         of_dep = state.select("conv", F.col("call").alias("dep"), F.col("base").alias("dep_base"), F.col("open").alias("dep_open"), F.col("only").alias("dep_only"))
-        seen, seen_path = materialise(links.join(of_dep, ["conv", "dep"]), "level-seen")
+        # A call whose only dependency gets its level now gets its own in the next round: nothing is passed over it to a call that leaves.
+        leaving = state.where("open = 0").select("conv", F.col("call").alias("next"), F.lit(True).alias("leaves"))
+        seen, seen_path = materialise(links.join(of_dep, ["conv", "dep"]).withColumn("next", F.col("dep_only.dep")).join(leaving, ["conv", "next"], "left"), "level-seen")
         # What a dependency's base asks for holds at once, and is all that a dependency with a level or with one link asks for besides.
         bounds = seen.where("dep_open <= 1").groupBy(*key).agg(F.max(F.col("steps") + F.col("dep_base")).alias("bound"))
-        after_nodes, after_nodes_path = materialise(state.select(*key, "base").join(bounds, key, "left").select(*key, F.greatest("base", F.coalesce("bound", F.lit(0))).alias("base")), "level-nodes")
-        one = F.col("dep_open") == 1
+        after_nodes, after_nodes_path = materialise(state.where("open > 0").select(*key, "base").join(bounds, key, "left").select(*key, F.greatest("base", F.coalesce("bound", F.lit(0))).alias("base")), "level-nodes")
+        one = (F.col("dep_open") == 1) & F.col("leaves").isNull()
         passed = seen.where("dep_open > 0").select(*key, F.when(one, F.col("dep_only.dep")).otherwise(F.col("dep")).alias("dep"), F.when(one, F.least(F.col("steps") + F.col("dep_only.steps"), F.lit(1 << 40))).otherwise(F.col("steps")).alias("steps"))
         after_links, after_links_path = materialise(passed.groupBy(*key, "dep").agg(F.max("steps").alias("steps")), "level-links")
         drop(spark, links_path, nodes_path, state_path, seen_path)
