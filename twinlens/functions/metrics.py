@@ -11,7 +11,7 @@ from dataclasses import dataclass, field
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
-from pyspark.sql.types import DoubleType, StringType
+from pyspark.sql.types import DoubleType
 
 from twinlens.functions.text import folded, folded_ascii, tokens
 
@@ -58,80 +58,6 @@ def common_subsequence_ratio(a: str, b: str) -> float:
     return 2 * (len(a) - row.bit_count()) / (len(a) + len(b))
 
 
-# Letter rules of the phonetic code.
-_VOWELS, _FRONT = "AEIOU", "IEY"
-_SAME = {"B": "B", "F": "F", "J": "J", "L": "L", "M": "M", "N": "N", "R": "R", "Q": "K", "V": "F", "X": "KS", "Z": "S"}
-
-
-def phonetic_code(text: str) -> str:
-    """A simplified single metaphone. The end of a word counts as a vowel and as a front vowel."""
-    word = "".join(c for c in text.upper() if "A" <= c <= "Z")
-    out = []
-    i, n = 0, len(word)
-
-    def letter(k: int) -> str:
-        return word[k] if 0 <= k < n else ""
-
-    def front(k: int) -> bool:
-        return letter(k) in _FRONT  # the empty end too
-
-    def vowel(k: int) -> bool:
-        return letter(k) in _VOWELS
-
-    while i < n:
-        c, after = word[i], letter(i + 1)
-        step = 1
-        if c in _VOWELS:
-            out.append(c if i == 0 else "")
-        elif c in _SAME:
-            out.append(_SAME[c])
-        elif c == "C":
-            if after and front(i + 1):
-                out.append("S")
-            elif after == "H":
-                out.append("X")
-                step = 2
-            else:
-                out.append("K")
-        elif c == "D":
-            if after == "G" and front(i + 2):
-                out.append("J")
-                step = 2
-            else:
-                out.append("T")
-        elif c == "G":
-            if after == "H" and not vowel(i + 2):
-                step = 2
-            else:
-                out.append("J" if front(i + 1) else "K")
-        elif c == "H":
-            out.append("H" if vowel(i + 1) else "")
-        elif c == "K":
-            out.append("" if letter(i - 1) == "C" and i else "K")
-        elif c == "P":
-            out.append("F" if after == "H" else "P")
-            step = 2 if after == "H" else 1
-        elif c == "S":
-            if after == "H":
-                out.append("X")
-                step = 2
-            elif after == "I" and letter(i + 2) in ("O", "A"):
-                out.append("X")
-                step = 2
-            else:
-                out.append("S")
-        elif c == "T":
-            if after == "H":
-                out.append("0")
-                step = 2
-            else:
-                out.append("X" if after == "I" and letter(i + 2) in ("A", "O") else "T")
-        else:  # W, Y
-            out.append(c if vowel(i + 1) else "")
-        i += step
-    return "".join(out)
-
-
 def _paired(function: Callable[[str, str], float]):
     def score(a: pd.Series, b: pd.Series) -> pd.Series:
         known: dict[tuple, float | None] = {}
@@ -145,10 +71,25 @@ def _paired(function: Callable[[str, str], float]):
     return score
 
 
-@F.pandas_udf(StringType())
-def phonetic(values: pd.Series) -> pd.Series:
-    known = {v: phonetic_code(v) for v in values.dropna().unique()}
-    return values.map(known, na_action="ignore")
+#: Letters in context and their code, in order; lower case is done, "-" is silent. The contexts and codes.
+_SOUNDS = (
+    ("(?<=C)K", "-"), ("CH", "x"), ("C(?=[IEY])", "s"), ("C", "k"),
+    ("DG(?=[IEY]|$)", "j"), ("D", "t"),
+    ("GH(?![AEIOU]|$)", "-"), ("G(?=[IEY]|$)", "j"), ("G", "k"),
+    ("PH", "f"), ("P", "p"), ("Q", "k"),
+    ("SH", "x"), ("S(?=I[OA])", "x"), ("S", "s"),
+    ("TH", "0"), ("T(?=I[AO])", "x"), ("T", "t"),
+    ("H(?=[AEIOU]|$)", "h"), ("W(?=[AEIOU]|$)", "w"), ("Y(?=[AEIOU]|$)", "y"),
+    ("V", "f"), ("X", "ks"), ("Z", "s"), ("(?<=.)[AEIOU]|[HWY]|-", ""),
+)
+
+
+def phonetic(value: Column | str) -> Column:
+    """The phonetic code of a text: of its letters A-Z, silent ones dropped; empty without any."""
+    out = F.regexp_replace(F.upper(F.col(value) if isinstance(value, str) else value), "[^A-Z]", "")
+    for letters, code in _SOUNDS:
+        out = F.regexp_replace(out, letters, code)
+    return F.upper(out)
 
 
 lcs_ratio = F.pandas_udf(_paired(common_subsequence_ratio), DoubleType())
