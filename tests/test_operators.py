@@ -5,7 +5,7 @@ from pathlib import Path
 import pytest
 from pyspark.sql import functions as F
 
-from twinlens.operators import blocking, capture, ledger, merging, profile, review, scoring
+from twinlens.operators import blocking, capture, classify, ledger, merging, pricing, profile, review, scoring, sessions
 from twinlens.operators.components import connected_components
 from twinlens.operators.scoring import FieldSpec, MetricSpec, Resolution, Rule
 
@@ -168,8 +168,9 @@ def test_kinds(samples, kind):
     assert profile.normal_type("LIST<STRING NOT NULL> NOT NULL") == "STRING" and profile.normal_type("StringArray") == "STRING"
 
 
-def test_ledger():
-    assert ledger.normal_model("us.vendor.model-x-20250101-v1:0") == "model-x" and ledger.normal_model("Model-X@20250101") == "model-x"
+def test_ledger(spark):
+    ids = spark.createDataFrame([("us.Model-X@20250101",), (" model-x-20250101 ",), ("model-x-v1:0[1m]",), ("model-x[1m]",)], "m string").select(pricing.normal_model("m")).collect()
+    assert [r[0] for r in ids] == ["model-x", "model-x", "model-x", "model-x"]
     assert ledger.parallel_map([3, 1, 2], lambda x: x * 2, 2) == [6, 2, 4]
     assert capture.rounded(12345, 50) == 10000 and capture.rounded(12345, 500) == 12000
 
@@ -210,3 +211,76 @@ def test_queue_positions_are_those_of_one_sort(spark):
     expected = sorted((v != "pending", p) for p, v, s in rows if s)
     got = {r["pair_id"]: r["position"] for r in review.queue_positions(pairs).collect()}
     assert got == {p: n for n, (_, p) in enumerate(expected, 1)} and len(got) > 50
+
+
+def _store_spec(least=0.8):
+    return scoring.Resolution("t", (scoring.FieldSpec("name", (scoring.MetricSpec("edit-distance"), scoring.MetricSpec("jaro-winkler")), least),), session_id="s")
+
+
+def test_rerun_keeps_what_people_said(spark, tmp_path):
+    nodes = spark.createDataFrame([("1", "blue anvil"), ("2", "blue anvils"), ("3", "red anvil"), ("4", None)], "id string, name string")
+    store = sessions.SessionStore(spark, f"file://{tmp_path}/state")
+    first = sessions.run(nodes, _store_spec(), store)
+    assert first.strategy == "exhaustive" and first.pairs.count() == 6
+    pair = first.pairs.where("id_a = '1' and id_b = '2'").first()["pair_id"]
+    row = spark.createDataFrame([(pair, "distinct", "look again")], "pair_id string, verdict string, note string")
+    store.decide("s", row)
+    store.annotate("s", row)
+    sessions.run(nodes, _store_spec(0.999), store)
+    held = store.pairs("s").where(F.col("pair_id") == pair).first()
+    assert (held["verdict"], held["note"], held["decided_by"], held["surfaced"]) == ("distinct", "look again", "human", True) and held["decided_at"] is not None
+    assert store.refilter(_store_spec(0.999)).first().asDict() == {"surfaced": 1, "added": 0, "removed": 2, "kept_for_verdict": 1}
+    store.decide("s", row.withColumn("verdict", F.lit("pending")))
+    held = store.pairs("s").where(F.col("pair_id") == pair).first()
+    assert (held["verdict"], held["decided_at"], held["decided_by"], held["note"]) == ("pending", None, None, "look again")
+    assert store.load("s") == _store_spec(0.999) and [r["status"] for r in store.sessions().collect()] == ["refiltered"]
+    store.delete(_store_spec())
+    assert store.sessions().count() == 0 and store.pairs("s").count() == 0
+
+
+def test_candidates_of_each_metric(spark):
+    nodes = spark.createDataFrame([("1", "NY", 5.0), ("2", "NY", 5.1), ("3", "Smith ab", 90.0), ("4", "smyth AB", None)], "id string, name string, n double")
+    got = lambda m, **p: sorted(tuple(r) for r in sessions.metric_candidates(nodes, scoring.FieldSpec("n" if m == "numeric-proximity" else "name", ()), scoring.MetricSpec(m, None, p)).collect())
+    assert got("edit-distance") == [("3", "4")] and got("edit-distance", minLen=1) == [("1", "2"), ("3", "4")]
+    assert got("exact-match") == [("1", "2")] and got("phonetic") == [("1", "2"), ("3", "4")]
+    assert got("jaro-winkler") == got("token-jaccard") == got("token-sort-ratio") == [("1", "2"), ("3", "4")]
+    assert ("1", "2") in got("numeric-proximity")
+
+
+def test_prefix_preconditions_and_gates(spark):
+    nodes = spark.createDataFrame([("1", "abcdefgh1"), ("2", "abcdefgh2")], "id string, name string")
+    spec = scoring.Resolution("t", _store_spec().fields, strategy="prefix", blocking_field="name")
+    assert sessions.run(nodes, spec).pairs.count() == 1 and sessions.check_prefix(nodes, spec) == ["one block holds 2 of 2 nodes"]
+    with pytest.raises(ValueError):
+        sessions.check_prefix(nodes, _store_spec())
+    with pytest.raises(ValueError):
+        sessions.check_prefix(nodes, scoring.Resolution("t", (scoring.FieldSpec("name", (scoring.MetricSpec("semantic-cosine"),)),), blocking_field="name"))
+    assert [sessions.gate(n, "auto") for n in (10, 600_000, 3_000_000)] == ["ok", "warn", "refuse"] and sessions.gate(9_000_000, "prefix") == "ok"
+    assert sessions.estimate_next_pass(nodes, spec) == {"nodes": 2, "candidates": 1, "surfaced": 1}
+
+
+def test_classification_plumbing():
+    seen = []
+
+    def ask(items):
+        seen.append(list(items))
+        if len(items) == 2 and len(seen) < 3:
+            raise RuntimeError("busy")
+        return {x: "duplicate" for x in items if x != "b" or len(items) == 1}
+
+    got = classify.classify([["a", "b"], ["c"]], ask, caching=True, sleep=lambda s: None)
+    assert got == {"a": "duplicate", "b": "duplicate", "c": "duplicate"} and seen == [["a", "b"]] * 3 + [["b"], ["c"]]
+    p = classify.plan(45, 100, 3600, 720, 10, 2048, others=["x", "y"], model="x")
+    assert (p.calls, p.prefix_tokens, p.cache_eligible, p.suggested_examples, p.alternative) == (3, 1000, False, 27, "y")
+    assert classify.job_estimate(None, {"n": 3, "input": (10.0, 1.0), "output": (2.0, 0.0), "ms": 8.0}, None, 10)["basis"] == "history-other-model"
+    assert classify.job_estimate(None, None, 36.0, 1)["input"] == (7.5, 10.0, 12.5) and classify.job_estimate(None, None, None, 1)["basis"] == "none"
+    assert (classify.usd(0.001), classify.tokens_text(1500), classify.duration_text(61_000)) == ("<$0.01", "1.5k", "1 min 1 s")
+    prefix = classify.shared_prefix("t", 3, [{"field_name": "f", "metric_id": "m", "p50": 0.5, "p75": 0.6, "p90": 0.7, "p95": 0.8, "max": 1.0}], [])
+    assert prefix.startswith("Data set: t, 3 nodes.\nMetrics:\n  f · m: p50 0.500") and prefix.endswith("The table was compared whole.")
+
+
+def test_field_draft_and_sanitised(spark):
+    draft = profile.field_draft([("a", "name"), ("b", "boolean"), ("c", "numeric"), ("d", "date")])
+    assert [(f.name, round(f.weight, 3), f.threshold) for f in draft] == [("a", 0.5, 0.8), ("c", 0.5, 0.8)]
+    rows = spark.sql("select cast(1 as int) i, cast(1.5 as float) f, date'2020-01-02' d, array(cast(1 as smallint)) l, 'x' s")
+    assert [t for _, t in review.sanitised(rows).dtypes] == ["bigint", "double", "string", "array<bigint>", "string"]

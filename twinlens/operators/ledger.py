@@ -3,12 +3,13 @@
 from __future__ import annotations
 
 import math
-import re
 from concurrent.futures import ThreadPoolExecutor
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from twinlens.sources.scratch import materialise
+
 TOKEN_COLUMNS = ("input_tokens", "output_tokens", "cache_read_tokens", "cache_creation_tokens")
 RESPONSE_DDL = "array<struct<tag:string,verdict:string,reason:string>>"
 
@@ -28,16 +29,16 @@ def job_samples(jobs: DataFrame, kind: str, variant: str, model: str | None = No
     return rows.orderBy(F.col("started_at").desc(), "id").limit(latest).select("id", (F.col("input_tokens") / units).alias("input_per_unit"), (F.col("output_tokens") / units).alias("output_per_unit"), ((F.col("ended_at") - F.col("started_at")) * concurrency / units).alias("ms_per_unit"))
 
 
-def mean_and_spread(samples: DataFrame, column: str) -> DataFrame:
-    return samples.agg(F.avg(column).alias("mean"), F.coalesce(F.stddev_samp(column), F.lit(0.0)).alias("sd"), F.count(column).alias("n"))
+def job_totals(jobs: DataFrame, calls: DataFrame) -> DataFrame:
+    """Jobs with the running totals of their calls: call_count, the four token counts, cost_usd."""
+    sums = calls.groupBy("job_id").agg(F.count(F.lit(1)).alias("call_count"), *[F.sum(c).alias(c) for c in TOKEN_COLUMNS], F.sum("cost_usd").alias("cost_usd"))
+    kept = [c for c in jobs.columns if c not in ("call_count", *TOKEN_COLUMNS, "cost_usd")]
+    joined = jobs.select(*kept).join(sums, jobs["id"] == sums["job_id"], "left").drop("job_id")
+    return joined.select(*kept, *[F.coalesce(c, F.lit(0)).alias(c) for c in ("call_count", *TOKEN_COLUMNS, "cost_usd")])
 
 
-def normal_model(model: str) -> str:
-    """A model's bare name: vendor and region prefixes, brackets, dates and versions off."""
-    name = re.sub(r"\[[^\]]*\]$", "", model.strip().lower())
-    name = name.rsplit("/", 1)[-1]
-    name = re.sub(r"^(?:[a-z]{2,6}\.)?[a-z]+\.", "", name)
-    return re.sub(r"(?:@\d{8}|-\d{8})?(?:-v\d+(?::\d+)?)?$", "", name)
+def mean_and_spread(samples: DataFrame, column: str) -> DataFrame:
+    return samples.agg(F.avg(column).alias("mean"), F.coalesce(F.stddev_samp(column), F.lit(0.0)).alias("sd"), F.count(column).alias("n"))
 
 
 def priced(calls: DataFrame, prices: DataFrame) -> DataFrame:
@@ -51,7 +52,12 @@ def priced(calls: DataFrame, prices: DataFrame) -> DataFrame:
 
 def batches(pairs: DataFrame, size: int = 20, order: str = "pair_id") -> DataFrame:
     """Pending pairs with batch number and tag P1, P2, ... within it."""
-    ranked = pairs.where("verdict = 'pending'").withColumn("_rn", F.row_number().over(Window.orderBy(order)) - 1)
+    # Sorted in parallel and written out; numbers are offsets of the sorted parts plus places within them.
+    held, _ = materialise(pairs.where("verdict = 'pending'").orderBy(order).withColumn("_row", F.monotonically_increasing_id()), "pending")
+    held = held.withColumn("_part", F.shiftright("_row", 33))
+    before = F.coalesce(F.sum("_n").over(Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    parts = held.groupBy("_part").agg(F.count(F.lit(1)).alias("_n")).select("_part", before.alias("_before"))
+    ranked = held.join(parts, "_part").withColumn("_rn", F.col("_before") + F.col("_row") - F.shiftleft("_part", 33)).drop("_part", "_row", "_before")
     return ranked.withColumn("batch", F.floor(F.col("_rn") / size)).withColumn("tag", F.concat(F.lit("P"), (F.col("_rn") % size + 1).cast("string"))).drop("_rn")
 
 

@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType
 
 from twinlens.operators.components import connected_components
+from twinlens.sources.scratch import materialise
 
 
 def degrees(edges: DataFrame) -> DataFrame:
@@ -36,33 +37,72 @@ def member_pairs(members: DataFrame, decided: DataFrame) -> DataFrame:
     return pairs.select("component", "id_a", "id_b", F.coalesce("dup", F.lit(False)).alias("direct"), F.coalesce("dis", F.lit(False)).alias("conflict"))
 
 
-def merge_nodes(nodes: DataFrame, cluster: DataFrame, degree: DataFrame, strategy: str = "discard") -> DataFrame:
-    """Nodes after the merge: absorbed ones gone, survivors by strategy.
+def merge_nodes(nodes: DataFrame, cluster: DataFrame, degree: DataFrame, strategy: str = "discard", fill: bool = False) -> DataFrame:
+    """Nodes after the merge: absorbed ones gone, survivors by strategy. Nodes of no group are not shuffled into one.
 
-    discard: the survivor keeps its own properties. overwrite: the last absorbed
-    member (by degree, highest first, then id) that has a property sets it.
-    combine: each property becomes a list of the distinct values, survivor's first.
+    discard: the survivor keeps its own properties; with ``fill`` those that it
+    lacks are taken from the first absorbed member that has them. overwrite: the
+    last absorbed member (by degree, highest first, then id) that has a property
+    sets it. combine: each property becomes a list of the distinct values,
+    survivor's first.
     """
     properties = [c for c in nodes.columns if c != "id"]
-    placed = nodes.join(cluster.select("id", "survivor_id"), "id", "left").withColumn("owner", F.coalesce("survivor_id", "id"))
-    if strategy == "discard":
-        return placed.where("id = owner").select("id", *properties)
+    if strategy == "discard" and not fill:
+        absorbed = cluster.where("id <> survivor_id").select("id")
+        return nodes.join(absorbed, "id", "left_anti").select("id", *properties)
+    alone = nodes.join(cluster.select("id"), "id", "left_anti")
+    placed = nodes.join(cluster.select("id", F.col("survivor_id").alias("owner")), "id")
     rank = placed.join(degree, "id", "left").withColumn("rank", F.struct((F.col("id") != F.col("owner")).alias("absorbed"), (-F.coalesce("degree", F.lit(0))).alias("d"), F.col("id").alias("i")))
-    if strategy == "overwrite":
-        # max_by skips null orders, so a missing property never overwrites one that is there.
-        merged = [F.max_by(c, F.when(F.col(c).isNotNull(), F.col("rank"))).alias(c) for c in properties]
-        return rank.groupBy(F.col("owner").alias("_owner")).agg(*merged).select(F.col("_owner").alias("id"), *properties)
+    if strategy in ("discard", "overwrite"):
+        # max_by and min_by skip null orders, so a missing property never stands in for one that is there.
+        pick = F.max_by if strategy == "overwrite" else F.min_by
+        merged = [pick(c, F.when(F.col(c).isNotNull(), F.col("rank"))).alias(c) for c in properties]
+        together = rank.groupBy(F.col("owner").alias("_owner")).agg(*merged).select(F.col("_owner").alias("id"), *properties)
+        return together.unionByName(alone.select("id", *properties))
     if strategy == "combine":
+        is_list = {c: isinstance(nodes.schema[c].dataType, ArrayType) for c in properties}
+
         def listed(c: str):
-            of_list = isinstance(nodes.schema[c].dataType, ArrayType)
-            value = F.col(c) if of_list else F.when(F.col(c).isNotNull(), F.array(c))
+            value = F.col(c) if is_list[c] else F.when(F.col(c).isNotNull(), F.array(c))
             held = F.array_sort(F.collect_list(F.when(F.col(c).isNotNull(), F.struct(F.col("rank"), value.alias("v")))))
             return F.array_distinct(F.flatten(F.transform(held, lambda s: s["v"]))).alias(c)
 
-        return rank.groupBy(F.col("owner").alias("_owner")).agg(*[listed(c) for c in properties]).select(F.col("_owner").alias("id"), *properties)
+        together = rank.groupBy(F.col("owner").alias("_owner")).agg(*[listed(c) for c in properties]).select(F.col("_owner").alias("id"), *properties)
+        own = [F.array_distinct(F.coalesce(F.col(c) if is_list[c] else F.when(F.col(c).isNotNull(), F.array(c)), F.array().cast(together.schema[c].dataType))).alias(c) for c in properties]
+        return together.unionByName(alone.select("id", *own))
     raise ValueError(f"unknown strategy: {strategy}")
 
 
+def merge_display(columns: list[str]) -> Column:
+    """What a member of a group is shown as: name, title, heading, summary or text, else its id."""
+    return F.coalesce(*[F.col(c).cast("string") for c in ("name", "title", "heading", "summary", "text") if c in columns], F.col("id"))
+
+
+def dry_run(nodes: DataFrame, decided: DataFrame, degree: DataFrame) -> DataFrame:
+    """(component, id, survivor_id, display, degree, transitive): the groups that a merge would make.
+
+    ``transitive`` marks members of a pair that no `duplicate` verdict confirms.
+    """
+    cluster, _ = materialise(survivors(groups(decided), degree), "cluster")
+    # A member is in an unconfirmed pair unless it is confirmed with each other one: counts do, no pairs are made.
+    confirmed = decided.where("verdict = 'duplicate' and id_a <> id_b").select(F.least("id_a", "id_b").alias("x"), F.greatest("id_a", "id_b").alias("y")).distinct()
+    partners = confirmed.select(F.explode(F.array("x", "y")).alias("id")).groupBy("id").agg(F.count(F.lit(1)).alias("partners"))
+    sizes = cluster.groupBy("component").agg(F.count(F.lit(1)).alias("size"))
+    shown = nodes.select("id", merge_display(nodes.columns).alias("display"))
+    return (
+        cluster.join(sizes, "component").join(partners, "id", "left").join(degree, "id", "left").join(shown, "id", "left")
+        .select("component", "id", "survivor_id", F.coalesce("display", "id").alias("display"), F.coalesce("degree", F.lit(0)).alias("degree"), (F.coalesce("partners", F.lit(0)) < F.col("size") - 1).alias("transitive"))
+    )
+
+
+def merge_result(cluster: DataFrame, nodes: DataFrame, pass_id: str) -> DataFrame:
+    """(merge_pass_id, applied, skipped, failed): groups whose survivor and some absorbed member are there; one that lacks an absorbed member is skipped, one that lacks its survivor failed."""
+    there = cluster.join(nodes.select("id", F.lit(True).alias("there")), "id", "left")
+    own = F.col("id") == F.col("survivor_id")
+    by_group = there.groupBy("component").agg(F.bool_or(own & F.col("there").isNotNull()).alias("survivor"), F.count_if(~own & F.col("there").isNotNull()).alias("absorbed"))
+    return by_group.agg(F.lit(pass_id).alias("merge_pass_id"), F.count_if(F.col("survivor") & (F.col("absorbed") > 0)).alias("applied"), F.count_if(F.col("survivor") & (F.col("absorbed") == 0)).alias("skipped"), F.count_if(~F.col("survivor")).alias("failed"))
+
+
 def rewire(edges: DataFrame, cluster: DataFrame, keep_loops: bool = False) -> DataFrame:
     """Edges after the merge: ends moved to the survivors, equal (src, rel_type, dst) made one, the absorbed's properties last."""
     moved = cluster.where("id <> survivor_id").select("id", "survivor_id")
@@ -76,15 +116,41 @@ def rewire(edges: DataFrame, cluster: DataFrame, keep_loops: bool = False) -> Da
     return out.withColumn("props", F.coalesce("props", F.create_map().cast("map<string,string>"))).groupBy("src", "rel_type", "dst").agg(latest.alias("props"))
 
 
-def audit(cluster: DataFrame, decided: DataFrame, scores: DataFrame, session_id: str, pass_id: str, strategy: str, complete: bool | None = None, nodes_walked: int | None = None) -> DataFrame:
-    """A record per group: survivor, absorbed ids, scores of its pairs, who decided, how complete the comparison was."""
+def audit(cluster: DataFrame, decided: DataFrame, scores: DataFrame, session_id: str, pass_id: str, strategy: str, complete: bool | None = None, nodes_walked: int | None = None, nodes: DataFrame | None = None, label: str | None = None) -> DataFrame:
+    """A record per group: survivor, absorbed ids, scores of its pairs, who decided, how complete the comparison was.
+
+    With ``nodes`` (as they were before the merge) also the properties of the
+    survivor and of each absorbed member, as JSON, in order of absorbed ids.
+    """
     absorbed = cluster.groupBy("component", "survivor_id").agg(F.array_sort(F.collect_list(F.when(F.col("id") != F.col("survivor_id"), F.col("id")))).alias("absorbed_ids"))
     inside = decided.where("verdict = 'duplicate'").join(cluster.select(F.col("id").alias("id_a"), "component"), "id_a")
     who = inside.groupBy("component").agg(F.count_if(F.col("decided_by") == "human").alias("human"), F.count_if(F.col("decided_by") == "ai").alias("ai"), F.count_if(F.col("decided_by").isNull() | ~F.col("decided_by").isin("human", "ai")).alias("unknown"))
     scored = scores.join(inside.select("id_a", "id_b", "component"), ["id_a", "id_b"]).groupBy("component").agg(F.array_sort(F.collect_list(F.struct("metric_id", "field_name", "score", "above_threshold"))).alias("scores"))
-    return absorbed.join(who, "component", "left").join(scored, "component", "left").select(
+    rows = absorbed.join(who, "component", "left").join(scored, "component", "left")
+    if nodes is not None:
+        shown = nodes.select("id", F.to_json(F.struct(*[c for c in nodes.columns if c != "id"])).alias("props"))
+        own = F.col("id") == F.col("survivor_id")
+        held = cluster.join(shown, "id").groupBy("component").agg(F.max(F.when(own, F.col("props"))).alias("survivor_props"), F.transform(F.array_sort(F.collect_list(F.when(~own, F.struct("id", "props")))), lambda s: s["props"]).alias("absorbed_props"))
+        rows = rows.join(held, "component", "left")
+    else:
+        rows = rows.withColumn("survivor_props", F.lit(None).cast("string")).withColumn("absorbed_props", F.lit(None).cast("array<string>"))
+    return rows.select(
         F.substring(F.sha1(F.concat_ws("|", F.lit(session_id), F.lit(pass_id), "survivor_id")), 1, 12).alias("id"),
-        F.lit(session_id).alias("session_id"), F.lit(pass_id).alias("merge_pass_id"), "survivor_id", "absorbed_ids", "scores",
+        F.lit(session_id).alias("session_id"), F.lit(pass_id).alias("merge_pass_id"), F.current_timestamp().alias("timestamp"), F.lit(label).cast("string").alias("label"), "survivor_id", "survivor_props", "absorbed_ids", "absorbed_props", "scores",
         F.lit(strategy).alias("conflict_strategy"), F.struct("human", "ai", "unknown").alias("decided_by"),
         F.struct(F.lit(complete).cast("boolean").alias("complete"), F.lit(nodes_walked).cast("long").alias("nodes_walked")).alias("capture"),
     )
+
+
+def audit_write_back(audits: DataFrame) -> dict[str, DataFrame]:
+    """Tables for a graph: audit records, MERGED_INTO edges of records to survivors, ABSORBED edges of records to absorbed ids."""
+    return {
+        "er_audit_record": audits.select("id", "session_id", "merge_pass_id", "timestamp", "label", "conflict_strategy", F.col("decided_by.human").alias("human"), F.col("decided_by.ai").alias("ai"), F.col("decided_by.unknown").alias("unknown"), F.coalesce("capture.complete", F.lit(True)).alias("label_fully_compared")),
+        "merged_into": audits.select(F.col("id").alias("src"), F.col("survivor_id").alias("dst"), F.lit("MERGED_INTO").alias("rel_type")),
+        "absorbed": audits.select(F.col("id").alias("src"), F.explode("absorbed_ids").alias("dst"), F.lit("ABSORBED").alias("rel_type")),
+    }
+
+
+def audits_by_time(audits: DataFrame) -> DataFrame:
+    """Audit records, the last first."""
+    return audits.orderBy(F.col("timestamp").desc(), "id")

@@ -9,18 +9,41 @@ from twinlens.sources.scratch import materialise
 
 
 def upsert_pairs(old: DataFrame, new: DataFrame, strict: bool = False) -> DataFrame:
-    """Old pairs joined with a rerun's: verdict, decision and note stay; a surfaced or decided pair stays surfaced.
+    """Old pairs joined with a rerun's: verdict, decision, note and all other old columns stay; a surfaced or decided pair stays surfaced.
 
-    ``strict`` takes the rerun's word on surfaced instead.
+    ``strict`` takes the rerun's word on surfaced instead. A max_score is the rerun's where it has one.
     """
     o, n = old.alias("o"), new.alias("n")
     both = o.join(n, F.col("o.pair_id") == F.col("n.pair_id"), "full_outer")
     either = F.coalesce("o.surfaced", F.lit(False)) | F.coalesce("n.surfaced", F.lit(False)) | (F.coalesce("o.verdict", F.lit("pending")) != "pending")
-    return both.select(
-        F.coalesce("o.pair_id", "n.pair_id").alias("pair_id"), F.coalesce("n.id_a", "o.id_a").alias("id_a"), F.coalesce("n.id_b", "o.id_b").alias("id_b"),
-        F.coalesce("o.verdict", F.lit("pending")).alias("verdict"),
-        (F.coalesce("n.surfaced", "o.surfaced") if strict else either).alias("surfaced"),
+    made = {"pair_id": F.coalesce("o.pair_id", "n.pair_id"), "verdict": F.coalesce("o.verdict", F.lit("pending")), "surfaced": F.coalesce("n.surfaced", "o.surfaced") if strict else either}
+    fresh = [c for c in ("id_a", "id_b", "max_score") if c in old.columns and c in new.columns]
+    made |= {c: F.coalesce(f"n.{c}", f"o.{c}") for c in fresh}
+    return both.select(*[made.get(c, F.col(f"o.{c}")).alias(c) for c in old.columns])
+
+
+def with_events(pairs: DataFrame, events: DataFrame) -> DataFrame:
+    """Pairs with the last verdict and the last note of a log (pair_id, kind, verdict, decided_by, note, at, serial); `pending` clears time and decider."""
+    order = F.struct("serial", "at")
+    verdict = F.col("kind") == "verdict"
+    last = events.groupBy("pair_id").agg(
+        F.max_by(F.struct("verdict", "decided_by", "at"), F.when(verdict, order)).alias("v"), F.max_by(F.struct("note"), F.when(F.col("kind") == "note", order)).alias("n")
     )
+    joined = pairs.join(last, "pair_id", "left")
+    decided = F.col("v.verdict") != "pending"
+    made = {
+        "verdict": F.coalesce("v.verdict", "verdict"), "note": F.when(F.col("n").isNotNull(), F.col("n.note")).otherwise(F.col("note")),
+        "decided_at": F.when(F.col("v").isNotNull(), F.when(decided, F.col("v.at"))).otherwise(F.col("decided_at")), "decided_by": F.when(F.col("v").isNotNull(), F.when(decided, F.col("v.decided_by"))).otherwise(F.col("decided_by")),
+    }
+    return joined.select(*[made.get(c, F.col(c)).alias(c) for c in pairs.columns])
+
+
+def reuse_legacy_ids(found: DataFrame, stored: DataFrame) -> DataFrame:
+    """A run's pairs under the id that a session already has for them from before ids held the session."""
+    from twinlens.operators.scoring import legacy_pair_id
+
+    old = stored.select(F.col("pair_id").alias("_legacy"))
+    return found.withColumn("_legacy", legacy_pair_id(F.col("id_a"), F.col("id_b"))).join(old.withColumn("_known", F.lit(True)), "_legacy", "left").withColumn("pair_id", F.when(F.col("_known"), F.col("_legacy")).otherwise(F.col("pair_id"))).select(*found.columns)
 
 
 def upsert_scores(old: DataFrame, new: DataFrame) -> DataFrame:
@@ -76,11 +99,44 @@ def display_value(columns: list[str], extra: list[str] = ()) -> Column:
     return F.coalesce(*[F.col(c).cast("string") for c in [*named, *extra]], F.lit(""))
 
 
-def export_rows(pairs: DataFrame, scores: DataFrame, keys: list[tuple[str, str]]) -> DataFrame:
-    """A row per pair with a column metric_field for each of ``keys``."""
+def export_rows(pairs: DataFrame, scores: DataFrame, keys: list[tuple[str, str]], nodes: DataFrame | None = None, fields: list[str] = ()) -> DataFrame:
+    """A row per pair with a column metric_field for each of ``keys``; with ``nodes`` also both displays and node_a_, node_b_ values of ``fields``."""
     columns = [F.max(F.when((F.col("metric_id") == m) & (F.col("field_name") == f), F.col("score"))).alias(f"{m.replace('-', '_')}_{f}") for m, f in keys]
     wide = scores.groupBy("id_a", "id_b").agg(*columns)
-    return pairs.join(wide, ["id_a", "id_b"], "left")
+    out = pairs.join(wide, ["id_a", "id_b"], "left")
+    if nodes is not None:
+        shown = display_value(nodes.columns, list(fields))
+        for side in ("a", "b"):
+            held = nodes.select(F.col("id").alias(f"id_{side}"), shown.alias(f"display_{side}"), *[F.col(f).cast("string").alias(f"node_{side}_{f}") for f in fields])
+            out = out.join(held, f"id_{side}", "left")
+    return out
+
+
+def json_lines(rows: DataFrame) -> DataFrame:
+    """(pair_id, json): each pair as one object, nulls left out."""
+    return rows.select("pair_id", F.to_json(F.struct(*[c for c in rows.columns])).alias("json"))
+
+
+def score_band(score: Column, threshold: float) -> Column:
+    """green from the threshold on, amber from four fifths of it, else grey."""
+    return F.when(score >= threshold, "green").when(score >= 0.8 * threshold, "amber").otherwise("grey")
+
+
+def sanitised(nodes: DataFrame) -> DataFrame:
+    """Properties as they are compared and stored: whole numbers as long, other numbers as double, dates and times as text; lists likewise."""
+    from pyspark.sql.types import ArrayType, DataType, DateType, DayTimeIntervalType, IntegralType, NumericType, TimestampNTZType, TimestampType
+
+    def kind(t: DataType) -> str | None:
+        if isinstance(t, ArrayType):
+            inner = kind(t.elementType)
+            return inner and f"array<{inner}>"
+        if isinstance(t, IntegralType):
+            return "bigint"
+        if isinstance(t, NumericType):
+            return "double"
+        return "string" if isinstance(t, (DateType, TimestampType, TimestampNTZType, DayTimeIntervalType)) else None
+
+    return nodes.select(*[F.col(f.name).cast(k).alias(f.name) if (k := kind(f.dataType)) else F.col(f.name) for f in nodes.schema.fields])
 
 
 def write_csv(rows: DataFrame, path: str) -> None:
@@ -130,3 +186,18 @@ def high_score_distinct(pairs: DataFrame, scores: DataFrame, least: float = 0.95
     """Scores over ``least`` of pairs judged distinct, counted by field and metric."""
     joined = scores.where(F.col("score") > least).join(pairs.where("verdict = 'distinct'").select("id_a", "id_b"), ["id_a", "id_b"])
     return joined.groupBy("field_name", "metric_id").agg(F.count(F.lit(1)).alias("n"))
+
+
+def merges_without_people(audits: DataFrame) -> DataFrame:
+    """Merged groups in which no pair was decided by a person."""
+    return audits.where("decided_by.human = 0").select("id", "survivor_id", F.size("absorbed_ids").alias("n_absorbed"))
+
+
+def partial_merges(audits: DataFrame) -> DataFrame:
+    """Merges by label made before the label was compared whole."""
+    return audits.where("not coalesce(capture.complete, true)").groupBy("label").agg(F.count(F.lit(1)).alias("n")).orderBy(F.col("n").desc(), "label")
+
+
+def upsert_written_scores(old: DataFrame, new: DataFrame) -> DataFrame:
+    """Written-back scores keyed by pair, field and metric: new ones replace old ones."""
+    return upsert_scores(old, new.select(*old.columns))

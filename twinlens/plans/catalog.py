@@ -265,7 +265,7 @@ def refilter_part(spark, sf_dir):
     return scoring.refilter_summary(scoring.refilter(held.select("pair_id", "id_a", "id_b", "verdict", "surfaced"), scores, Resolution("part", fields, session_id="part")))
 
 
-@_query(_PAIRS_SQL + ", old as (select * from pairs where num >= 0.5), fresh as (select *, name_score >= 0.99 as s2 from pairs where num <= 0.8) select coalesce(o.pair_id, f.pair_id) as pair_id, coalesce(o.verdict, 'pending') as verdict, coalesce(o.surfaced, false) or coalesce(f.s2, false) or coalesce(o.verdict, 'pending') <> 'pending' as surfaced from old o full join fresh f on o.pair_id = f.pair_id")
+@_query(_PAIRS_SQL.replace("pairs as (", "pairs as materialized (") + ", old as (select * from pairs where num >= 0.5), fresh as (select *, name_score >= 0.99 as s2 from pairs where num <= 0.8) select coalesce(o.pair_id, f.pair_id) as pair_id, coalesce(o.verdict, 'pending') as verdict, coalesce(o.surfaced, false) or coalesce(f.s2, false) or coalesce(o.verdict, 'pending') <> 'pending' as surfaced from old o full join fresh f on o.pair_id = f.pair_id")
 def rerun_upsert_part(spark, sf_dir):
     held, _ = _stored(spark, sf_dir)
     new = held.where("score_size <= 0.8").withColumn("surfaced", F.col("score_name") >= 0.99)
@@ -499,8 +499,11 @@ def coverage_curve(spark, sf_dir):
 
 
 def queries() -> dict[str, Query]:
+    from twinlens.plans import further  # noqa: F401 (registers its queries)
+
     return dict(_QUERIES)
 
 
 def oracle_sql() -> dict[str, str]:
+    queries()
     return dict(_SQL)
