@@ -13,6 +13,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from twinlens.functions.text import tokens
+from twinlens.sources.scratch import materialise
 
 MAX_CANDIDATES, EXHAUSTIVE_LIMIT, BUCKET_CAP = 5_000_000, 500_000, 500
 PREFIX_PARTNERS, PREFIX_LENGTH = 50, 8
@@ -112,23 +113,31 @@ def numeric_pairs(nodes: DataFrame, value: str, min_score: float = 0.0) -> DataF
 def prefix_pairs(nodes: DataFrame, value: str, length: int = PREFIX_LENGTH, partners: int = PREFIX_PARTNERS) -> DataFrame:
     """Pairs whose later value (by value, then id) starts with the earlier one's prefix; each walker has its first ``partners``.
 
-    Case-sensitive. A value shorter than the prefix is its own block and meets
-    longer ones: those blocks are the few short lengths that occur.
+    Case-sensitive. The work is rows times ``partners``, however large a block is;
+    numbering a block is a sorted pass over it that spills.
     """
     if length < 1:
         raise ValueError("a prefix has a character at least")
-    rows = nodes.select("id", F.col(value).cast("string").alias("v")).where("v is not null")
-    walkers = rows.select(F.col("id").alias("w"), F.col("v").alias("wv"), F.substring("v", 1, length).alias("block"))
-    # A node is found under its prefix of each length up to the block's: only those that are some short value's whole.
-    cuts = F.transform(F.sequence(F.lit(1), F.least(F.lit(length), F.length("v"))), lambda k: F.substring(F.col("v"), F.lit(1), k))
-    short = rows.where(F.length("v") < length).select(F.col("v").alias("block")).distinct()
-    found = rows.where(F.length("v") > 0).select(F.col("id").alias("m"), F.col("v").alias("mv"), F.explode(cuts).alias("block"))
-    whole = found.where(F.length("block") == length)
-    partly = found.where(F.length("block") < length).join(short, "block", "left_semi")
-    pairs = walkers.join(whole.unionByName(partly), "block").where("wv < mv or (wv = mv and w < m)")
-    first = Window.partitionBy("w").orderBy("mv", "m")
-    kept = pairs.withColumn("rank", F.row_number().over(first)).where(F.col("rank") <= partners)
-    return kept.select(F.least("w", "m").alias("id_a"), F.greatest("w", "m").alias("id_b")).distinct()
+    rows = nodes.select("id", F.col(value).cast("string").alias("v")).where("v <> ''")  # empty values pair with nothing
+    # In (value, id) order the partners of a node are the rows right behind it that start with its prefix: the first
+    # of them are at distances 1, 2, ... So rows are numbered within a block and joined on the number, not all with all.
+    blocked = rows.where(F.length("v") >= length).select("id", "v", F.substring("v", 1, length).alias("block"))
+    place = F.row_number().over(Window.partitionBy("block").orderBy("v", "id"))
+    numbered, _ = materialise(blocked.withColumn("place", place), "prefix-places")
+    steps = F.explode(F.sequence(F.lit(1), F.lit(partners)))
+    ahead = numbered.select("block", F.col("id").alias("w"), "place").withColumn("step", steps).select("block", "w", (F.col("place") + F.col("step")).alias("place"))
+    long_pairs = ahead.join(numbered.select("block", "place", F.col("id").alias("m")), ["block", "place"]).select("w", "m")
+    # A value shorter than the prefix is its own block and meets longer ones: those blocks are the few short values that occur.
+    if length == 1:
+        return long_pairs.select(F.least("w", "m").alias("id_a"), F.greatest("w", "m").alias("id_b")).distinct()
+    short = rows.where(F.length("v") < length).select(F.col("id").alias("w"), F.col("v").alias("block"))
+    cuts = F.transform(F.sequence(F.lit(1), F.least(F.lit(length - 1), F.length("v"))), lambda k: F.substring(F.col("v"), F.lit(1), k))
+    starts = rows.select("id", "v", F.explode(cuts).alias("block")).join(short.select("block").distinct(), "block", "left_semi")
+    # Of each block the walkers are its first rows, and partners of the k-th are the rows behind it: places again.
+    ranked, _ = materialise(starts.withColumn("place", F.row_number().over(Window.partitionBy("block").orderBy("v", "id"))), "prefix-short")
+    at = short.join(ranked.select("block", F.col("id").alias("w"), "place"), ["block", "w"]).withColumn("step", steps).select("block", "w", (F.col("place") + F.col("step")).alias("place"))
+    short_pairs = at.join(ranked.select("block", "place", F.col("id").alias("m")), ["block", "place"]).select("w", "m")
+    return long_pairs.unionByName(short_pairs).select(F.least("w", "m").alias("id_a"), F.greatest("w", "m").alias("id_b")).distinct()
 
 
 def vector_pairs(nodes: DataFrame, vector: str, limit: int = MAX_CANDIDATES) -> DataFrame:

@@ -34,6 +34,10 @@ def ordered_batch(nodes: DataFrame, value: str, state: CaptureState, size: int =
 
 def batch_pairs(batch: DataFrame, nodes: DataFrame, value: str, length: int = PREFIX_LENGTH, partners: int = PREFIX_PARTNERS) -> DataFrame:
     """Pairs of a batch's nodes with later nodes of the table that start with their prefix."""
+    # Partners lie in the range from the batch's least value to the end of its last block: the rest of the table is not exploded.
+    edge = batch.agg(F.min(value).alias("lo"), F.max(value).alias("hi")).first()
+    if edge["lo"] is not None:
+        nodes = nodes.where((F.col(value) >= edge["lo"]) & (F.substring(value, 1, length) <= edge["hi"][:length]) | F.col(value).startswith(edge["hi"]))
     walkers = batch.select(F.col("id").alias("w"), F.col(value).alias("wv"), F.substring(value, 1, length).alias("block"))
     cuts = F.transform(F.sequence(F.lit(1), F.least(F.lit(length), F.length(value))), lambda k: F.substring(F.col(value), F.lit(1), k))
     others = nodes.where(F.length(value) > 0).select(F.col("id").alias("m"), F.col(value).alias("mv"), F.explode(cuts).alias("block"))

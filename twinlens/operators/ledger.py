@@ -37,8 +37,9 @@ def job_totals(jobs: DataFrame, calls: DataFrame) -> DataFrame:
     return joined.select(*kept, *[F.coalesce(c, F.lit(0)).alias(c) for c in ("call_count", *TOKEN_COLUMNS, "cost_usd")])
 
 
-def mean_and_spread(samples: DataFrame, column: str) -> DataFrame:
-    return samples.agg(F.avg(column).alias("mean"), F.coalesce(F.stddev_samp(column), F.lit(0.0)).alias("sd"), F.count(column).alias("n"))
+def mean_and_spread(samples: DataFrame, column: str, by: list[str] = ()) -> DataFrame:
+    """(mean, sd, n), in each group of ``by``; sd is that of a sample, 0 below two values."""
+    return samples.groupBy(*by).agg(F.avg(column).alias("mean"), F.coalesce(F.stddev_samp(column), F.lit(0.0)).alias("sd"), F.count(column).alias("n"))
 
 
 def priced(calls: DataFrame, prices: DataFrame) -> DataFrame:

@@ -138,24 +138,13 @@ def block_numeric_supplier(spark, sf_dir):
     return blocking.numeric_pairs(_nodes(spark, sf_dir, "supplier", "s_suppkey", v="s_acctbal"), "v").withColumn("score", _r("score"))
 
 
-@_query(f"select a.p_partkey::VARCHAR as id_a, b.p_partkey::VARCHAR as id_b, round({_NUM_SQL.format(v='p_retailprice')}, 6) as score from part a join part b on a.p_partkey::VARCHAR < b.p_partkey::VARCHAR where {_NUM_SQL.format(v='p_retailprice')} >= 0.9995")
-def block_numeric_band_part(spark, sf_dir):
-    return blocking.numeric_pairs(_nodes(spark, sf_dir, "part", "p_partkey", v="p_retailprice"), "v", 0.9995).withColumn("score", _r("score"))
-
-
-@_query("select id_a, id_b, score from (select a.vec_id::VARCHAR as id_a, b.vec_id::VARCHAR as id_b, round(least(1, greatest(0, list_dot_product(a.embedding::DOUBLE[], b.embedding::DOUBLE[]))), 4) as score from embeddings a join embeddings b on a.vec_id::VARCHAR < b.vec_id::VARCHAR) where score >= 0.3")
-def block_vector_embeddings(spark, sf_dir):
-    nodes = _nodes(spark, sf_dir, "embeddings", "vec_id", v="embedding")
-    return blocking.vector_pairs(nodes, "v").withColumn("score", F.round("score", 4)).where("score >= 0.3")
-
-
 @_query(f"select a.p_partkey::VARCHAR as id_a, b.p_partkey::VARCHAR as id_b, round({_NUM_SQL.format(v='p_retailprice')}, 6) as score from part a join part b on a.p_partkey::VARCHAR < b.p_partkey::VARCHAR where {_NUM_SQL.format(v='p_retailprice')} >= 0.95")
-def block_numeric_default_part(spark, sf_dir):
+def block_numeric_band_part(spark, sf_dir):
     return blocking.numeric_pairs(_nodes(spark, sf_dir, "part", "p_partkey", v="p_retailprice"), "v", 0.95).withColumn("score", _r("score"))
 
 
 @_query("select a.vec_id::VARCHAR as id_a, b.vec_id::VARCHAR as id_b, round(least(1, greatest(0, list_dot_product(a.embedding::DOUBLE[], b.embedding::DOUBLE[]))), 4) as score from embeddings a join embeddings b on a.vec_id::VARCHAR < b.vec_id::VARCHAR")
-def block_vector_all_embeddings(spark, sf_dir):
+def block_vector_embeddings(spark, sf_dir):
     return blocking.vector_pairs(_nodes(spark, sf_dir, "embeddings", "vec_id", v="embedding"), "v").withColumn("score", F.round("score", 4))
 
 
@@ -277,24 +266,13 @@ def verdict_counts_part(spark, sf_dir):
     return review.verdict_counts(_stored(spark, sf_dir)[0].where("surfaced"))
 
 
-@_query(_PAIRS_SQL + "select pair_id, verdict from pairs where surfaced order by verdict <> 'pending', pair_id limit 50")
-def queue_pending_first_part(spark, sf_dir):
-    return review.queue(_stored(spark, sf_dir)[0]).limit(50).select("pair_id", "verdict")
-
-
-@_query(_PAIRS_SQL + "select pair_id, round(max_score, 6) as max_score from pairs where surfaced order by round(max_score, 9) desc, pair_id limit 50")
-def queue_score_desc_part(spark, sf_dir):
-    held = _stored(spark, sf_dir)[0].withColumn("max_score", F.round("max_score", 9))
-    return review.queue(held, "score-desc").limit(50).select("pair_id", _r("max_score").alias("max_score"))
-
-
 @_query(_PAIRS_SQL + "select pair_id, verdict, row_number() over (order by verdict <> 'pending', pair_id) as position from pairs where surfaced")
-def queue_pending_first_all_part(spark, sf_dir):
+def queue_pending_first_part(spark, sf_dir):
     return review.queue_positions(_stored(spark, sf_dir)[0]).select("pair_id", "verdict", "position")
 
 
 @_query(_PAIRS_SQL + "select pair_id, round(max_score, 6) as max_score, row_number() over (order by round(max_score, 9) desc, pair_id) as position from pairs where surfaced")
-def queue_score_desc_all_part(spark, sf_dir):
+def queue_score_desc_part(spark, sf_dir):
     held = _stored(spark, sf_dir)[0].withColumn("max_score", F.round("max_score", 9))
     return review.queue_positions(held, "score-desc").select("pair_id", _r("max_score").alias("max_score"), "position")
 
@@ -344,9 +322,9 @@ def clusters_documents(spark, sf_dir):
     return components.connected_components(_document_edges(spark, sf_dir))
 
 
-@_query("with recursive e as (select n_nationkey::BIGINT as a, (n_nationkey + 3)::BIGINT as b from nation where n_nationkey % 7 <> 0), v as (select a from e union select b from e), r(id, c) as (select a, a from v union select x.o, r.c from r join (select a as i, b as o from e union select b, a from e) x on x.i = r.id) select id, min(c) as component from r group by id")
+@_query("with recursive e as (select n_nationkey::BIGINT as a, (n_nationkey + 3)::BIGINT as b from nation), v as (select a from e union select b from e), r(id, c) as (select a, a from v union select x.o, r.c from r join (select a as i, b as o from e union select b, a from e) x on x.i = r.id) select id, min(c) as component from r group by id")
 def clusters_chain(spark, sf_dir):
-    n = _t(spark, sf_dir, "nation").where("n_nationkey % 7 <> 0")
+    n = _t(spark, sf_dir, "nation")
     return components.connected_components(n.select(F.col("n_nationkey").cast("long").alias("a"), (F.col("n_nationkey") + 3).cast("long").alias("b")))
 
 
@@ -421,22 +399,17 @@ def audit_groups_part(spark, sf_dir):
     return found.select("survivor_id", F.array_join("absorbed_ids", ",").alias("absorbed"), F.col("decided_by.human").alias("human"), F.col("decided_by.ai").alias("ai"))
 
 
-def _customer_neighbours(spark, sf_dir, asked: Callable[[DataFrame], DataFrame]) -> DataFrame:
+def _customer_neighbours(spark, sf_dir) -> DataFrame:
     orders, customers, nations = (_t(spark, sf_dir, n) for n in ("orders", "customer", "nation"))
     name = lambda letter, c: F.concat(F.lit(letter), F.col(c).cast("string"))
     edges = orders.select(name("c", "o_custkey").alias("src"), name("o", "o_orderkey").alias("dst"), F.lit("PLACED").alias("rel_type")).unionByName(customers.select(name("c", "c_custkey").alias("src"), name("n", "c_nationkey").alias("dst"), F.lit("IN").alias("rel_type")))
     nodes = orders.select(name("o", "o_orderkey").alias("id"), F.lit(None).cast("string").alias("display")).unionByName(nations.select(name("n", "n_nationkey").alias("id"), F.col("n_name").alias("display")))
-    return review.neighbours(nodes, edges, asked(customers).select(name("c", "c_custkey").alias("id")))
-
-
-@_query("select 'c' || o_custkey::VARCHAR as id, 'out' as direction, 'PLACED' as rel_type, 'o' || o_orderkey::VARCHAR as neighbour, 'o' || o_orderkey::VARCHAR as display from orders where o_custkey < 20 union all select 'c' || c_custkey::VARCHAR, 'out', 'IN', 'n' || c_nationkey::VARCHAR, n_name from customer join nation on c_nationkey = n_nationkey where c_custkey < 20")
-def neighbors_customer(spark, sf_dir):
-    return _customer_neighbours(spark, sf_dir, lambda customers: customers.where("c_custkey < 20"))
+    return review.neighbours(nodes, edges, customers.select(name("c", "c_custkey").alias("id")))
 
 
 @_query("select 'c' || o_custkey::VARCHAR as id, 'out' as direction, 'PLACED' as rel_type, 'o' || o_orderkey::VARCHAR as neighbour, 'o' || o_orderkey::VARCHAR as display from orders where o_custkey in (select c_custkey from customer) union all select 'c' || c_custkey::VARCHAR, 'out', 'IN', 'n' || c_nationkey::VARCHAR, n_name from customer join nation on c_nationkey = n_nationkey")
-def neighbors_customer_all(spark, sf_dir):
-    return _customer_neighbours(spark, sf_dir, lambda customers: customers)
+def neighbors_customer(spark, sf_dir):
+    return _customer_neighbours(spark, sf_dir)
 
 
 @_query("select conv_id as id, conv_id::VARCHAR || '-' || turn::VARCHAR as chunk_id, turn as index, text from conversations where text is not null")
@@ -467,16 +440,16 @@ def usage_totals_events(spark, sf_dir):
     return totals.select("kind", "model", "calls", "input_tokens", "output_tokens", _r("cost_usd").alias("cost_usd"), "unpriced")
 
 
-@_query("select event_type as kind, round(avg(value), 6) as mean, round(coalesce(stddev_samp(value), 0), 6) as sd, count(value) as n from events where event_type = 'click' group by 1")
+@_query("select event_type as kind, round(avg(value), 6) as mean, round(coalesce(stddev_samp(value), 0), 6) as sd, count(value) as n from events group by 1")
 def job_estimate_samples(spark, sf_dir):
-    rows = _t(spark, sf_dir, "events").where("event_type = 'click'")
-    return ledger.mean_and_spread(rows, "value").where("n > 0").select(F.lit("click").alias("kind"), _r("mean").alias("mean"), _r("sd").alias("sd"), "n")
+    found = ledger.mean_and_spread(_t(spark, sf_dir, "events"), "value", ["event_type"])
+    return found.select(F.col("event_type").alias("kind"), _r("mean").alias("mean"), _r("sd").alias("sd"), "n")
 
 
-@_query(_PAIRS_SQL + "select pair_id, (rn // 20)::BIGINT as batch, 'P' || (rn % 20 + 1)::VARCHAR as tag from (select pair_id, row_number() over (order by pair_id) - 1 as rn from pairs where verdict = 'pending' and name_score >= 0.97)")
+@_query(_PAIRS_SQL + "select pair_id, (rn // 20)::BIGINT as batch, 'P' || (rn % 20 + 1)::VARCHAR as tag from (select pair_id, row_number() over (order by pair_id) - 1 as rn from pairs where verdict = 'pending')")
 def batch_tags_part(spark, sf_dir):
     held, _ = _stored(spark, sf_dir)
-    return ledger.batches(held.where("score_name >= 0.97")).select("pair_id", "batch", "tag")
+    return ledger.batches(held).select("pair_id", "batch", "tag")
 
 
 @_query("select * from (values (1, 'P1', 'duplicate'), (1, 'P2', 'distinct'), (1, 'P3', null), (2, 'P1', null)) t(batch, tag, verdict)")
