@@ -181,7 +181,7 @@ def test_entry_imports_without_optional_parts():
     assert set(__spark_entry__.oracle_sql()) <= set(__spark_entry__.queries())
 
 
-@pytest.mark.parametrize("name", ["neighbors_customer_all", "queue_pending_first_all_part", "queue_score_desc_all_part", "block_numeric_default_part", "block_vector_all_embeddings"])
+@pytest.mark.parametrize("name", ["neighbors_customer", "queue_pending_first_part", "queue_score_desc_part", "block_numeric_band_part", "block_vector_embeddings"])
 def test_whole_queries_against_sql(spark, name):
     import __spark_entry__
 
@@ -199,7 +199,7 @@ def test_neighbours_of_every_customer(spark):
     import __spark_entry__
 
     folder = "/root/testdata/sf0.001"
-    got = __spark_entry__.queries()["neighbors_customer_all"](spark, folder)
+    got = __spark_entry__.queries()["neighbors_customer"](spark, folder)
     assert got.select("id").distinct().count() == spark.read.parquet(f"{folder}/customer.parquet").count()
 
 
