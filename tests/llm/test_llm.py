@@ -245,6 +245,71 @@ def test_html_ignores_names_of_wrappers():
     assert html.main_text(f"<p>Short.</p><div class=cookie-notice>{side}</div>") == "Short."
 
 
+def plain_blocks(page):
+    """Blocks of the article of a well-formed page, by the standard library's parser: an independent way to the same text."""
+    from html.parser import HTMLParser
+
+    class Blocks(HTMLParser):
+        def __init__(self):
+            super().__init__(convert_charrefs=True)
+            self.open, self.out, self.buffer = [], [], ""
+
+        def flush(self):
+            text = " ".join(self.buffer.split())
+            if text:
+                self.out.append(text)
+            self.buffer = ""
+
+        def off(self):
+            return any(tag in ("script", "style", "form", "nav", "aside", "footer") or "comment" in names or "ad" in names.split() for tag, names in self.open)
+
+        def handle_starttag(self, tag, attrs):
+            if tag == "br":
+                self.buffer += " "
+                return
+            if tag in ("p", "h1", "h2", "h3", "div", "ul", "ol", "li", "blockquote", "section", "form", "aside", "nav", "table", "tr", "td", "pre", "figure", "figcaption"):
+                self.flush()
+                if tag == "p" and self.open and self.open[-1][0] == "p":
+                    self.open.pop()
+            if tag not in ("img", "hr", "meta", "link", "input"):
+                self.open.append((tag, " ".join(v or "" for k, v in attrs if k in ("class", "id"))))
+
+        def handle_endtag(self, tag):
+            if any(t == tag for t, _ in self.open):
+                if tag not in ("b", "i", "a", "span", "em", "strong", "code"):
+                    self.flush()
+                while self.open.pop()[0] != tag:
+                    pass
+
+        def handle_data(self, data):
+            if any(t == "article" for t, _ in self.open) and not self.off():
+                self.buffer += data
+
+    parser = Blocks()
+    parser.feed(page)
+    parser.flush()
+    return "\n".join(parser.out)
+
+
+def test_html_of_every_page(spark):
+    pages = spark.read.parquet("/root/testdata/sf0.01/pages.parquet")
+    truth = {r["page_id"]: plain_blocks(r["html"] or "") for r in pages.collect()}
+    got = html.extract(pages.withColumn("text", F.lit("x")).withColumn("id", F.lit(1))).collect()
+    assert len(got) == len(truth)
+    same = [r["text"] == truth[r["page_id"]] and r["n_chars"] == len(r["text"]) for r in got]
+    assert sum(same) == len(same)
+
+
+def test_html_rows_and_depth(spark):
+    body = " ".join(["body"] * 90)
+    rows = [(1, "u", f"<article><p>{body}</article>")] * 2 + [(2, None, None), (None, "v", ""), (3, "w", "<div>" * 100_000 + f"<p>{body}"), (4, "w", "<ul>" + "<div>" * 50_000 + "<li></li>" * 50_000 + f"<li>{body}")]
+    got = html.extract(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()
+    assert sorted((r["page_id"] or 0, r["n_chars"]) for r in got) == [(0, 0), (1, len(body)), (1, len(body)), (2, 0), (3, len(body)), (4, len(body))]
+    assert html.extract(spark.createDataFrame(rows, "page_id long, url string, html string").limit(0)).count() == 0
+    assert html.main_text(f'<article><p>{body}<p class="related-work">{body}<div class="share-price">{body}</div><div class="share-buttons">{body}</div></article>') == "\n".join([body] * 3)
+    assert html.main_text(f"<p title=\"never closed>{body}</p><p>{body}</p>") == f"{body}\n{body}"
+
+
 def test_warc_round_trip(spark):
     rows = [(1, "u", "same"), (2, "u\r\nX: y", "same"), (3, "v", None), (4, "v", ""), (5, "w", "z\r\n\r\nWARC/1.1\r\n" * 9000), (None, None, "é")]
     got = {r["page_id"]: r for r in warc.archive_and_read(spark.createDataFrame(rows, "page_id long, url string, html string"), segment_bytes=1000).collect()}

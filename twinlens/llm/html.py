@@ -46,6 +46,9 @@ _PARTS = (
     r"pagination|pager|skip|search)"
 )
 _INSERT_NAMES, _PART_NAMES = (re.compile(rf"(?:^|[\s_-]){x}(?:$|[\s_-])") for x in (_INSERTS, _PARTS))
+#: In an article a name counts only as a whole, with words for kinds of boxes around it: "share-buttons", not "share-price".
+_BOX = r"box|block|list|container|wrapper|wrap|section|widget|buttons?|bar|links?|area|form|slot|unit|message|items?|panel|inner|content|icons?|header|title"
+_IN_ARTICLE_INSERT, _IN_ARTICLE_PART = (re.compile(rf"(?:^|\s)(?:(?:post|article|entry|page|site|user|reader|blog|main|inline)[_-])?{x}(?:[_-](?:{_BOX}|{_INSERTS}))*(?:$|\s)") for x in (_INSERTS, _PARTS))
 _OWN_INSERT = re.compile(rf"(?:^|\s){_INSERTS}(?:$|\s)")
 #: Names that tell what a page has or lacks, not what the element is.
 _SAYS = re.compile(r"(?<!\S)(?:\S*[_-])?(?:no|has|with|without)[_-]\S*|\S*[_-](?:free|open|closed|enabled|disabled)(?!\S)")
@@ -82,10 +85,21 @@ def lines_of(page: str) -> tuple[list[Line], list[Named]]:
     buffer: list[str] = []
     linked = 0
     stack: list[tuple[str, bool, int, int]] = []  # element, boilerplate, article, named element
+    places: dict[str, list[int]] = {}  # of each element's name on the stack
     outside = (False, 0, -1)
     boiler, article, inside = outside
     links = 0
 
+    def last(name: str) -> int:
+        held = places.get(name)
+        return held[-1] if held else -1
+
+    def cut(depth: int) -> None:
+        nonlocal boiler, article, inside
+        while len(stack) > depth:
+            places[stack.pop()[0]].pop()
+        boiler, article, inside = stack[-1][1:] if stack else outside
+
     def close() -> None:
         nonlocal buffer, linked
         text = _WHITE.sub(" ", entities.unescape("".join(buffer))).strip()
@@ -108,6 +122,8 @@ def lines_of(page: str) -> tuple[list[Line], list[Named]]:
         if token.start() > at:
             add(page[at : token.start()])
         at = token.end()
+        if token[3] is not None and page[at - 1] != ">":  # a quote that never ends: the tag ends at the next bracket
+            at = page.find(">", at) + 1 or n
         if token[1] is not None:
             add(token[1])
             continue
@@ -118,14 +134,13 @@ def lines_of(page: str) -> tuple[list[Line], list[Named]]:
         if token[2]:
             if name == "a":
                 links = max(0, links - 1)
-            if name == "p" and not any(e[0] == "p" for e in stack):
+            depth = last(name)
+            if name == "p" and depth < 0:
                 close()
-            depth = next((k for k in range(len(stack) - 1, -1, -1) if stack[k][0] == name), None)
-            if depth is not None:
+            if depth >= 0:
                 if name not in _INLINE:
                     close()
-                del stack[depth:]
-                boiler, article, inside = stack[-1][1:] if stack else outside
+                cut(depth)
             continue
         if name in _RAW:
             end = re.compile(rf"</{re.escape(name)}\s*>|\Z", re.I).search(page, at)
@@ -138,38 +153,33 @@ def lines_of(page: str) -> tuple[list[Line], list[Named]]:
             continue
         if name not in _INLINE:
             close()
-            if name in _CLOSES_P:
-                open_p = next((k for k in range(len(stack) - 1, -1, -1) if stack[k][0] == "p"), None)
-                if open_p is not None:
-                    del stack[open_p:]
-                    boiler, article, inside = stack[-1][1:] if stack else outside
-                    links = 0
-            if name == "li":
-                same = next((k for k in range(len(stack) - 1, -1, -1) if stack[k][0] in ("li", "ul", "ol")), None)
-                if same is not None and stack[same][0] == "li":
-                    del stack[same:]
-                    boiler, article, inside = stack[-1][1:] if stack else outside
+            if name in _CLOSES_P and last("p") >= 0:
+                cut(last("p"))
+                links = 0
+            if name == "li" and last("li") > max(last("ul"), last("ol")):
+                cut(last("li"))
         if name in _VOID or token[4].rstrip().endswith("/"):
             continue
         if name == "a":
             links += 1
-        strong, weak = _boiler_names(name, token[4])
+        strong, weak = _boiler_names(name, token[4], article > 0)
         boiler = boiler or name in _SKIPPED or (name == "header" and not article) or strong
         if name in _ARTICLE and not boiler:
             articles += 1
             article = articles
             k = inside if name == "main" and not weak else -1
-            while k >= 0:
+            while k >= 0 and not named[k].main:
                 named[k].main, k = True, named[k].parent
         if weak and not boiler:
             named.append(Named(weak == "insert", article, articles, inside))
             inside = len(named) - 1
+        places.setdefault(name, []).append(len(stack))
         stack.append((name, boiler, article, inside))
     close()
     return out, named
 
 
-def _boiler_names(name: str, attributes: str) -> tuple[bool, str]:
+def _boiler_names(name: str, attributes: str, inside_article: bool) -> tuple[bool, str]:
     """Whether an element is boilerplate by role or hidden; and "insert", "part" or nothing by class and id."""
     weak = ""
     if not attributes or name in ("body", "html"):
@@ -187,9 +197,10 @@ def _boiler_names(name: str, attributes: str) -> tuple[bool, str]:
                 weak = weak or ("insert" if _OWN_INSERT.search(value) else "")
                 continue
             value = _SAYS.sub(" ", value)
-            if _INSERT_NAMES.search(value):
+            insert, part = (_IN_ARTICLE_INSERT, _IN_ARTICLE_PART) if inside_article else (_INSERT_NAMES, _PART_NAMES)
+            if insert.search(value):
                 weak = "insert"
-            elif _PART_NAMES.search(value):
+            elif part.search(value):
                 weak = weak or "part"
     return False, weak
 
@@ -276,7 +287,7 @@ def extract(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", htm
     """A row per page: id, url, text, n_chars (code points).
 
     Null and empty pages give an empty text. Whole pages are read, nothing is
-    capped. Nulls and repeats in id and url pass through; an empty table gives
+    capped; the work grows with a page's length however deep it is nested. Nulls and repeats in id and url pass through; an empty table gives
     an empty result; other columns are not read. No shuffle.
     """
 
