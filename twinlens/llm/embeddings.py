@@ -25,7 +25,8 @@ from pyspark.sql import functions as F
 from twinlens.operators.components import connected_components
 from twinlens.sources.scratch import materialise
 
-BLOCK_DIMS, FIT_ROWS, CHUNK = 8, 4096, 16_384
+#: Smaller blocks would each be joined on nearly all pairs where variance is spread evenly: 5.7 times all pairs on 64 such axes with blocks of 8, 3.5 times with 16.
+BLOCK_DIMS, FIT_ROWS, CHUNK = 16, 4096, 16_384
 _SLACK = 1e-6
 
 
@@ -184,7 +185,7 @@ def _roots(a: np.ndarray, b: np.ndarray, n: int) -> np.ndarray:
 def near_vectors(vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "embedding", cosine: float = 0.9, block_dims: int = BLOCK_DIMS, chunk: int = CHUNK) -> DataFrame:
     """A row per vector: id, n_links, component_id, kept, for links of cosine >= ``cosine``.
 
-    Null and zero vectors, those with a null or non-finite component and rows
+    Vectors of any length are compared whole, in double precision. Null and zero vectors, those with a null or non-finite component and rows
     with a null id link with nothing (component_id is the id itself). Vectors
     link only with vectors of their own length. Equal vectors form one class of
     a weight, so copies aren't multiplied into pairs. Every input row comes out;
