@@ -51,14 +51,23 @@ def exhaustive_pairs(nodes: DataFrame, limit: int = MAX_CANDIDATES) -> DataFrame
     return a.join(b, F.col("id_a") < F.col("id_b"))
 
 
-def _bucket_pairs(keyed: DataFrame, cap: int | None) -> DataFrame:
-    """Pairs within buckets of (id, key); buckets over ``cap`` are left out, as the strategy defines them."""
+def _bucket_pairs(keyed: DataFrame, cap: int | None, limit: int | None = None, single: bool = False) -> DataFrame:
+    """Pairs within buckets of (id, key); buckets over ``cap`` are left out, as the strategy defines them.
+
+    With ``limit`` the pairs are counted from the sizes of the buckets before any
+    is made. ``single``: each id has one key, so no pair comes twice.
+    """
     keyed = keyed.distinct()
     if cap is not None:
         sizes = keyed.groupBy("key").agg(F.count(F.lit(1)).alias("size")).where(f"size between 2 and {cap}").select("key")
         keyed = keyed.join(sizes, "key")
+    if limit is not None:
+        n = keyed.groupBy("key").agg(F.count(F.lit(1)).alias("n")).agg(F.sum(F.expr("cast(n as decimal(38, 0)) * (n - 1) / 2"))).first()[0] or 0
+        if n > limit:
+            raise CandidateLimitError(f"{n:.0f} pairs in buckets, over {limit}")
     a, b = keyed.select("key", F.col("id").alias("id_a")), keyed.select("key", F.col("id").alias("id_b"))
-    return a.join(b, "key").where("id_a < id_b").select("id_a", "id_b").distinct()
+    pairs = a.join(b, "key").where("id_a < id_b").select("id_a", "id_b")
+    return pairs if single else pairs.distinct()
 
 
 def token_pairs(nodes: DataFrame, value: str, cap: int = BUCKET_CAP) -> DataFrame:
@@ -66,14 +75,18 @@ def token_pairs(nodes: DataFrame, value: str, cap: int = BUCKET_CAP) -> DataFram
     return _bucket_pairs(nodes.select("id", F.explode(tokens(F.col(value))).alias("key")), cap)
 
 
-def exact_pairs(nodes: DataFrame, key: Column) -> DataFrame:
-    """Pairs with an equal key; the key is any normalised value. Null keys pair with nothing, buckets have no cap."""
-    return _bucket_pairs(nodes.select("id", key.alias("key")).where("key is not null"), None)
+def exact_pairs(nodes: DataFrame, key: Column, limit: int | None = MAX_CANDIDATES, single: bool = False) -> DataFrame:
+    """Pairs with an equal key; the key is any normalised value. Null keys pair with nothing.
+
+    Buckets have no cap of their own; all pairs together are checked against the
+    ceiling before they are made. ``single``: ids don't repeat.
+    """
+    return _bucket_pairs(nodes.select("id", key.alias("key")).where("key is not null"), None, limit, single)
 
 
-def phonetic_pairs(nodes: DataFrame, code: Column) -> DataFrame:
-    """Pairs with an equal, non-empty phonetic code."""
-    return _bucket_pairs(nodes.select("id", code.alias("key")).where("key <> ''"), None)
+def phonetic_pairs(nodes: DataFrame, code: Column, limit: int | None = MAX_CANDIDATES) -> DataFrame:
+    """Pairs with an equal, non-empty phonetic code; the ceiling as in :func:`exact_pairs`."""
+    return _bucket_pairs(nodes.select("id", code.alias("key")).where("key <> ''"), None, limit)
 
 
 def numeric_pairs(nodes: DataFrame, value: str, min_score: float = 0.0) -> DataFrame:
