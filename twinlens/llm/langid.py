@@ -21,6 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from twinlens.llm.memory import give_back
 from twinlens.llm.tokens import together
 from twinlens.sources.scratch import drop, materialise
 
@@ -303,6 +304,8 @@ def identify(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: st
                 got = list(labeller.label(texts)) if model.languages else [(UNDETERMINED, 0.0, [])] * len(texts)
                 columns = [part.column(0), *part.columns[2:], pa.array([g[0] for g in got], pa.string()), pa.array([g[1] for g in got], pa.float64()), pa.array([json.dumps(g[2]) for g in got], pa.string())]
                 yield pa.RecordBatch.from_arrays(columns, names=[f"c{k}" for k in range(len(columns))])
+        del labeller
+        give_back()
 
     source = docs.select(F.col(id_col).alias("_id"), F.col(text_col).alias("_text"), *[F.col(c).alias(f"_keep{k}") for k, c in enumerate(keep)])
     types = [f.dataType.simpleString() for f in source.schema.fields]

@@ -23,6 +23,7 @@ from pyspark.sql import functions as F
 
 from twinlens.llm.bitmap import bitmap_of, with_hit
 from twinlens.llm.hashing import mix, shingle_set, similarity_sketch, texts_utf8, word_hashes
+from twinlens.llm.memory import give_back
 from twinlens.operators.components import connected_components
 from twinlens.sources.scratch import drop, materialise
 
@@ -62,6 +63,7 @@ def _digest_rows(width: int, bands: int, rows: int, bins: int):
                 for held, value in zip(out, row, strict=True):
                     held.append(value)
             yield pa.record_batch([pa.array(v, type=f.type) for v, f in zip(out, schema, strict=True)], schema=schema)
+        give_back()
 
     return digest
 
@@ -90,6 +92,8 @@ def _verify(width: int, num: int, den: int):
                     good_a.append(a)
                     good_b.append(b)
             yield pa.record_batch([pa.array(good_a, pa.int64()), pa.array(good_b, pa.int64())], schema=schema)
+        recent.clear()
+        give_back()
 
     return verify
 

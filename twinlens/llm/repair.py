@@ -197,6 +197,7 @@ def _shard_rows(path: str, end_id: int, shard_ids: int):
                     if total >= shard_ids:
                         yield flush()
                         docs, bodies, total, serial = [], [], 0, serial + 1
+        known.forget()
         if docs:
             yield flush()
 

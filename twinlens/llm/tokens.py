@@ -19,10 +19,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from twinlens.llm.memory import give_back
+
 #: Characters of a chunk and of the first overlap tried; texts longer than a chunk are resynchronised.
 CHUNK, OVERLAP = 32_768, 512
 #: Distinct pieces of a generation of the cache; two generations are held.
-CACHE = 350_000
+CACHE = 250_000
 #: Unseen pieces encoded as one string.
 _JOINED = 500
 
@@ -112,6 +114,11 @@ class Vocabulary:
         get = self._young.__getitem__
         return [b"".join((self._head(head), *map(get, pieces))) for head, pieces in zip(heads, cut, strict=True)]
 
+    def forget(self) -> None:
+        """Give back what the cache holds: at the end of a task, for whatever the worker does next."""
+        self._young, self._old, self._first = {}, {}, {}
+        give_back()
+
     def _head(self, head: str) -> bytes:
         held = self._first.get(head)
         if held is None:
@@ -273,6 +280,7 @@ def token_counts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
             for part, texts in together(batch, 1):
                 sizes = [len(ids) // 4 for ids in known.encoded_all(texts)]
                 yield pa.record_batch([part.column(0), part.column(2), pa.array(sizes, pa.int64()), pa.array([s > limit for s in sizes], pa.bool_())], names=["_id", "n_bytes", "n_tokens", "over_limit"])
+        known.forget()
 
     source = docs.select(F.col(id_col).cast("long").alias("_id"), F.col(text_col).alias("text"), F.coalesce(F.octet_length(text_col).cast("long"), F.lit(0).cast("long")).alias("n_bytes"))
     return source.mapInArrow(count, "_id long, n_bytes long, n_tokens long, over_limit boolean").withColumnRenamed("_id", id_col)
