@@ -7,6 +7,7 @@ import re
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -419,3 +420,22 @@ def test_pipeline_on_a_small_corpus(spark, tmp_path):
     for r in sorted(out, key=lambda r: r["start"]):
         assert r["start"] == at
         at += r["n_tokens"]
+
+
+def test_batches_of_texts_are_small_unless_the_session_has_a_size(spark):
+    from twinlens.llm.memory import _BATCH_SETTING, BATCH, small_batches
+
+    spark.conf.set(_BATCH_SETTING, "1048576")
+    small_batches(spark)
+    assert spark.conf.get(_BATCH_SETTING).rstrip("b") == "1048576"
+    spark.conf.unset(_BATCH_SETTING)
+    small_batches(spark)
+    assert spark.conf.get(_BATCH_SETTING).rstrip("b") == str(BATCH)
+    texts = spark.createDataFrame([(k, "ab " * 200_000) for k in range(40)], "doc_id long, text string").coalesce(1)
+
+    def sizes(batches):
+        for batch in batches:
+            yield pa.record_batch([pa.array([batch.nbytes])], names=["size"])
+
+    got = [r["size"] for r in texts.mapInArrow(sizes, "size long").collect()]
+    assert len(got) > 1 and max(got) < 2 * BATCH

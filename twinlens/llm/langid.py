@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from twinlens.llm.memory import give_back
+from twinlens.llm.memory import give_back, small_batches
 from twinlens.llm.tokens import together
 from twinlens.sources.scratch import drop, materialise
 
@@ -307,6 +307,7 @@ def identify(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: st
         del labeller
         give_back()
 
+    small_batches(docs.sparkSession)
     source = docs.select(F.col(id_col).alias("_id"), F.col(text_col).alias("_text"), *[F.col(c).alias(f"_keep{k}") for k, c in enumerate(keep)])
     types = [f.dataType.simpleString() for f in source.schema.fields]
     ddl = ", ".join([f"c0 {types[0]}", *[f"c{k + 1} {types[k + 2]}" for k in range(n)], f"c{n + 1} string", f"c{n + 2} double", f"c{n + 3} string"])

@@ -23,7 +23,7 @@ from pyspark.sql import functions as F
 
 from twinlens.llm.bitmap import bitmap_of, with_hit
 from twinlens.llm.hashing import mix, shingle_set, similarity_sketch, texts_utf8, word_hashes
-from twinlens.llm.memory import give_back
+from twinlens.llm.memory import give_back, small_batches
 from twinlens.operators.components import connected_components
 from twinlens.sources.scratch import drop, materialise
 
@@ -115,6 +115,7 @@ def grouped(docs: DataFrame, id_col: str, text_col: str, width: int, threshold:
     without words), ``least`` the smallest id in the group, null if it has none.
     """
     spark = docs.sparkSession
+    small_batches(spark)
     source = docs.select(F.col(id_col).cast("long").alias("doc"), row_key(id_col, text_col).alias("v"), F.col(text_col).alias("text"))
     limit = Fraction(str(threshold))
     bins = max(BINS, bands * rows)

@@ -18,6 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from twinlens.llm.memory import small_batches
 from twinlens.llm.tokens import default_vocabulary, together, vocabulary
 from twinlens.sources.scratch import scratch_path
 
@@ -219,6 +220,7 @@ def write_shards(docs: DataFrame, out: str, id_col: str = "doc_id", text_col: st
     """
     source = docs.select(F.col(id_col).cast("long").alias("doc"), F.col(text_col).alias("text"))
     spark = docs.sparkSession
+    small_batches(spark)
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
     ordered = source.repartitionByRange(parts, F.col("doc").asc_nulls_first()).sortWithinPartitions(F.col("doc").asc_nulls_first())
     ordered.mapInArrow(_shard_rows(path or default_vocabulary(), end_id, shard_ids), _DDL).write.option("compression", "zstd").parquet(out)
@@ -242,6 +244,7 @@ def _decode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def read_shards(spark, out: str) -> DataFrame:
     """(shard, doc, ordinal, n_ids, ids): the decoded documents of a folder of shards; ids are little-endian unsigned 32-bit."""
+    small_batches(spark)
     stored = spark.read.schema(_DDL).parquet(out).select("shard", "doc", "ordinal", "rules", "symbols")
     ordered = stored.repartition("shard").sortWithinPartitions("shard", "ordinal")
     return ordered.mapInArrow(_decode, "shard long, doc long, ordinal long, n_ids long, ids binary")

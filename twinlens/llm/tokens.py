@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from twinlens.llm.memory import give_back
+from twinlens.llm.memory import give_back, small_batches
 
 #: Characters of a chunk and of the first overlap tried; texts longer than a chunk are resynchronised.
 CHUNK, OVERLAP = 32_768, 512
@@ -282,5 +282,6 @@ def token_counts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
                 yield pa.record_batch([part.column(0), part.column(2), pa.array(sizes, pa.int64()), pa.array([s > limit for s in sizes], pa.bool_())], names=["_id", "n_bytes", "n_tokens", "over_limit"])
         known.forget()
 
+    small_batches(docs.sparkSession)
     source = docs.select(F.col(id_col).cast("long").alias("_id"), F.col(text_col).alias("text"), F.coalesce(F.octet_length(text_col).cast("long"), F.lit(0).cast("long")).alias("n_bytes"))
     return source.mapInArrow(count, "_id long, n_bytes long, n_tokens long, over_limit boolean").withColumnRenamed("_id", id_col)
