@@ -1,4 +1,5 @@
 import base64
+import collections
 import hashlib
 import itertools
 import json
@@ -13,6 +14,7 @@ from pyspark.sql import functions as F
 
 from twinlens.llm import chat, decontam, embeddings, html, langid, minhash, mixing, repair, tokens, warc
 from twinlens.llm.hashing import shingle_set, similarity_sketch, word_hashes
+from twinlens.sources.scratch import scratch_path
 
 DOC = "doc_id long, text string, lang string, source string, n_chars long, doc string, id long, a long"
 
@@ -216,6 +218,57 @@ def test_shards_round_trip(spark):
     assert repair.encode_and_read(docs_of(spark, rows).limit(0)).count() == 0
 
 
+def test_columns_equal_the_library():
+    rng = random.Random(5)
+    parts = ["a", "the", " ", "  ", "\n", "\t", " <|endoftext|>", "<|endoftext|>", "<|", "|>", "endoftext", "é", "×", "÷", "1", "'s", "'", "'LL", " word", "日本", "\x1c", "\r\n", "\0 ", ".", ",", '"', "²", "½", "Ж", "\u0482", "\u0300", "\u0085", "\u00a0", "\u3000", "…", "“", " don't.", "!?"]
+    known = tokens.Vocabulary(tokens.default_vocabulary())
+    for _ in range(600):
+        texts = [None if rng.random() < 0.1 else "".join(rng.choice(parts) for _ in range(rng.randint(0, 12))) for _ in range(rng.randint(0, 12))]
+        column = pa.array(texts, pa.string()).slice(rng.randint(0, len(texts)))
+        ids, ends = known.encoded_column(column)
+        assert len(ends) == len(column)
+        assert [ids[a:b].tolist() for a, b in zip([0, *ends], ends, strict=False)] == [known.ids(x or "") for x in column.to_pylist()]
+
+
+def test_words_reach_the_library_once(monkeypatch):
+    words = ["".join(c) for c in itertools.product("bdfg", "aeou", "lmnr", "stxé")]
+    texts = [" ".join(w + tail for w in words) for tail in ("", ",", ".", "!\"", "7", ".\nThe", ")...", ";")]
+    known = tokens.Vocabulary(tokens.default_vocabulary())
+    want = [known.ids(x) for x in texts]
+    assert [np.frombuffer(x, "<u4").tolist() for x in known.encoded_together(texts)] == want
+    assert len(known._known) < len(words) + 20
+    monkeypatch.setattr(tokens, "CACHE", 5)
+    monkeypatch.setattr(tokens, "_WINDOW", 50)
+    assert [np.frombuffer(x, "<u4").tolist() for x in known.encoded_together(texts)] == want
+
+
+def test_shards_close_at_their_size(spark):
+    rows = [(k, " ".join(["word", "other", "third"][: k % 4]) * (k % 7), None, None) for k in range(200)]
+    want = {}
+    known = tokens.vocabulary(tokens.default_vocabulary())
+    for k, t, _, _ in rows:
+        want[k] = known.ids(t)
+    out = scratch_path(spark, "test-shards")
+    repair.write_shards(docs_of(spark, rows), out, shard_ids=64)
+    got = repair.read_shards(spark, out).collect()
+    assert {r["doc"]: np.frombuffer(r["ids"], "<u4").tolist() for r in got} == {k: [*v, 0] for k, v in want.items()}
+    sizes = collections.defaultdict(list)
+    for r in sorted(got, key=lambda r: (r["shard"], r["ordinal"])):
+        sizes[r["shard"]].append(r["n_ids"])
+    assert len(sizes) > 5 and all(sum(v[:-1]) < 64 for v in sizes.values())
+
+
+def test_grammar_without_places_in_keys(monkeypatch):
+    rng = random.Random(9)
+    ids = np.array([rng.randint(0, 5) for _ in range(3000)], dtype=np.uint32)
+    both = []
+    for bits in (63, 0):
+        monkeypatch.setattr(repair, "_KEY_BITS", bits)
+        both.append(repair.compress(ids, np.array([0, 700])))
+    assert all((a == b).all() for a, b in zip(*both, strict=True))
+    assert (repair.Grammar(both[0][0]).expand(both[0][1]) == ids).all()
+
+
 def test_html():
     page = "<html><head><title>T</title><script>if (a<b) x('</p>')</script></head><body><nav><a href=x>Home</a></nav><div class='cookie-notice'>We use</div><article><h1>Head &amp; tail</h1><p>One  two\n<b>three</b><p>Four<br>five<form>no</form><div id=comments>reader</div></article><aside>side</aside><footer>&copy; x</footer>"
     assert html.main_text(page) == "Head & tail\nOne two three\nFour five"

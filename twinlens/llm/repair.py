@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from twinlens.llm.memory import small_batches
-from twinlens.llm.tokens import default_vocabulary, together, vocabulary
+from twinlens.llm.tokens import default_vocabulary, vocabulary
 from twinlens.sources.scratch import scratch_path
 
 END_ID = 0
@@ -27,7 +27,8 @@ END_ID = 0
 SHARD_IDS, LEAST = 262_144, 4
 #: First nonterminal: above every id of the supported vocabularies.
 FIRST = 1 << 17
-_SLOTS = 1 << 17
+#: Bits of a sorted number that holds a pair and its place.
+_KEY_BITS = 63
 
 
 class Grammar:
@@ -82,10 +83,6 @@ class Grammar:
         return self.expand(symbols[a:b])[start - before : stop - before]
 
 
-def _slots(keys: np.ndarray) -> np.ndarray:
-    return ((keys * np.int64(0x5851F42D4C957F2D)) >> np.int64(40)) & (_SLOTS - 1)
-
-
 def compress(ids: np.ndarray, doc_starts: np.ndarray, least: int = LEAST) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(rules, symbols, symbol starts of the documents).
 
@@ -95,112 +92,128 @@ def compress(ids: np.ndarray, doc_starts: np.ndarray, least: int = LEAST) -> tup
     fewer than ``least`` of them waits. The best pair of a round is always
     replaced wherever it occurs, as in the one-by-one method.
     """
+    n = len(ids)
     symbols = ids.astype(np.int64)
-    first = np.zeros(len(symbols), dtype=bool)
-    first[doc_starts[doc_starts < len(symbols)]] = True
+    # By place: where a document begins, the places behind and before, and the rank of the pair that begins there. Place n is past the end; -1 finds it too.
+    first = np.zeros(n + 1, dtype=bool)
+    first[doc_starts] = True
+    first[n] = True
+    after, before = np.arange(1, n + 2), np.arange(-1, n)
+    ranks = np.full(n + 1, n, dtype=np.int32 if n < 1 << 31 else np.int64)
     # Pairs of two old symbols only grow rarer: places of rare ones are looked at again only beside a new symbol.
-    live = np.ones(len(symbols), dtype=bool)
+    live, gone = np.ones(n + 1, dtype=bool), np.zeros(n + 1, dtype=bool)
     rules: list[np.ndarray] = []
-    made = 0
-    while len(symbols) > 1:
-        at = np.flatnonzero(live[:-1] & ~first[1:])
-        left, right = symbols[at], symbols[at + 1]
+    made, place_bits = 0, n.bit_length()
+    highest = int(symbols.max(initial=0))
+    while True:
+        live[n] = False
+        at = np.flatnonzero(live)
+        inside = ~first[after[at]]
+        live[at[~inside]] = False
+        at = at[inside]
+        left, right = symbols[at], symbols[after[at]]
+        bits = max(highest, FIRST + made).bit_length()
+        keys = (left << bits) | right
         # Of a run of one symbol every second pair counts.
         again = np.flatnonzero(left == right)
-        if len(again):
-            new_run = np.concatenate(([True], np.diff(at[again]) != 1))
-            run_start = np.maximum.accumulate(np.where(new_run, np.arange(len(again)), 0))
-            usable = np.ones(len(at), dtype=bool)
-            usable[again[(np.arange(len(again)) - run_start) % 2 == 1]] = False
-            at, left, right = at[usable], left[usable], right[usable]
-        keys = (left << 32) | right
-        slots = _slots(keys)
-        # A slot holds several pairs at times: it only tells which of them can't occur often.
-        likely = (np.bincount(slots, minlength=_SLOTS) >= least)[slots]
-        live[at[~likely]] = False
-        at, keys, slots = at[likely], keys[likely], slots[likely]
-        ordered = np.sort(keys)
-        edge = np.flatnonzero(np.concatenate(([True], ordered[1:] != ordered[:-1], [True]))) if len(ordered) else np.zeros(1, np.int64)
+        new_run = np.concatenate(([True], after[at[again[:-1]]] != at[again[1:]]))[: len(again)]
+        run_start = np.maximum.accumulate(np.where(new_run, np.arange(len(again)), 0))
+        skipped = again[(np.arange(len(again)) - run_start) % 2 == 1]
+        counted = np.ones(len(at), dtype=bool)
+        counted[skipped] = False
+        if 2 * bits + place_bits <= _KEY_BITS:  # places are sorted along with their pairs
+            places = np.sort(((keys << place_bits) | at)[counted])
+            keys = places >> place_bits
+            places &= (1 << place_bits) - 1
+        else:
+            keys, places = keys[counted], at[counted]
+            order = np.argsort(keys, kind="stable")
+            keys, places = keys[order], places[order]
+        edge = np.concatenate(([0], np.flatnonzero(keys[1:] != keys[:-1]) + 1, [len(keys)])) if len(keys) else np.zeros(1, np.int64)
         counts = np.diff(edge)
         often = counts >= least
         if not often.any():
             break
-        pairs, counts = ordered[edge[:-1][often]], counts[often]
-        best_first = np.argsort(-counts, kind="stable")
-        rank = np.empty(len(pairs), dtype=np.int64)
+        pairs = keys[edge[:-1][often]]
+        best_first = np.argsort(-counts[often], kind="stable")
+        rank = np.empty(len(pairs), dtype=ranks.dtype)
         rank[best_first] = np.arange(len(pairs))
-        # Of the pairs of a slot the best one is looked up; the others wait for a round in which it is gone.
-        table = np.zeros(_SLOTS, dtype=np.int64)
-        table[_slots(pairs[best_first[::-1]])] = best_first[::-1]
-        number = table[slots]
-        known = pairs[number] == keys
-        at, held = at[known], rank[number[known]]
-        ranks = np.full(len(symbols) + 1, len(pairs), dtype=np.int64)  # by place, with one more at both ends
-        ranks[at + 1] = held
-        wins = (held < ranks[at]) & (held < ranks[at + 2])
+        ranks[places[np.repeat(often, counts)]] = np.repeat(rank, counts[often])
+        held = ranks[at]
+        common = held < n
+        live[at] = common
+        live[at[skipped]] = True
+        at, held = at[common], held[common]
+        wins = (held < ranks[before[at]]) & (held < ranks[after[at]])
+        ranks[at] = n
         at, held = at[wins], held[wins]
         enough = np.bincount(held, minlength=len(pairs)) >= least
         serial = np.cumsum(enough) - 1
         kept = enough[held]
         at, held = at[kept], serial[held[kept]]
         symbols[at] = FIRST + made + held
+        taken = after[at]
+        live[taken], gone[taken] = False, True
+        after[at] = after[taken]
+        before[after[taken]] = at
         live[at] = True
-        live[at[at > 0] - 1] = True
-        alive = np.ones(len(symbols), dtype=bool)
-        alive[at + 1] = False
-        symbols, first, live = symbols[alive], first[alive], live[alive]
+        live[before[at]] = True
         chosen = pairs[best_first][enough]
-        rules.append(np.stack([chosen >> 32, chosen & 0xFFFFFFFF], axis=1))
+        rules.append(np.stack([chosen >> bits, chosen & ((1 << bits) - 1)], axis=1))
         made += len(chosen)
-    return (np.concatenate(rules) if rules else np.empty((0, 2), np.int64)).astype(np.uint32), symbols.astype(np.uint32), np.flatnonzero(first)
+    stay = ~gone[:n]
+    return (np.concatenate(rules) if rules else np.empty((0, 2), np.int64)).astype(np.uint32), symbols[stay].astype(np.uint32), np.flatnonzero(first[:n][stay])
 
 
 _ROWS = pa.schema([("shard", pa.int64()), ("doc", pa.int64()), ("ordinal", pa.int64()), ("rules", pa.binary()), ("lengths", pa.binary()), ("symbols", pa.binary()), ("n_ids", pa.int64())])
 _DDL = "shard long, doc long, ordinal long, rules binary, lengths binary, symbols binary, n_ids long"
 
 
+def _shard(shard: int, docs: list[pa.Array], sizes: np.ndarray, ids: np.ndarray) -> pa.RecordBatch:
+    rules, symbols, starts = compress(ids, np.cumsum(sizes) - sizes)
+    n = len(sizes)
+    offsets = 4 * np.append(starts, len(symbols)).astype(np.int64)
+    if offsets[-1] >= 1 << 31:
+        raise ValueError("the symbols of a shard exceed 2 GB")
+    bodies = pa.BinaryArray.from_buffers(pa.binary(), n, [None, pa.py_buffer(offsets.astype(np.int32)), pa.py_buffer(symbols.astype("<u4"))])
+    head = [[shard], None, [-1], [rules.astype("<u4").tobytes()], [Grammar(rules).lengths.astype("<u4").tobytes()], None, None]
+    rest = [pa.array(np.full(n, shard)), pa.concat_arrays(docs), pa.array(np.arange(n)), None, None, bodies, pa.array(sizes)]
+    columns = []
+    for field, first, others in zip(_ROWS, head, rest, strict=True):
+        first = pa.nulls(1, field.type) if first is None else pa.array(first, field.type)
+        columns.append(pa.concat_arrays([first, pa.nulls(n, field.type) if others is None else others]))
+    return pa.record_batch(columns, schema=_ROWS)
+
+
 def _shard_rows(path: str, end_id: int, shard_ids: int):
     def shards(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known = vocabulary(path)
-        docs: list[int | None] = []
-        bodies: list[bytes] = []
-        total, serial = 0, 0
-        end = np.array([end_id], dtype="<u4").tobytes()
-        part = _partition_id()
-
-        def flush() -> pa.RecordBatch:
-            ids = np.frombuffer(b"".join(bodies), dtype="<u4")
-            sizes = np.array([len(b) // 4 for b in bodies], dtype=np.int64)
-            rules, symbols, starts = compress(ids, np.cumsum(sizes) - sizes)
-            lengths = Grammar(rules).lengths.astype("<u4")
-            ends = np.append(starts[1:], len(symbols))
-            shard = (part << 32) | serial
-            n = len(docs)
-            return pa.record_batch(
-                [
-                    pa.array([shard] * (n + 1), pa.int64()),
-                    pa.array([None, *docs], pa.int64()),
-                    pa.array(range(-1, n), pa.int64()),
-                    pa.array([rules.astype("<u4").tobytes()] + [None] * n, pa.binary()),
-                    pa.array([lengths.tobytes()] + [None] * n, pa.binary()),
-                    pa.array([None, *[symbols[a:b].astype("<u4").tobytes() for a, b in zip(starts, ends, strict=True)]], pa.binary()),
-                    pa.array([None, *sizes.tolist()], pa.int64()),
-                ],
-                schema=_ROWS,
-            )
-
+        part, serial = _partition_id(), 0
+        docs: list[pa.Array] = []
+        bodies: list[np.ndarray] = []
+        sizes: list[np.ndarray] = []
+        total = 0
         for batch in batches:
-            for slice_, texts in together(batch, 1):
-                for doc, ids in zip(slice_.column(0).to_pylist(), known.encoded_together(texts), strict=True):
-                    docs.append(doc)
-                    bodies.append(ids + end)
-                    total += len(bodies[-1]) // 4
-                    if total >= shard_ids:
-                        yield flush()
-                        docs, bodies, total, serial = [], [], 0, serial + 1
+            ids, ends = known.encoded_column(batch.column(1))
+            own = np.diff(ends, prepend=0) + 1
+            ids = np.insert(ids, ends, end_id)
+            ends = np.cumsum(own)
+            at = 0
+            while at < batch.num_rows:
+                before = int(ends[at] - own[at])
+                stop = min(int(np.searchsorted(ends, before + shard_ids - total)) + 1, batch.num_rows)
+                docs.append(batch.column(0).slice(at, stop - at))
+                sizes.append(own[at:stop])
+                bodies.append(ids[before : ends[stop - 1]])
+                total += int(ends[stop - 1]) - before
+                at = stop
+                if total >= shard_ids:
+                    yield _shard((part << 32) | serial, docs, np.concatenate(sizes), np.concatenate(bodies))
+                    docs, sizes, bodies, total, serial = [], [], [], 0, serial + 1
+            bodies = [x.copy() for x in bodies]  # not the whole batch's
         known.forget()
         if docs:
-            yield flush()
+            yield _shard((part << 32) | serial, docs, np.concatenate(sizes), np.concatenate(bodies))
 
     return shards
 
@@ -226,20 +239,33 @@ def write_shards(docs: DataFrame, out: str, id_col: str = "doc_id", text_col: st
     ordered.mapInArrow(_shard_rows(path or default_vocabulary(), end_id, shard_ids), _DDL).write.option("compression", "zstd").parquet(out)
 
 
-def _decode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _decode(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, pa.Array, pa.Array, np.ndarray, np.ndarray]]:
+    """(shard, docs, ordinals, sizes, ids) of runs of documents of one shard, in order."""
     shard, grammar = None, None
     for batch in batches:
-        rows: list[tuple] = []
-        for at, doc, ordinal, rules, symbols in zip(*(batch.column(k).to_pylist() for k in range(5)), strict=True):
-            if ordinal < 0:
-                shard, grammar = at, Grammar(np.frombuffer(rules, dtype="<u4").reshape(-1, 2))
+        shards, ordinals = (batch.column(k).to_numpy(zero_copy_only=False) for k in (0, 2))
+        edges = np.flatnonzero(np.concatenate(([True], (shards[1:] != shards[:-1]) | (ordinals[1:] < 0), [True]))) if batch.num_rows else [0]
+        for a, b in zip(edges[:-1], edges[1:], strict=True):
+            if ordinals[a] < 0:
+                shard, grammar = int(shards[a]), Grammar(np.frombuffer(batch.column(3)[a].as_buffer(), dtype="<u4").reshape(-1, 2))
+                a += 1
+            if shard != shards[b - 1]:
+                raise ValueError(f"shard {shards[b - 1]}: a document came before the rules")
+            if a == b:
                 continue
-            if shard != at:
-                raise ValueError(f"shard {at}: a document came before the rules")
-            ids = grammar.expand(np.frombuffer(symbols, dtype="<u4"))
-            rows.append((at, doc, ordinal, len(ids), ids.astype("<u4").tobytes()))
-        columns = list(zip(*rows, strict=True)) if rows else [[]] * 5
-        yield pa.record_batch([pa.array(c, t) for c, t in zip(columns, (pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.binary()), strict=True)], names=["shard", "doc", "ordinal", "n_ids", "ids"])
+            stored = batch.column(4).slice(a, b - a)
+            offsets = np.frombuffer(stored.buffers()[1], np.int32)[stored.offset : stored.offset + len(stored) + 1]
+            symbols = np.frombuffer(stored.buffers()[2], np.uint8)[offsets[0] : offsets[-1]].view("<u4")
+            reach = np.concatenate(([0], np.cumsum(grammar.expansion_lengths(symbols))))
+            sizes = np.diff(reach[(offsets - offsets[0]) >> 2])
+            yield shard, batch.column(1).slice(a, b - a), batch.column(2).slice(a, b - a), sizes, grammar.expand(symbols).astype("<u4")
+
+
+def _documents(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for shard, docs, ordinals, sizes, ids in _decode(batches):
+        raw, ends = ids.tobytes(), 4 * np.cumsum(sizes)
+        bodies = [raw[a:b] for a, b in zip((ends - 4 * sizes).tolist(), ends.tolist(), strict=True)]
+        yield pa.record_batch([pa.array(np.full(len(sizes), shard)), docs, ordinals, pa.array(sizes), pa.array(bodies, pa.binary())], names=["shard", "doc", "ordinal", "n_ids", "ids"])
 
 
 def read_shards(spark, out: str) -> DataFrame:
@@ -247,7 +273,7 @@ def read_shards(spark, out: str) -> DataFrame:
     small_batches(spark)
     stored = spark.read.schema(_DDL).parquet(out).select("shard", "doc", "ordinal", "rules", "symbols")
     ordered = stored.repartition("shard").sortWithinPartitions("shard", "ordinal")
-    return ordered.mapInArrow(_decode, "shard long, doc long, ordinal long, n_ids long, ids binary")
+    return ordered.mapInArrow(_documents, "shard long, doc long, ordinal long, n_ids long, ids binary")
 
 
 def encode_and_read(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", path: str | None = None, end_id: int = END_ID, out: str | None = None) -> DataFrame:
@@ -262,16 +288,14 @@ def encode_and_read(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     write_shards(docs, out, id_col, text_col, path, end_id)
 
     def digests(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        before: dict[int, int] = {}
-        for batch in _decode(batches):
-            shards, docs_, sizes, blobs = (batch.column(k).to_pylist() for k in (0, 1, 3, 4))
-            offsets = []
-            for shard, size in zip(shards, sizes, strict=True):
-                if shard not in before:
-                    before = {shard: 0}
-                offsets.append(before[shard])
-                before[shard] += size
-            yield pa.record_batch([pa.array(shards, pa.int64()), pa.array(docs_, pa.int64()), pa.array(offsets, pa.int64()), pa.array(sizes, pa.int64()), pa.array([zlib.crc32(b) for b in blobs], pa.int64())], names=["shard", "doc", "within", "n_tokens", "ids_crc32"])
+        now, before = None, 0
+        for shard, docs_, _, sizes, ids in _decode(batches):
+            if shard != now:
+                now, before = shard, 0
+            ends, raw = np.cumsum(sizes), memoryview(ids).cast("B")
+            checks = [zlib.crc32(raw[a:b]) for a, b in zip((4 * (ends - sizes)).tolist(), (4 * ends).tolist(), strict=True)]
+            yield pa.record_batch([pa.array(np.full(len(sizes), shard)), docs_, pa.array(before + ends - sizes), pa.array(sizes), pa.array(checks, pa.int64())], names=["shard", "doc", "within", "n_tokens", "ids_crc32"])
+            before += int(ends[-1])
 
     stored = spark.read.schema(_DDL).parquet(out)
     # Totals of the partitions are summed over the partitions, those of shards within each partition: no window holds all shards.

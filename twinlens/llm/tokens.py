@@ -1,21 +1,22 @@
 """Token ids and counts of whole texts with public tokenizers.
 
-Short texts are cut before a space that a non-space follows: no token of the
-supported vocabularies spans such a cut, so the pieces' ids joined are the
-text's ids, and a worker encodes each distinct piece once while it is held in a
-bounded cache. Huge texts are encoded as overlapping chunks with offsets and
-spliced at common boundaries.
+For byte-level vocabularies texts are cut where the pre-tokenizer always parts
+two characters, told by the classes of neighbouring bytes: no token spans such a
+cut, so the pieces' ids joined are the text's ids. The library encodes each
+distinct piece once while it is held in a bounded cache. Texts that are huge are
+counted as overlapping chunks with offsets, spliced at common boundaries.
 """
 
 from __future__ import annotations
 
+import json
 import os
 import re
-from array import array
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -23,24 +24,40 @@ from twinlens.llm.memory import give_back, small_batches
 
 #: Characters of a chunk and of the first overlap tried; texts longer than a chunk are resynchronised.
 CHUNK, OVERLAP = 32_768, 512
-#: Distinct pieces of a generation of the cache; two generations are held.
-CACHE = 250_000
-#: Unseen pieces encoded as one string.
-_JOINED = 500
-
-#: First pieces and runs of punctuation held, and the longest first piece that is.
-_HEADS, _LONG_PIECE = 50_000, 200
-#: Punctuation that the byte-level pre-tokenizer parts from the word before it, and the end of the letters that all versions of Unicode agree on.
-_PUNCTUATION, _PLAIN_LETTERS = ".,;:!?)]}\"", "\u0530"
+#: Distinct pieces of the cache, and bytes of them; it starts anew beyond either.
+CACHE, _CACHE_BYTES = 400_000, 16 << 20
+#: Bytes of texts whose distinct pieces are looked up together; unseen pieces encoded as one string.
+_WINDOW, _JOINED = 4 << 20, 200
 
 # Bytes that byte-level vocabularies write as another character than their own.
 _OTHERS = [*range(0, 33), *range(127, 161), 173]
-_BYTE_NAMES = {byte: chr(256 + k) for k, byte in enumerate(_OTHERS)}
+_BYTE_NAMES = np.arange(256, dtype="<u2")
+_BYTE_NAMES[_OTHERS] = 256 + np.arange(len(_OTHERS))
+
+# Classes of bytes. Lead bytes of white space beyond ASCII are _LOOSE, like control characters: nothing is said of them.
+_LOOSE, _SPACE, _NEWLINE, _LETTER, _DIGIT, _MARK, _QUOTE, _HIGH = range(8)
+_CLASS = np.full(256, _LOOSE, dtype=np.uint8)
+_CLASS[0x21:0x7F], _CLASS[0x80:] = _MARK, _HIGH
+_CLASS[[*range(0x41, 0x5B), *range(0x61, 0x7B)]], _CLASS[0x30:0x3A] = _LETTER, _DIGIT
+_CLASS[[0x20, 0x0A, 0x27]] = _SPACE, _NEWLINE, _QUOTE
+_CLASS[[0xC2, 0xE1, 0xE2, 0xE3]] = _LOOSE
+#: Lead bytes of two-byte characters that are letters in all versions of Unicode, but for the multiplication and division signs.
+_LETTER_LEADS = np.isin(np.arange(256), [*range(0xC3, 0xCA), 0xD0, 0xD1])
+_NOT_LETTERS = (0x97, 0xB7)
+
+#: By class of a byte and of the next: a cut between them. Letters, digits and marks are runs of their own; an apostrophe may begin a contraction.
+_PARTED = np.zeros((8, 8), dtype=bool)
+for _left in (_LETTER, _DIGIT, _MARK):
+    _PARTED[_left, [c for c in (_LETTER, _DIGIT, _MARK) if c != _left]] = True
+_PARTED[[_LETTER, _DIGIT], _QUOTE] = True
+_VISIBLE = np.isin(np.arange(8), [_LETTER, _DIGIT, _MARK, _QUOTE])
+_IS_SOLID = _VISIBLE | (np.arange(8) == _HIGH)
+_ENDS_LETTERS = np.isin(np.arange(8), [_DIGIT, _MARK, _QUOTE])
+#: Pieces that are one pre-token: letters, digits or marks alone, with a space before them or not.
+_ONE = re.compile(r" ?(?:[A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u024f\u0400-\u047f]+|[0-9]+|[!-/:-@\[-`{-~]+)")
 
 #: A place before which every supported vocabulary may be cut: a space between a non-space and a non-space.
 _CUT = re.compile(r"(?<=\S) (?=\S)")
-_SPLIT = re.compile(r" (?=\S)")
-_RUN = re.compile(r" (?:\s|\Z)")
 
 
 def default_vocabulary() -> str:
@@ -56,12 +73,13 @@ class Vocabulary:
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         self.path = path
         if path.endswith(".json"):
-            from tokenizers import Tokenizer
+            from tokenizers import Tokenizer, pre_tokenizers
 
             self._t = Tokenizer.from_file(path)
             self._t.no_truncation()
             self._t.no_padding()
-            self.byte_level = type(self._t.pre_tokenizer).__name__ == "ByteLevel" and self._t.normalizer is None
+            self._added = sorted((a.content for a in self._t.get_added_tokens_decoder().values()), key=len, reverse=True)
+            self.byte_level = self._is_byte_level()
             if self.byte_level:  # each character of a token stands for a byte, but for the special ones
                 words = self._t.get_vocab(with_added_tokens=False)
                 self._token_bytes = np.zeros(max(self._t.get_vocab().values()) + 1, dtype=np.int64)
@@ -69,19 +87,34 @@ class Vocabulary:
                     self._token_bytes[i] = len(word)
                 for i, added in self._t.get_added_tokens_decoder().items():
                     self._token_bytes[i] = len(added.content.encode())
-                # Added tokens with a letter at either end could lie within a word or its punctuation.
-                self.plain_words = not any(a.content.isalpha() or a.content[:1].isalpha() or a.content[:1] in _PUNCTUATION for a in self._t.get_added_tokens_decoder().values())
-                self._tails: dict[str, bytes] = {}
+                self._any_added = re.compile("|".join(map(re.escape, self._added)).encode() or rb"(?!)")
+                # The same model for pieces that are one pre-token each, written as the model reads them.
+                self._by_words = Tokenizer.from_file(path)
+                self._by_words.no_truncation()
+                self._by_words.no_padding()
+                self._by_words.pre_tokenizer = pre_tokenizers.WhitespaceSplit()
         elif path.endswith(".model"):
             import sentencepiece
 
             self._s = sentencepiece.SentencePieceProcessor(model_file=path)
-            self.byte_level = False
+            self._added, self.byte_level = [], False
         else:
             raise ValueError(f"not a .json or .model vocabulary: {path}")
-        self._young: dict[str, bytes] = {}
-        self._old: dict[str, bytes] = {}
-        self._first: dict[str, bytes] = {}
+        self._empty()
+
+    def _is_byte_level(self) -> bool:
+        """The byte-level pre-tokenizer alone decides where texts part, but for plain added tokens of visible ASCII."""
+        state = json.loads(self._t.to_str())
+        how, model = state.get("pre_tokenizer") or {}, state["model"]
+        plain = all(not (a["single_word"] or a["lstrip"] or a["rstrip"]) and re.fullmatch(r"[!-~]+", a["content"]) for a in state["added_tokens"])
+        by_bytes = how.get("type") == "ByteLevel" and how.get("use_regex", True) and not how.get("add_prefix_space", True)
+        return bool(by_bytes and plain and state.get("normalizer") is None and model["type"] == "BPE" and not model.get("dropout") and not model.get("end_of_word_suffix") and all(chr(x) in model["vocab"] for x in _BYTE_NAMES.tolist()))
+
+    def _empty(self) -> None:
+        self._known: dict[str, int] = {}
+        self._known_bytes = 0
+        self._flat = np.empty(0, dtype="<u4")
+        self._starts = np.zeros(1, dtype=np.int64)  # of each piece's ids in _flat, and their end
 
     def ids(self, text: str) -> list[int]:
         if self.path.endswith(".json"):
@@ -100,88 +133,98 @@ class Vocabulary:
             begins = np.concatenate(([0], np.cumsum((raw & 0xC0) != 0x80)))[begins]
         return [p.id for p in got.pieces], begins.tolist()
 
-    def encoded_short(self, text: str) -> bytes:
-        """Little-endian unsigned 32-bit ids of a text, by pieces where the vocabulary allows."""
-        return self.encoded_together([text])[0]
-
     def encoded_together(self, texts: list[str]) -> list[bytes]:
-        """The ids of each text; the unseen pieces of all of them are encoded together."""
+        """Little-endian unsigned 32-bit ids of each text."""
+        if not texts:
+            return []
+        ids, ends = self.encoded_column(pa.array(texts, pa.large_string()))
+        raw, ends = ids.tobytes(), (4 * ends).tolist()
+        return [raw[a:b] for a, b in zip([0, *ends], ends, strict=False)]
+
+    def encoded_column(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of all texts of a column (null: empty) one after another, and where those of each text end."""
         if not self.byte_level:
-            return [np.array(self.ids(x), dtype="<u4").tobytes() for x in texts]
-        cut = [x.split(" ") if _RUN.search(x) is None else _SPLIT.split(x) for x in texts]
-        heads = [pieces.pop(0) for pieces in cut]  # no space stands before a text's first piece
-        self._learn(set().union(*cut))
-        get = self._young.__getitem__
-        return [b"".join((self._head(head), *map(get, pieces))) for head, pieces in zip(heads, cut, strict=True)]
+            each = [np.array(self.ids(x or ""), dtype="<u4") for x in texts.to_pylist()]
+            return np.concatenate([np.empty(0, "<u4"), *each]), np.cumsum([len(x) for x in each], dtype=np.int64)
+        texts = texts.fill_null("").cast(pa.large_string())
+        offsets = np.frombuffer(texts.buffers()[1], np.int64)[texts.offset : texts.offset + len(texts) + 1] if len(texts) else np.zeros(1, np.int64)
+        low, high = int(offsets[0]), int(offsets[-1])
+        if low == high:
+            return np.empty(0, "<u4"), np.zeros(len(texts), np.int64)
+        data = np.frombuffer(texts.buffers()[2], np.uint8)[low:high]
+        offsets = offsets - low
+        cut = _cuts(data)
+        for content in self._added:
+            for k in np.flatnonzero(pc.match_substring(texts, content).to_numpy(zero_copy_only=False)).tolist():
+                self._cut_added(data, cut, int(offsets[k]), int(offsets[k + 1]))
+        ends = offsets[1:][offsets[1:] > 0]
+        cut[ends[data[ends - 1] == 0x20] - 1] = False  # white space at a text's end stays together
+        cut[offsets] = True
+        starts = np.flatnonzero(cut)  # of the pieces, and the end
+        counts, out = [], []
+        at = 0
+        while at < len(starts) - 1:
+            end = max(at + 1, int(np.searchsorted(starts, starts[at] + _WINDOW, side="right")) - 1)
+            sizes, ids = self._ids_of_pieces(data, starts[at : end + 1])
+            counts.append(sizes)
+            out.append(ids)
+            at = end
+        before = np.concatenate(([0], np.cumsum(np.concatenate(counts))))
+        return out[0] if len(out) == 1 else np.concatenate(out), before[np.searchsorted(starts, offsets[1:])]
+
+    def _cut_added(self, data: np.ndarray, cut: np.ndarray, start: int, stop: int) -> None:
+        """Cut a text around its added tokens only, where they are; white space before one stays together."""
+        for m in self._any_added.finditer(data[start:stop].tobytes()):
+            a, b = start + m.start(), start + m.end()
+            cut[a] = cut[b] = True
+            cut[a + 1 : b] = False
+            if a > start and data[a - 1] == 0x20:
+                cut[a - 1] = False
+
+    def _ids_of_pieces(self, data: np.ndarray, starts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """How many ids each piece has, and the ids of all."""
+        first, n = int(starts[0]), len(starts) - 1
+        raw = pa.py_buffer(data[first : int(starts[-1])])
+        coded = pa.LargeStringArray.from_buffers(n, pa.py_buffer(starts - first), raw).dictionary_encode()
+        pieces = coded.dictionary.to_pylist()
+        if len(self._known) > CACHE or self._known_bytes > _CACHE_BYTES:
+            self._empty()
+        known = self._known
+        self._learn([p for p in pieces if p not in known])
+        number = np.fromiter(map(known.__getitem__, pieces), np.int64, len(pieces))[coded.indices.to_numpy()]
+        begin = self._starts[number]
+        sizes = self._starts[number + 1] - begin
+        place = np.repeat(begin - (np.cumsum(sizes) - sizes), sizes)
+        place += np.arange(len(place))
+        return sizes, self._flat[place]
 
     def forget(self) -> None:
         """Give back what the cache holds: at the end of a task, for whatever the worker does next."""
-        self._young, self._old, self._first = {}, {}, {}
+        self._empty()
         give_back()
 
-    def _head(self, head: str) -> bytes:
-        held = self._first.get(head)
-        if held is None:
-            if len(self._first) > _HEADS:
-                self._first.clear()
-            held = np.array(self._t.encode(head, add_special_tokens=False).ids, dtype="<u4").tobytes()
-            if len(head) <= _LONG_PIECE:
-                self._first[head] = held
-        return held
-
-    def _learn(self, pieces: set[str]) -> None:
-        if len(self._young) > CACHE:
-            self._young, self._old = {}, self._young
-        young, old = self._young, self._old
-        new = pieces.difference(young)
-        if old:
-            known = new.intersection(old)
-            young.update(zip(known, map(old.__getitem__, known), strict=True))
-            new -= known
-        self._encode_pieces(new)
-
-    def _word(self, word: str) -> bytes:
-        """Ids of a space and a word of plain letters: one pre-token, which goes to the model as it is."""
-        word = word if word.isascii() else word.encode().decode("latin-1").translate(_BYTE_NAMES)
-        return array("I", [t.id for t in self._t.model.tokenize("\u0120" + word)]).tobytes()
-
-    def _encode_pieces(self, new: set[str]) -> None:
-        """Encode unseen pieces: plain words by the model alone, with the punctuation behind them; others many to a string.
-
-        A cut stands between any two of the others that begin with a space and a non-space.
-        """
-        young, tails, rest, tokenize = self._young, self._tails, [], self._t.model.tokenize
-        if self.plain_words:
-            plain = [p for p in new if p.isalpha() and p.isascii()]
-            young.update((p, array("I", [t.id for t in tokenize("\u0120" + p)]).tobytes()) for p in plain)
-            new = new.difference(plain)
-        for p in new:
-            word = p.rstrip(_PUNCTUATION)
-            if self.plain_words and word.isalpha() and max(word) < _PLAIN_LETTERS:
-                if len(word) == len(p):
-                    young[p] = self._word(p)
-                    continue
-                tail = p[len(word) :]
-                ends = tails.get(tail)
-                if ends is None:
-                    ends = tails[tail] = np.array(self._t.encode(tail, add_special_tokens=False).ids, dtype="<u4").tobytes()
-                    if len(tails) > _HEADS:
-                        tails.clear()
-                young[p] = (young.get(word) or self._word(word)) + ends
-            elif p and not p[0].isspace():
-                rest.append(p)
-            else:
-                young[p] = np.array(self._t.encode(" " + p, add_special_tokens=False).ids, dtype="<u4").tobytes()
-        groups = [rest[k : k + _JOINED] for k in range(0, len(rest), _JOINED)]
-        encodings = self._t.encode_batch_fast([" " + " ".join(g) for g in groups], add_special_tokens=False)
-        for group, encoding in zip(groups, encodings, strict=True):
-            ids = np.array(encoding.ids, dtype="<u4")
-            reach = np.cumsum(self._token_bytes[ids])
-            ends = np.searchsorted(reach, np.cumsum([len(p.encode()) + 1 for p in group])) + 1
-            raw, at = ids.tobytes(), 0
-            for p, end in zip(group, ends.tolist(), strict=True):
-                young[p] = raw[4 * at : 4 * end]
-                at = end
+    def _learn(self, new: list[str]) -> None:
+        """Encode unseen pieces: those of one pre-token many to a string by the model alone, the others as they are."""
+        whole = [p for p in new if _ONE.fullmatch(p)]
+        other = [p for p in new if not _ONE.fullmatch(p)] if len(whole) < len(new) else []
+        # A cut stands between any two pieces that begin with a space and a non-space.
+        spaced = [p for p in other if p[0] == " " and not p[1:2].isspace() and len(p) > 1]
+        alone = [p for p in other if not (p[0] == " " and not p[1:2].isspace() and len(p) > 1)]
+        for tokenizer, pieces, write in ((self._by_words, whole, _as_words), (self._t, spaced, "".join)):
+            groups = [pieces[k : k + _JOINED] for k in range(0, len(pieces), _JOINED)]
+            encodings = tokenizer.encode_batch_fast([write(g) for g in groups], add_special_tokens=False)
+            ids = np.concatenate([np.empty(0, "<u4"), *(np.array(e.ids, dtype="<u4") for e in encodings)])
+            ends = np.cumsum([len(p) if p.isascii() else len(p.encode()) for p in pieces], dtype=np.int64)
+            self._store(pieces, ids, np.searchsorted(np.cumsum(self._token_bytes[ids]), ends) + 1)
+        each = [np.array(e.ids, dtype="<u4") for e in self._t.encode_batch_fast(alone, add_special_tokens=False)]
+        self._store(alone, np.concatenate([np.empty(0, "<u4"), *each]), np.cumsum([len(x) for x in each], dtype=np.int64))
+
+    def _store(self, pieces: list[str], ids: np.ndarray, ends: np.ndarray) -> None:
+        if pieces:
+            self._known.update(zip(pieces, range(len(self._known), len(self._known) + len(pieces)), strict=True))
+            self._known_bytes += int(self._token_bytes[ids].sum())
+            self._starts = np.concatenate((self._starts, len(self._flat) + ends))
+            self._flat = np.concatenate((self._flat, ids))
 
     def encoded(self, text: str) -> bytes:
         return self.encoded_all([text])[0]
@@ -192,6 +235,37 @@ class Vocabulary:
         return [next(short) if len(x) <= CHUNK else np.array(resynchronised(x, self), dtype="<u4").tobytes() for x in texts]
 
 
+def _cuts(data: np.ndarray) -> np.ndarray:
+    """Whether the pre-tokenizer parts the bytes before and at each place, and at the end; doubtful places are not cut."""
+    cut = np.zeros(len(data) + 1, dtype=bool)
+    of = _CLASS[data]
+    left, right = of[:-1], of[1:]
+    inner = _PARTED.reshape(-1)[(left << 3) | right]
+    # Letters beyond ASCII end at a mark, a digit or an apostrophe.
+    after = np.flatnonzero((left == _HIGH) & _ENDS_LETTERS[right])
+    after = after[after > 0]
+    letters = _LETTER_LEADS[data[after - 1]] & ~((data[after - 1] == 0xC3) & np.isin(data[after], _NOT_LETTERS))
+    inner[after[letters]] = True
+    cut[1:-1] = inner
+    # Before a space that something visible follows; on both sides of a line's end between two visible characters.
+    solid = _IS_SOLID[of]
+    spaces = np.flatnonzero((left == _SPACE) & solid[1:])
+    cut[spaces] = True
+    lines = np.flatnonzero((left == _NEWLINE) & solid[1:])
+    lines = lines[lines > 0]
+    lines = lines[_VISIBLE[of[lines - 1]]]
+    cut[lines] = cut[lines + 1] = True
+    return cut
+
+
+def _as_words(pieces: list[str]) -> str:
+    """Pieces of one pre-token each in the characters that stand for their bytes, spaces between them."""
+    raw = np.frombuffer("\n".join(pieces).encode(), dtype=np.uint8)
+    names = _BYTE_NAMES[raw]
+    names[raw == 0x0A] = 0x20
+    return names.tobytes().decode("utf-16-le")
+
+
 #: Characters of texts whose pieces are encoded together.
 _TOGETHER = 1 << 20
 
