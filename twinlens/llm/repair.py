@@ -101,32 +101,32 @@ def compress(ids: np.ndarray, doc_starts: np.ndarray, least: int = LEAST) -> tup
     after, before = np.arange(1, n + 2), np.arange(-1, n)
     ranks = np.full(n + 1, n, dtype=np.int32 if n < 1 << 31 else np.int64)
     # Pairs of two old symbols only grow rarer: places of rare ones are looked at again only beside a new symbol.
-    live, gone = np.ones(n + 1, dtype=bool), np.zeros(n + 1, dtype=bool)
+    live, gone = np.zeros(n + 1, dtype=bool), np.zeros(n + 1, dtype=bool)
+    live[:n] = ~first[1:]  # no pair begins at a document's last symbol
     rules: list[np.ndarray] = []
     made, place_bits = 0, n.bit_length()
     highest = int(symbols.max(initial=0))
     while True:
-        live[n] = False
         at = np.flatnonzero(live)
-        inside = ~first[after[at]]
-        live[at[~inside]] = False
-        at = at[inside]
-        left, right = symbols[at], symbols[after[at]]
+        behind = after[at]
+        left, right = symbols[at], symbols[behind]
         bits = max(highest, FIRST + made).bit_length()
         keys = (left << bits) | right
         # Of a run of one symbol every second pair counts.
         again = np.flatnonzero(left == right)
-        new_run = np.concatenate(([True], after[at[again[:-1]]] != at[again[1:]]))[: len(again)]
+        new_run = np.concatenate(([True], behind[again[:-1]] != at[again[1:]]))[: len(again)]
         run_start = np.maximum.accumulate(np.where(new_run, np.arange(len(again)), 0))
         skipped = again[(np.arange(len(again)) - run_start) % 2 == 1]
-        counted = np.ones(len(at), dtype=bool)
-        counted[skipped] = False
         if 2 * bits + place_bits <= _KEY_BITS:  # places are sorted along with their pairs
-            places = np.sort(((keys << place_bits) | at)[counted])
-            keys = places >> place_bits
-            places &= (1 << place_bits) - 1
+            keys <<= place_bits
+            keys |= at
+            keys[skipped] = np.iinfo(np.int64).max
+            keys.sort()
+            keys = keys[: len(keys) - len(skipped)]
+            places = keys & ((1 << place_bits) - 1)
+            keys >>= place_bits
         else:
-            keys, places = keys[counted], at[counted]
+            keys, places = np.delete(keys, skipped), np.delete(at, skipped)
             order = np.argsort(keys, kind="stable")
             keys, places = keys[order], places[order]
         edge = np.concatenate(([0], np.flatnonzero(keys[1:] != keys[:-1]) + 1, [len(keys)])) if len(keys) else np.zeros(1, np.int64)
@@ -156,8 +156,8 @@ def compress(ids: np.ndarray, doc_starts: np.ndarray, least: int = LEAST) -> tup
         live[taken], gone[taken] = False, True
         after[at] = after[taken]
         before[after[taken]] = at
-        live[at] = True
-        live[before[at]] = True
+        live[at] = ~first[after[at]]
+        live[before[at]] = ~first[at]
         chosen = pairs[best_first][enough]
         rules.append(np.stack([chosen >> bits, chosen & ((1 << bits) - 1)], axis=1))
         made += len(chosen)

@@ -9,7 +9,9 @@ counted as overlapping chunks with offsets, spliced at common boundaries.
 
 from __future__ import annotations
 
+import itertools
 import json
+import operator
 import os
 import re
 from collections.abc import Iterator
@@ -45,16 +47,23 @@ _CLASS[[0xC2, 0xE1, 0xE2, 0xE3]] = _LOOSE
 _LETTER_LEADS = np.isin(np.arange(256), [*range(0xC3, 0xCA), 0xD0, 0xD1])
 _NOT_LETTERS = (0x97, 0xB7)
 
-#: By class of a byte and of the next: a cut between them. Letters, digits and marks are runs of their own; an apostrophe may begin a contraction.
-_PARTED = np.zeros((8, 8), dtype=bool)
-for _left in (_LETTER, _DIGIT, _MARK):
-    _PARTED[_left, [c for c in (_LETTER, _DIGIT, _MARK) if c != _left]] = True
-_PARTED[[_LETTER, _DIGIT], _QUOTE] = True
+_CLASS = _CLASS.tobytes()
 _VISIBLE = np.isin(np.arange(8), [_LETTER, _DIGIT, _MARK, _QUOTE])
-_IS_SOLID = _VISIBLE | (np.arange(8) == _HIGH)
-_ENDS_LETTERS = np.isin(np.arange(8), [_DIGIT, _MARK, _QUOTE])
+#: What a pair of classes says: letters, digits and marks are runs of their own, an apostrophe may begin a contraction; three cases are looked at further.
+_CUT_BETWEEN, _AFTER_SPACE, _AFTER_LINE, _AFTER_HIGH = range(1, 5)
+_WHAT = np.zeros(256, dtype=np.uint8)
+for _left, _ends, _meaning in (
+    (_LETTER, (_DIGIT, _MARK, _QUOTE), _CUT_BETWEEN),
+    (_DIGIT, (_LETTER, _MARK, _QUOTE), _CUT_BETWEEN),
+    (_MARK, (_LETTER, _DIGIT), _CUT_BETWEEN),
+    (_HIGH, (_DIGIT, _MARK, _QUOTE), _AFTER_HIGH),
+    (_SPACE, (_LETTER, _DIGIT, _MARK, _QUOTE, _HIGH), _AFTER_SPACE),
+    (_NEWLINE, (_LETTER, _DIGIT, _MARK, _QUOTE, _HIGH), _AFTER_LINE),
+):
+    _WHAT[[_left << 3 | c for c in _ends]] = _meaning
+_WHAT = _WHAT.tobytes()
 #: Pieces that are one pre-token: letters, digits or marks alone, with a space before them or not.
-_ONE = re.compile(r" ?(?:[A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u024f\u0400-\u047f]+|[0-9]+|[!-/:-@\[-`{-~]+)")
+_ONE = r"^ ?(?:[A-Za-z\x{c0}-\x{d6}\x{d8}-\x{f6}\x{f8}-\x{24f}\x{400}-\x{47f}]+|[0-9]+|[!-/:-@\[-`{-~]+)$"
 
 #: A place before which every supported vocabulary may be cut: a space between a non-space and a non-space.
 _CUT = re.compile(r"(?<=\S) (?=\S)")
@@ -186,7 +195,7 @@ class Vocabulary:
         first, n = int(starts[0]), len(starts) - 1
         raw = pa.py_buffer(data[first : int(starts[-1])])
         coded = pa.LargeStringArray.from_buffers(n, pa.py_buffer(starts - first), raw).dictionary_encode()
-        pieces = coded.dictionary.to_pylist()
+        pieces = coded.dictionary.to_numpy(zero_copy_only=False).tolist()
         if len(self._known) > CACHE or self._known_bytes > _CACHE_BYTES:
             self._empty()
         known = self._known
@@ -205,26 +214,29 @@ class Vocabulary:
 
     def _learn(self, new: list[str]) -> None:
         """Encode unseen pieces: those of one pre-token many to a string by the model alone, the others as they are."""
-        whole = [p for p in new if _ONE.fullmatch(p)]
-        other = [p for p in new if not _ONE.fullmatch(p)] if len(whole) < len(new) else []
-        # A cut stands between any two pieces that begin with a space and a non-space.
-        spaced = [p for p in other if p[0] == " " and not p[1:2].isspace() and len(p) > 1]
-        alone = [p for p in other if not (p[0] == " " and not p[1:2].isspace() and len(p) > 1)]
+        one = pc.match_substring_regex(pa.array(new, pa.large_string()), _ONE).to_numpy(zero_copy_only=False).tolist() if new else []
+        whole, spaced, alone = list(itertools.compress(new, one)), [], []
+        if len(whole) < len(new):
+            other = itertools.compress(new, map(operator.not_, one))
+            for p in other:  # a cut stands between any two pieces that begin with a space and a non-space
+                (spaced if len(p) > 1 and p[0] == " " and not p[1].isspace() else alone).append(p)
+        found, stops, at = [np.empty(0, "<u4")], [], 0
         for tokenizer, pieces, write in ((self._by_words, whole, _as_words), (self._t, spaced, "".join)):
             groups = [pieces[k : k + _JOINED] for k in range(0, len(pieces), _JOINED)]
             encodings = tokenizer.encode_batch_fast([write(g) for g in groups], add_special_tokens=False)
             ids = np.concatenate([np.empty(0, "<u4"), *(np.array(e.ids, dtype="<u4") for e in encodings)])
-            ends = np.cumsum([len(p) if p.isascii() else len(p.encode()) for p in pieces], dtype=np.int64)
-            self._store(pieces, ids, np.searchsorted(np.cumsum(self._token_bytes[ids]), ends) + 1)
+            ends = np.cumsum(pc.binary_length(pa.array(pieces, pa.large_string())).to_numpy())
+            stops.append(at + np.searchsorted(np.cumsum(self._token_bytes[ids]), ends) + 1)
+            found.append(ids)
+            at += len(ids)
         each = [np.array(e.ids, dtype="<u4") for e in self._t.encode_batch_fast(alone, add_special_tokens=False)]
-        self._store(alone, np.concatenate([np.empty(0, "<u4"), *each]), np.cumsum([len(x) for x in each], dtype=np.int64))
-
-    def _store(self, pieces: list[str], ids: np.ndarray, ends: np.ndarray) -> None:
-        if pieces:
-            self._known.update(zip(pieces, range(len(self._known), len(self._known) + len(pieces)), strict=True))
-            self._known_bytes += int(self._token_bytes[ids].sum())
-            self._starts = np.concatenate((self._starts, len(self._flat) + ends))
-            self._flat = np.concatenate((self._flat, ids))
+        stops.append(at + np.cumsum([len(x) for x in each], dtype=np.int64))
+        ids = np.concatenate([*found, *each])
+        learned = [*whole, *spaced, *alone]
+        self._known.update(zip(learned, range(len(self._known), len(self._known) + len(learned)), strict=True))
+        self._known_bytes += int(self._token_bytes[ids].sum())
+        self._starts = np.concatenate((self._starts, len(self._flat) + np.concatenate(stops)))
+        self._flat = np.concatenate((self._flat, ids))
 
     def encoded(self, text: str) -> bytes:
         return self.encoded_all([text])[0]
@@ -238,20 +250,19 @@ class Vocabulary:
 def _cuts(data: np.ndarray) -> np.ndarray:
     """Whether the pre-tokenizer parts the bytes before and at each place, and at the end; doubtful places are not cut."""
     cut = np.zeros(len(data) + 1, dtype=bool)
-    of = _CLASS[data]
-    left, right = of[:-1], of[1:]
-    inner = _PARTED.reshape(-1)[(left << 3) | right]
+    of = np.frombuffer(data.tobytes().translate(_CLASS), np.uint8)
+    pair = of[:-1] << 3
+    pair |= of[1:]
+    what = np.frombuffer(pair.tobytes().translate(_WHAT), np.uint8)
+    cut[1:-1] = what == _CUT_BETWEEN
     # Letters beyond ASCII end at a mark, a digit or an apostrophe.
-    after = np.flatnonzero((left == _HIGH) & _ENDS_LETTERS[right])
+    after = np.flatnonzero(what == _AFTER_HIGH)
     after = after[after > 0]
-    letters = _LETTER_LEADS[data[after - 1]] & ~((data[after - 1] == 0xC3) & np.isin(data[after], _NOT_LETTERS))
-    inner[after[letters]] = True
-    cut[1:-1] = inner
+    lead, last = data[after - 1], data[after]
+    cut[after[_LETTER_LEADS[lead] & ~((lead == 0xC3) & ((last == _NOT_LETTERS[0]) | (last == _NOT_LETTERS[1])))] + 1] = True
     # Before a space that something visible follows; on both sides of a line's end between two visible characters.
-    solid = _IS_SOLID[of]
-    spaces = np.flatnonzero((left == _SPACE) & solid[1:])
-    cut[spaces] = True
-    lines = np.flatnonzero((left == _NEWLINE) & solid[1:])
+    cut[np.flatnonzero(what == _AFTER_SPACE)] = True
+    lines = np.flatnonzero(what == _AFTER_LINE)
     lines = lines[lines > 0]
     lines = lines[_VISIBLE[of[lines - 1]]]
     cut[lines] = cut[lines + 1] = True
