@@ -284,3 +284,18 @@ def test_field_draft_and_sanitised(spark):
     assert [(f.name, round(f.weight, 3), f.threshold) for f in draft] == [("a", 0.5, 0.8), ("c", 0.5, 0.8)]
     rows = spark.sql("select cast(1 as int) i, cast(1.5 as float) f, date'2020-01-02' d, array(cast(1 as smallint)) l, 'x' s")
     assert [t for _, t in review.sanitised(rows).dtypes] == ["bigint", "double", "string", "array<bigint>", "string"]
+
+
+_BEYOND = {  # tables of 3,300 rows, whose 5,443,350 pairs are over the ceiling
+    "block_exact_part": ("part", ["id as p_partkey", "'blue anvil' as p_name", "1 as p_size"]),
+}
+
+
+@pytest.mark.parametrize("name", sorted(_BEYOND))
+def test_all_pairs_beyond_the_ceiling(spark, tmp_path, name):
+    from twinlens.plans import catalog
+
+    table, columns = _BEYOND[name]
+    spark.range(3300).selectExpr(*columns).write.parquet(f"{tmp_path}/{table}.parquet")
+    found = catalog.queries()[name](spark, str(tmp_path))
+    assert found.agg(F.count(F.lit(1)), F.count_if("id_a < id_b")).first() == (5_443_350, 5_443_350)
