@@ -290,6 +290,7 @@ _BEYOND = {  # tables of 3,300 rows, whose 5,443,350 pairs are over the ceiling
     "block_exact_part": ("part", ["id as p_partkey", "'blue anvil' as p_name", "1 as p_size"]),
     "block_code_part": ("part", ["id as p_partkey", "'blue anvil' as p_name", "1 as p_size"]),
     "block_exhaustive_supplier": ("supplier", ["id as s_suppkey"]),
+    "block_numeric_supplier": ("supplier", ["id as s_suppkey", "id + 1.0 as s_acctbal"]),
 }
 
 
