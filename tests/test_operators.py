@@ -302,3 +302,11 @@ def test_all_pairs_beyond_the_ceiling(spark, tmp_path, name):
     spark.range(3300).selectExpr(*columns).write.parquet(f"{tmp_path}/{table}.parquet")
     found = catalog.queries()[name](spark, str(tmp_path))
     assert found.agg(F.count(F.lit(1)), F.count_if("id_a < id_b")).first() == (5_443_350, 5_443_350)
+
+
+def test_band_pairs_are_not_shuffled(spark):
+    values = [float(k) for k in range(40)]
+    plan = blocking.numeric_pairs(nodes(spark, values, "double"), "v", 0.9)._jdf.queryExecution().optimizedPlan().toString()
+    assert "Aggregate" not in plan.split("Repartition")[0] and "Join" not in plan.split("Repartition")[0]
+    both = nodes(spark, [10.0, 10.5, 20.0], "double").unionByName(nodes(spark, [19.5], "double"))
+    assert sorted(tuple(r) for r in blocking.numeric_pairs(both, "v", 0.9).collect()) == [("0", "1", 1 - 0.5 / 10.5), ("0", "2", 0.975)]
