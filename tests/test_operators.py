@@ -291,6 +291,7 @@ _BEYOND = {  # tables of 3,300 rows, whose 5,443,350 pairs are over the ceiling
     "block_code_part": ("part", ["id as p_partkey", "'blue anvil' as p_name", "1 as p_size"]),
     "block_exhaustive_supplier": ("supplier", ["id as s_suppkey"]),
     "block_numeric_supplier": ("supplier", ["id as s_suppkey", "id + 1.0 as s_acctbal"]),
+    "block_vector_embeddings": ("embeddings", ["id as vec_id", "array(0.6f, 0.8f) as embedding"]),
 }
 
 
@@ -310,3 +311,9 @@ def test_band_pairs_are_not_shuffled(spark):
     assert "Aggregate" not in plan.split("Repartition")[0] and "Join" not in plan.split("Repartition")[0]
     both = nodes(spark, [10.0, 10.5, 20.0], "double").unionByName(nodes(spark, [19.5], "double"))
     assert sorted(tuple(r) for r in blocking.numeric_pairs(both, "v", 0.9).collect()) == [("0", "1", 1 - 0.5 / 10.5), ("0", "2", 0.975)]
+
+
+def test_cosines_of_odd_vectors(spark):
+    vectors = [[0.6, 0.8], [0.8, 0.6], [-0.6, -0.8], [1.0], [None, 1.0], [float("nan"), 1.0], [], [], None]
+    got = {(r["id_a"], r["id_b"]): r["score"] for r in blocking.vector_pairs(nodes(spark, vectors, "array<double>"), "v").collect()}
+    assert len(got) == 28 and got["0", "1"] == pytest.approx(0.96) and got["0", "2"] == got["0", "3"] == got["0", "4"] == got["6", "7"] == 0.0 and got["0", "5"] == 1.0
