@@ -317,3 +317,11 @@ def test_cosines_of_odd_vectors(spark):
     vectors = [[0.6, 0.8], [0.8, 0.6], [-0.6, -0.8], [1.0], [None, 1.0], [float("nan"), 1.0], [], [], None]
     got = {(r["id_a"], r["id_b"]): r["score"] for r in blocking.vector_pairs(nodes(spark, vectors, "array<double>"), "v").collect()}
     assert len(got) == 28 and got["0", "1"] == pytest.approx(0.96) and got["0", "2"] == got["0", "3"] == got["0", "4"] == got["6", "7"] == 0.0 and got["0", "5"] == 1.0
+
+
+@pytest.mark.parametrize("short", [[], ["a", "ab"]])
+def test_prefix_walk_joins_no_places(spark, short):
+    table = nodes(spark, [f"abcd{k % 7}" for k in range(200)] + short)
+    plan = blocking.prefix_pairs(table, "v", 4, 5)._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("Join") == (1 if short else 0)  # with the short values alone
+    assert blocking.prefix_pairs(table, "v", 4, 5).count() == 199 * 5 - 10 + 5 * len(short)
