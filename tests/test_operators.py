@@ -327,7 +327,7 @@ def test_prefix_walk_joins_no_places(spark, short):
     assert blocking.prefix_pairs(table, "v", 4, 5).count() == 199 * 5 - 10 + 5 * len(short)
 
 
-@pytest.mark.parametrize("name", ["block_prefix_part"])
+@pytest.mark.parametrize("name", ["block_prefix_pages", "block_prefix_part"])
 def test_prefix_queries_join_nothing(spark, name):
     from twinlens.plans import catalog
 
