@@ -333,3 +333,35 @@ def test_prefix_queries_join_no_places(spark, name):
 
     plan = catalog.queries()[name](spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
     assert plan.count("Join") <= 1 and "Window" in plan  # one with the short values, if there are any
+
+
+def test_run_by_classes_equals_run_by_nodes(spark):
+    rng = random.Random(11)
+    words = ["blue anvil", "anvil blue", "blue anvils", "red", "red gear", None, "Dixon", "Dicksonx", "noxid"]
+    rows = [(str(k), rng.choice(words), rng.choice([None, ["a b", "b"], ["b", "c a"], []]), rng.choice([None, 1.0, 1.1, -5.0])) for k in range(60)] + [("z", "only", ["b"], 7.0)]
+    table = spark.createDataFrame(rows, "id string, name string, tags array<string>, size double")
+    m = lambda *ids: tuple(MetricSpec(i) for i in ids)
+    for strategy in ("token-bucket", "exhaustive"):
+        spec = Resolution("t", (FieldSpec("name", m("jaro-winkler", "exact-match", "edit-distance"), 0.9), FieldSpec("tags", m("token-jaccard")), FieldSpec("size", m("numeric-proximity"), 0.95)), Rule("weighted-average", 0.7), strategy, session_id="t")
+        by_nodes = [sessions.metric_candidates(table, f, x) for f in spec.fields for x in f.metrics]
+        pairs = blocking.union_candidates(*by_nodes) if strategy == "token-bucket" else blocking.exhaustive_pairs(table)
+        scores = scoring.dense_scores(pairs, table, spec)
+        kept = sessions.run(table, spec)
+        want = scoring.surfaced(pairs, scores, spec)
+        assert sorted(map(tuple, kept.pairs.select(*want.columns).collect()), key=repr) == sorted(map(tuple, want.collect()), key=repr)
+        assert sorted(map(tuple, kept.scores.select(*scores.columns).collect()), key=repr) == sorted(map(tuple, scores.collect()), key=repr)
+        assert sessions.estimate(table, spec, most=None).surfaced == want.where("surfaced").count() > 0
+
+
+_SESSIONS = {  # over 3,300 parts of one name
+    "run_part": 5_443_350,
+}
+
+
+@pytest.mark.parametrize("name", sorted(_SESSIONS))
+def test_sessions_beyond_the_ceiling(spark, tmp_path, name):
+    from twinlens.plans import catalog
+
+    spark.range(3300).selectExpr("id as p_partkey", "'blue anvil' as p_name", "1 as p_size").write.parquet(f"{tmp_path}/part.parquet")
+    found = catalog.queries()[name](spark, str(tmp_path))
+    assert (tuple(found.first()) if isinstance(_SESSIONS[name], tuple) else found.count()) == _SESSIONS[name]
