@@ -356,6 +356,7 @@ def test_run_by_classes_equals_run_by_nodes(spark):
 _SESSIONS = {  # over 3,300 parts of one name
     "run_part": 5_443_350,
     "run_scores_part": 10_886_700,
+    "refilter_stored_part": (5_443_350, 0, 0, 0),
 }
 
 
