@@ -358,6 +358,7 @@ _SESSIONS = {  # over 3,300 parts of one name
     "run_scores_part": 10_886_700,
     "refilter_stored_part": (5_443_350, 0, 0, 0),
     "estimate_part": (3300, 3300, 5_443_350, True),
+    "notes_kept_part": 5_443_350,
 }
 
 
