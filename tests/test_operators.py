@@ -369,3 +369,17 @@ def test_sessions_beyond_the_ceiling(spark, tmp_path, name):
     spark.range(3300).selectExpr("id as p_partkey", "'blue anvil' as p_name", "1 as p_size").write.parquet(f"{tmp_path}/part.parquet")
     found = catalog.queries()[name](spark, str(tmp_path))
     assert (tuple(found.first()) if isinstance(_SESSIONS[name], tuple) else found.count()) == _SESSIONS[name]
+
+
+def test_group_pairs_are_not_shuffled(spark, monkeypatch):
+    monkeypatch.setattr(merging, "MEMBERS", 4)
+    rng = random.Random(9)
+    group = {str(k): str(k % 3) for k in range(40)}
+    members = spark.createDataFrame(list(group.items()), "id string, component string")
+    verdicts = [(str(rng.randrange(40)), str(rng.randrange(40)), rng.choice(["duplicate", "distinct", "pending"])) for _ in range(300)]
+    found = merging.member_pairs(members, spark.createDataFrame(verdicts, "id_a string, id_b string, verdict string"))
+    assert "Join" not in found._jdf.queryExecution().optimizedPlan().toString().split("Repartition")[0]
+    said = {v: {(a, b) for a, b, w in verdicts if w == v} for v in ("duplicate", "distinct")}
+    want = {(group[a], a, b, (a, b) in said["duplicate"], (a, b) in said["distinct"]) for a in group for b in group if a < b and group[a] == group[b]}
+    rows = [tuple(r) for r in found.collect()]
+    assert len(rows) == len(want) and set(rows) == want

@@ -6,9 +6,13 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType
 
+from twinlens.operators.blocking import keyed_units, spread
 from twinlens.operators.components import connected_components
 from twinlens.sources.scratch import materialise
 
+#: Members of a chunk when a group's pairs are made.
+MEMBERS = 256
+
 
 def degrees(edges: DataFrame) -> DataFrame:
     """(id, degree): undirected, all types; a self-loop counts once."""
@@ -31,10 +35,17 @@ def survivors(members: DataFrame, degree: DataFrame) -> DataFrame:
 
 def member_pairs(members: DataFrame, decided: DataFrame) -> DataFrame:
     """(component, id_a, id_b, direct, conflict): all pairs of a group; direct ones have a `duplicate` verdict, conflicts a `distinct` one."""
-    a, b = members.select("component", F.col("id").alias("id_a")), members.select("component", F.col("id").alias("id_b"))
-    verdicts = decided.groupBy("id_a", "id_b").agg(F.max((F.col("verdict") == "duplicate")).alias("dup"), F.max((F.col("verdict") == "distinct")).alias("dis"))
-    pairs = a.join(b, "component").where("id_a < id_b").join(verdicts, ["id_a", "id_b"], "left")
-    return pairs.select("component", "id_a", "id_b", F.coalesce("dup", F.lit(False)).alias("direct"), F.coalesce("dis", F.lit(False)).alias("conflict"))
+    members, _ = materialise(members.select(F.col("component").alias("cell"), F.struct("id").alias("item")), "members")
+    units, placed, n = keyed_units(members, chunk=MEMBERS)
+    # Verdicts go to the unit that makes their pair, so pairs themselves are not shuffled.
+    at = lambda s: placed.select("cell", F.col("item.id").alias(f"id_{s}"), F.col("chunk").alias(f"c_{s}")).hint("merge")
+    verdicts = decided.where("id_a < id_b").groupBy("id_a", "id_b").agg(F.max((F.col("verdict") == "duplicate")).alias("dup"), F.max((F.col("verdict") == "distinct")).alias("dis"))
+    inside = verdicts.join(at("a"), "id_a").join(at("b"), ["id_b", "cell"]).where("dup or dis")
+    by_unit = inside.groupBy("cell", F.least("c_a", "c_b").alias("i"), F.greatest("c_a", "c_b").alias("j")).agg(F.collect_list(F.struct("id_a", "id_b", "dup", "dis")).alias("vs"))
+    each = spread(units.join(by_unit.hint("merge"), ["cell", "i", "j"], "left"), n).select("cell", F.explode("a.id").alias("x"), "b", "same", F.coalesce("vs", F.array().cast(by_unit.schema["vs"].dataType)).alias("vs"))
+    own = lambda flag: F.transform(F.filter("vs", lambda v: v[flag] & ((v["id_a"] == F.col("x")) | (v["id_b"] == F.col("x")))), lambda v: F.when(v["id_a"] == F.col("x"), v["id_b"]).otherwise(v["id_a"])).alias(flag)
+    pairs = each.select("cell", "x", "b", "same", own("dup"), own("dis")).select("cell", "x", F.explode("b.id").alias("y"), "same", "dup", "dis").where("if(same, x < y, x <> y)")
+    return pairs.select(F.col("cell").alias("component"), F.least("x", "y").alias("id_a"), F.greatest("x", "y").alias("id_b"), F.array_contains("dup", F.col("y")).alias("direct"), F.array_contains("dis", F.col("y")).alias("conflict"))
 
 
 def merge_nodes(nodes: DataFrame, cluster: DataFrame, degree: DataFrame, strategy: str = "discard", fill: bool = False) -> DataFrame:
