@@ -383,3 +383,20 @@ def test_group_pairs_are_not_shuffled(spark, monkeypatch):
     want = {(group[a], a, b, (a, b) in said["duplicate"], (a, b) in said["distinct"]) for a in group for b in group if a < b and group[a] == group[b]}
     rows = [tuple(r) for r in found.collect()]
     assert len(rows) == len(want) and set(rows) == want
+
+
+@pytest.mark.parametrize("few", [0, 100])
+def test_rewiring_in_one_pass(spark, monkeypatch, few):
+    monkeypatch.setattr(merging, "FEW_MOVED", few)
+    rng = random.Random(4)
+    to = {str(k): str(k % 4) for k in range(4, 14)}
+    edges = [(str(rng.randrange(16)), str(rng.randrange(16)), rng.choice("rs"), rng.choice([None, {}, {"x": str(k)}, {"x": "0", "y": str(k)}])) for k in range(200)]
+    cluster = spark.createDataFrame([(i, c, c) for i, c in to.items()] + [(c, c, c) for c in set(to.values())], "id string, component string, survivor_id string")
+    found = merging.rewire(spark.createDataFrame(edges, "src string, dst string, rel_type string, props map<string,string>"), cluster)
+    assert "Aggregate" not in found._jdf.queryExecution().optimizedPlan().toString().split("Window")[0]
+    want = {}
+    for moved, a, b, e, r in sorted((a in to or b in to, a, b, list((p or {}).items()), r) for a, b, r, p in edges):
+        s, d = to.get(a, a), to.get(b, b)
+        if s != d or not moved:
+            want.setdefault((s, r, d), {}).update(e)
+    assert {(r["src"], r["rel_type"], r["dst"]): r["props"] for r in found.collect()} == want and found.count() == len(want)

@@ -13,7 +13,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from twinlens.llm.bitmap import bitmap_of, with_hit
+from twinlens.sources.bitmap import bitmap_of, with_hit
 from twinlens.sources.scratch import drop, materialise
 
 WINDOW = 10

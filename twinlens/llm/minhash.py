@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from twinlens.llm.bitmap import bitmap_of, with_hit
+from twinlens.sources.bitmap import bitmap_of, with_hit
 from twinlens.llm.hashing import mix, shingle_set, similarity_sketch, texts_utf8, word_hashes
 from twinlens.llm.memory import give_back, small_batches
 from twinlens.operators.components import connected_components

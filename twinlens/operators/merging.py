@@ -2,16 +2,17 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType
 
 from twinlens.operators.blocking import keyed_units, spread
 from twinlens.operators.components import connected_components
+from twinlens.sources.bitmap import bitmap_of, with_hit
 from twinlens.sources.scratch import materialise
 
-#: Members of a chunk when a group's pairs are made.
-MEMBERS = 256
+#: Members of a chunk when a group's pairs are made, and absorbed nodes that are few enough to be broadcast.
+MEMBERS, FEW_MOVED = 256, 100_000
 
 
 def degrees(edges: DataFrame) -> DataFrame:
@@ -116,15 +117,26 @@ def merge_result(cluster: DataFrame, nodes: DataFrame, pass_id: str) -> DataFram
 
 def rewire(edges: DataFrame, cluster: DataFrame, keep_loops: bool = False) -> DataFrame:
     """Edges after the merge: ends moved to the survivors, equal (src, rel_type, dst) made one, the absorbed's properties last."""
-    moved = cluster.where("id <> survivor_id").select("id", "survivor_id")
-    out = edges.join(moved.select(F.col("id").alias("src"), F.col("survivor_id").alias("s")), "src", "left").join(moved.select(F.col("id").alias("dst"), F.col("survivor_id").alias("d")), "dst", "left")
-    was = F.struct((F.col("s").isNotNull() | F.col("d").isNotNull()).alias("moved"), F.col("src").alias("a"), F.col("dst").alias("b"))
-    out = out.select(F.coalesce("s", "src").alias("src"), F.coalesce("d", "dst").alias("dst"), "rel_type", "props", was.alias("was"))
+    moved, _ = materialise(cluster.where("id <> survivor_id").select("id", "survivor_id"), "moved")
+    few = moved.count() <= FEW_MOVED
+    to = lambda end, name: (F.broadcast if few else lambda t: t.hint("merge"))(moved.select(F.col("id").alias(end), F.col("survivor_id").alias(name)))
+    if few:
+        out = edges.join(to("src", "s"), "src", "left")
+    else:
+        # Of the sources only those that a bitmap can't clear are shuffled to be looked up.
+        bits, _ = bitmap_of(moved.select(F.xxhash64("id").alias("k")), "k")
+        looked = with_hit(edges.withColumn("_k", F.xxhash64("src")), "_k", bits).drop("_k")
+        out = looked.where("not _hit").drop("_hit").withColumn("s", F.lit(None).cast(moved.schema["survivor_id"].dataType)).unionByName(looked.where("_hit").drop("_hit").join(to("src", "s"), "src", "left"))
+    out = out.join(to("dst", "d"), "dst", "left")
+    # Where an end was is sent only if it moved.
+    out = out.select(F.coalesce("s", "src").alias("src"), F.coalesce("d", "dst").alias("dst"), "rel_type", F.coalesce(F.map_entries("props"), F.array().cast("array<struct<key: string, value: string>>")).alias("e"), F.when(F.col("s").isNotNull(), F.col("src")).alias("a"), F.when(F.col("d").isNotNull(), F.col("dst")).alias("b"))
     if not keep_loops:
-        out = out.where("src <> dst or not was.moved")
-    held = F.transform(F.array_sort(F.collect_list(F.struct("was", F.map_entries("props").alias("e")))), lambda s: s["e"])
-    latest = F.aggregate(held, F.create_map().cast("map<string,string>"), lambda m, e: F.map_concat(F.map_filter(m, lambda k, v: ~F.array_contains(F.transform(e, lambda x: x["key"]), k)), F.map_from_entries(e)))
-    return out.withColumn("props", F.coalesce("props", F.create_map().cast("map<string,string>"))).groupBy("src", "rel_type", "dst").agg(latest.alias("props"))
+        out = out.where("src <> dst or (a is null and b is null)")
+    # One sorted pass over the edges that become one: no list is made and sorted anew on the way.
+    one = Window.partitionBy("src", "rel_type", "dst").orderBy((F.col("a").isNotNull() | F.col("b").isNotNull()), F.coalesce("a", "src"), F.coalesce("b", "dst"), "e")
+    held = out.select("src", "rel_type", "dst", F.row_number().over(one).alias("_rn"), F.collect_list("e").over(one.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)).alias("es")).where("_rn = 1")
+    latest = F.aggregate("es", F.create_map().cast("map<string,string>"), lambda m, e: F.map_concat(F.map_filter(m, lambda k, v: ~F.array_contains(F.transform(e, lambda x: x["key"]), k)), F.map_from_entries(e)))
+    return held.select("src", "rel_type", "dst", F.when(F.size("es") == 1, F.map_from_entries(F.col("es")[0])).otherwise(latest).alias("props"))
 
 
 def audit(cluster: DataFrame, decided: DataFrame, scores: DataFrame, session_id: str, pass_id: str, strategy: str, complete: bool | None = None, nodes_walked: int | None = None, nodes: DataFrame | None = None, label: str | None = None) -> DataFrame:
